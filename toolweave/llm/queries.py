@@ -5,11 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from toolweave.llm.common import documents
+from toolweave.llm.common import documents, fold
+from toolweave.llm.langid import identify_language, train_language
 from toolweave.llm.media import media_digest
 from toolweave.llm.packing import pack_documents
 from toolweave.llm.secrets import secret_digest
+from toolweave.llm.simhash import fingerprint_text, simhash_components
+from toolweave.llm.toxicity import score_toxicity, train_toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = train_toxicity(docs, documents(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    out = score_toxicity(docs, model)
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_components(documents(spark, sf_dir), shingle=3, budget=2)
+    return out.select("doc_id", fingerprint_text("fp").alias("fingerprint"), "component_id")
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +40,21 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(documents(spark, sf_dir))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = train_language(docs, fold("doc_id", 3) != 1)
+    out = identify_language(docs, model)
+    return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", F.col("accepted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op6_simhash": op6_simhash,
         "op7_media_columns": op7_media_columns,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_secret_scan": op9_secret_scan,
+        "op10_language_id": op10_language_id,
     }
 
 

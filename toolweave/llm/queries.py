@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolweave.llm.common import documents, fold
+from toolweave.llm.decontaminate import benchmark_matches
+from toolweave.llm.htmltext import extract_text
 from toolweave.llm.langid import identify_language, train_language
 from toolweave.llm.lattice import score_documents
 from toolweave.llm.media import media_digest
 from toolweave.llm.packing import pack_documents
+from toolweave.llm.repeats import repeated_passages
 from toolweave.llm.secrets import secret_digest
 from toolweave.llm.simhash import fingerprint_text, simhash_components
 from toolweave.llm.toxicity import score_toxicity, train_toxicity
@@ -24,11 +27,23 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir), length=50)
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_documents(documents(spark, sf_dir), fold("doc_id", 7) != 2)
     return out.withColumn("held_out", fold("doc_id", 7) == 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(documents(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(documents(spark, sf_dir), shingle=3, budget=2)
     return out.select("doc_id", fingerprint_text("fp").alias("fingerprint"), "component_id")
@@ -56,7 +71,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_decontamination": op2_decontamination,
+        "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_lm_scoring": op4_lm_scoring,
+        "op5_html_extraction": op5_html_extraction,
         "op6_simhash": op6_simhash,
         "op7_media_columns": op7_media_columns,
         "op8_best_fit_packing": op8_best_fit_packing,

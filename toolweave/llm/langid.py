@@ -102,7 +102,7 @@ def train_language(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_
     back = np.array([zlib.crc32(f"held {r[1]}".encode()) % 5 == 0 for r in sample], bool)
     texts = [r[2] for r in sample]
     model = SubwordModel(len(names), bits=15, width=8, longest=4)
-    model.fit([split_words(t) for t, b in zip(texts, back, strict=True) if not b], truth[~back], epochs=2)
+    model.fit([split_words(t) for t, b in zip(texts, back, strict=True) if not b], truth[~back], epochs=min(10, max(2, 4000 // len(sample))))
     out = LanguageModel(names, model)
     out.calibrate([t for t, b in zip(texts, back, strict=True) if b], truth[back], precision)
     return out

@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from toolweave.llm.common import lower_words, map_batches, materialize, texts_of
 from toolweave.llm.components import connected_components
@@ -171,16 +172,56 @@ def trie_links(nodes: DataFrame, budget: int = 2) -> DataFrame:
     return grouped.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def fingerprint_groups(prints: DataFrame, budget: int) -> DataFrame:
+    """(fp, component_id, first_id, first_fp) per distinct fingerprint of ``prints`` (id, fp).
+
+    component_id is the smallest id of the component; (first_id, first_fp) names
+    the rows that stand for it: the smallest id with the smallest fingerprint
+    that has it (a null id only where there is no other).
+    """
+    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "nodes")
+    roots = connected_components(trie_links(nodes, budget))
+    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = F.min(F.struct(F.col("first_id").isNull(), F.col("first_id").alias("id"), F.col("fp").alias("fp")))
+    heads = placed.groupBy("root").agg(first.alias("first"))
+    return placed.join(heads, "root").select("fp", F.col("first.id").alias("component_id"), F.col("first.id").alias("first_id"), F.col("first.fp").alias("first_fp"))
+
+
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2) -> DataFrame:
     """Per row: id, fp and component_id, the smallest id that its fingerprint reaches by links."""
     prints = materialize(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("first_id"))
-    nodes = materialize(nodes, "nodes")
-    roots = connected_components(trie_links(nodes, budget))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = placed.join(smallest, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    groups = fingerprint_groups(prints, budget).select("fp", "component_id")
+    return prints.join(groups, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component: one row of each.
+
+    The row with the smallest id stays. Of rows that repeat this id and its
+    fingerprint one stays. Only keys of dropped rows meet the texts in a join.
+    """
+    prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    marked = prints.join(fingerprint_groups(prints, budget), "fp").withColumn("stays", F.col("id").eqNullSafe(F.col("first_id")) & (F.col("fp") == F.col("first_fp")))
+    marked = materialize(marked.groupBy("id", "fp").agg(F.first("stays").alias("stays"), F.count("*").alias("n")), "decisions")
+    names, at, fp = docs.columns, docs.columns.index(text_col), "__simhash_fp"
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+
+    def start():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            values = np.array([fingerprint(t, shingle) for t in texts_of(batch, at)], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*names, fp])
+
+        return work
+
+    printed = map_batches(docs, start, schema)
+    key = lambda rows: rows.select(F.col("id").alias("__simhash_id"), F.col("fp").alias("__simhash_key"))
+    same = F.col(id_col).eqNullSafe(F.col("__simhash_id")) & (F.col(fp) == F.col("__simhash_key"))
+    kept = printed.join(key(marked.filter("not stays")), same, "left_anti")
+    repeated = key(marked.filter("stays and n > 1"))
+    if not repeated.isEmpty():
+        single = kept.join(repeated, same, "left_semi").dropDuplicates([id_col, fp])
+        kept = kept.join(repeated, same, "left_anti").unionByName(single)
+    return kept.select(*names)
 
 
 def fingerprint_text(fp: str) -> Column:

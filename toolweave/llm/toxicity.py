@@ -70,7 +70,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
     if len(found) < 2:
         return ToxicityModel(None, 0.0, float(next(iter(found), 0)), window)
     model = SubwordModel(2, window=window)
-    model.fit([split_words(t) for _, t, _ in rows], np.array([y for *_, y in rows]), epochs=5)
+    # few rows take more rounds, so that training has steps enough
+    epochs = min(40, max(5, 20_000 // len(rows)))
+    model.fit([split_words(t) for _, t, _ in rows], np.array([y for *_, y in rows]), epochs)
     return ToxicityModel(model.scorer(), float(model.bias[1] - model.bias[0]), 0.0, window)
 
 

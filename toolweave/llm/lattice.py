@@ -8,8 +8,8 @@ score is its marginal probability, not that of a best segmentation. Pieces do
 not cross words, so a word's marginal is worked out once for the whole corpus.
 
 Piece probabilities: the vocabulary's own scores (ranks) give a prior that falls
-with the rank; one expectation step over the counted words of the training
-documents gives expected uses of each piece; both are mixed. Characters that are
+with the rank; a few expectation steps over the counted words of the training
+documents give expected uses of each piece; both are mixed. Characters that are
 no piece are spelt by the vocabulary's byte pieces, so that every text has a
 positive probability.
 
@@ -46,6 +46,10 @@ FREQUENT = 1 << 17
 PRIOR_PIECES = 20_000.0
 #: Words that a task counts before it hands the counts on.
 COUNTED_WORDS = 400_000
+#: Expectation steps over the word counts.
+ROUNDS = 2
+#: Words of up to so many characters go through the recursion side by side, so many at a time.
+SHORT_WORD, SIDE_BY_SIDE = 48, 4096
 LOG10 = math.log(10)
 
 
@@ -145,6 +149,143 @@ class Lattice:
                         total[p] += use
 
 
+class PieceTable:
+    """Pieces by a hash of their characters: two tables, the second for those whose place in the first is taken."""
+
+    BITS = 20
+    _MIX = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: dict[str, int]):
+        self.first, self.second = (np.full(1 << self.BITS, -1, np.int32) for _ in range(2))
+        self.hashes = np.zeros(max(pieces.values(), default=0) + 2, np.uint64)
+        wide = max(map(len, pieces), default=0)
+        code = np.array([[*map(ord, p), *[0] * (wide - len(p))] for p in pieces], np.uint64).reshape(len(pieces), wide)
+        size, number = np.array([len(p) for p in pieces], np.int64), np.array(list(pieces.values()), np.int64)
+        h = np.zeros(len(pieces), np.uint64)
+        for k in range(wide):
+            h = self.step(h, code[:, k])
+            self.hashes[number[size == k + 1]] = h[size == k + 1]
+        for n in pieces.values():
+            h = self.hashes[n]
+            for table, place in ((self.first, self.high(h)), (self.second, self.low(h))):
+                if table[place] < 0:
+                    table[place] = n
+                    break
+            else:
+                raise ValueError("two tables don't hold this vocabulary")
+
+    def step(self, h: np.ndarray, code: np.ndarray) -> np.ndarray:
+        h = (h ^ code) * self._MIX
+        return h ^ (h >> np.uint64(31))
+
+    def high(self, h):
+        return h >> np.uint64(64 - self.BITS)
+
+    def low(self, h):
+        return h & np.uint64((1 << self.BITS) - 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Piece numbers, -1 where there is none."""
+        n = self.first[self.high(h)]
+        n = np.where((n >= 0) & (self.hashes[n] == h), n, -1)
+        m = self.second[self.low(h)]
+        return np.where((m >= 0) & (self.hashes[m] == h), m, n)
+
+
+@functools.lru_cache(maxsize=2)
+def piece_table(path: str | None = None) -> PieceTable:
+    return PieceTable(vocabulary(path)[0])
+
+
+class WordLattices:
+    """The lattices of many words at once; longer words go one by one."""
+
+    def __init__(self, log_p: np.ndarray, path: str | None = None):
+        self.one, self.table, self.log_p = Lattice(log_p, path), piece_table(path), log_p
+        self.longest = self.one.longest
+
+    def _chunks(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(numbers of the words, their lengths with the mark, their characters) of short words of like length."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")
+        order = order[size[order] <= SHORT_WORD]
+        for k in range(0, len(order), SIDE_BY_SIDE):
+            at = order[k : k + SIDE_BY_SIDE]
+            n, wide = size[at] + 1, int(size[at[-1]]) + 1
+            code = np.zeros((len(at), wide), np.uint64)
+            flat = np.frombuffer("".join([MARK + words[i] for i in at.tolist()]).encode("utf-32-le", "surrogatepass"), "<u4")
+            code[np.arange(wide) < n[:, None]] = flat
+            yield at, n, code
+
+    def _edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, log probability) by word, start and length - 1, and where a character is spelt by bytes."""
+        rows, wide = code.shape
+        most = min(self.longest, wide)
+        piece = np.full((rows, wide, most), -1, np.int32)
+        h = np.zeros_like(code)
+        for k in range(most):
+            h = self.table.step(h[:, : wide - k], code[:, k:])
+            piece[:, : wide - k, k] = self.table.find(h)
+        weight = np.where(piece >= 0, self.log_p[piece], -np.inf)
+        loose = (piece[:, :, 0] < 0) & (code > 0)
+        if loose.any():
+            chars, which = np.unique(code[loose], return_inverse=True)
+            weight[:, :, 0][loose] = np.array([self.one.spell(chr(int(c)))[1] for c in chars])[which.ravel()]
+        return piece, weight, loose
+
+    def _forward(self, weight: np.ndarray) -> np.ndarray:
+        """Log marginals of all prefixes; minus infinity past a word's end."""
+        rows, wide, most = weight.shape
+        alpha = np.full((rows, wide + 1), -np.inf)
+        alpha[:, 0] = 0
+        for j in range(1, wide + 1):
+            k = np.arange(1, min(j, most) + 1)
+            terms = alpha[:, j - k] + weight[:, j - k, k - 1]
+            top = terms.max(1)
+            safe = np.where(np.isfinite(top), top, 0)
+            with np.errstate(divide="ignore"):
+                alpha[:, j] = safe + np.log(np.exp(terms - safe[:, None]).sum(1))
+        return alpha
+
+    def log_marginals(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(len(words))
+        for at, n, code in self._chunks(words):
+            out[at] = self._forward(self._edges(code)[1])[np.arange(len(at)), n]
+        for i, w in enumerate(words):
+            if len(w) > SHORT_WORD:
+                out[i] = self.one.log_marginal(w)
+        return out
+
+    def expect(self, words: list[str], times: np.ndarray, total: np.ndarray) -> None:
+        """Add the expected uses of each piece in ``times`` occurrences of the words."""
+        for at, n, code in self._chunks(words):
+            piece, weight, loose = self._edges(code)
+            alpha = self._forward(weight)
+            rows, wide, most = weight.shape
+            beta = np.zeros((rows, wide + 1))
+            beta[np.arange(rows), n] = times[at]
+            use = np.zeros_like(weight)
+            finite = np.where(np.isfinite(alpha), alpha, 0)
+            for j in range(wide, 0, -1):
+                k = np.arange(1, min(j, most) + 1)
+                part = np.exp(alpha[:, j - k] + weight[:, j - k, k - 1] - finite[:, j, None]) * beta[:, j, None]
+                use[:, j - k, k - 1] = part
+                beta[:, j - k] += part
+            found = piece >= 0
+            total += np.bincount(piece[found], use[found], len(total))
+            if loose.any():
+                chars, which = np.unique(code[loose], return_inverse=True)
+                for c, u in zip(chars.tolist(), np.bincount(which.ravel(), use[:, :, 0][loose], len(chars)).tolist(), strict=True):
+                    for number in self.one.spell(chr(c))[0]:
+                        total[number] += u
+        rest = [0.0] * len(total)
+        long_ones = [(w, t) for w, t in zip(words, times.tolist(), strict=True) if len(w) > SHORT_WORD]
+        for w, t in long_ones:
+            self.one.expect(w, t, rest)
+        if long_ones:
+            total += np.array(rest)
+
+
 def count_words(docs: DataFrame, id_col: str, text_col: str, learn: Column) -> DataFrame:
     """(word, c, n): occurrences in training documents and in all; the null word stands for the end symbol."""
 
@@ -176,26 +317,29 @@ def count_words(docs: DataFrame, id_col: str, text_col: str, learn: Column) -> D
     return parts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def piece_probabilities(words: DataFrame, ends: int, path: str | None = None) -> np.ndarray:
-    """Log probabilities of all pieces and the end symbol after one expectation step over (word, c)."""
+def piece_probabilities(words: DataFrame, ends: int, path: str | None = None, rounds: int = ROUNDS) -> np.ndarray:
+    """Log probabilities of all pieces and the end symbol after ``rounds`` expectation steps over (word, c)."""
     prior = vocabulary(path)[2]
-    log_prior = np.log(prior)
+    log_p = np.log(prior)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, total = Lattice(log_prior, path), [0.0] * len(prior)
-        for batch in batches:
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lattice.expect(word, float(c), total)
-        used = [i for i, t in enumerate(total) if t]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([total[i] for i in used])], ["piece", "uses"])
+    def step(log_p: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lattices, total = WordLattices(log_p, path), np.zeros(len(prior))
+            for batch in batches:
+                lattices.expect(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64), total)
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["piece", "uses"])
+
+        found = words.select("word", "c").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
+        uses = PRIOR_PIECES * prior
+        for r in found.collect():  # one row per piece of the vocabulary at most
+            uses[r["piece"]] += r["uses"]
+        uses[-1] += ends
+        return np.log(uses / uses.sum())
 
-    found = words.select("word", "c").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
-    uses = np.zeros(len(prior))
-    for r in found.collect():  # one row per piece of the vocabulary at most
-        uses[r["piece"]] = r["uses"]
-    uses[-1] += ends
-    uses += PRIOR_PIECES * prior
-    return np.log(uses / uses.sum())
+    for _ in range(rounds):
+        log_p = step(log_p)
+    return log_p
 
 
 def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None) -> DataFrame:
@@ -210,10 +354,10 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     log_p = piece_probabilities(counted.filter("word is not null and c > 0"), ends, vocabulary_path)
 
     def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(log_p, vocabulary_path)
+        lattices = WordLattices(log_p, vocabulary_path)
         for batch in batches:
-            values = [lattice.log_marginal(w) / LOG10 for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(values, pa.float64())], ["word", "c", "n", "marginal"])
+            values = lattices.log_marginals(batch.column(0).to_pylist()) / LOG10
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(values)], ["word", "c", "n", "marginal"])
 
     words = materialize(counted.filter("word is not null").mapInArrow(marginals, "word string, c bigint, n bigint, marginal double"), "marginals")
     # the smallest power of two such that at most FREQUENT words are found more often

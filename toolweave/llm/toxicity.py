@@ -7,8 +7,8 @@ is looked at. The model is trained on a bounded sample of labelled documents
 hash of the id; scoring covers all rows.
 
 Defined cases: null text counts as empty; a text without words scores 0; with
-no labelled rows every score is 0, with one label only every text gets that
-label; several labels for one id count as toxic if any is.
+fewer than ``LEAST`` labelled texts of either label nothing is learned and every
+score is 0; several labels for one id count as toxic if any is.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from toolweave.llm.subword import SubwordModel, WordScores, best_run, split_word
 WINDOW = 10
 PER_CLASS = 2000
 MAX_CHARS = 20_000
+LEAST = 5
 
 
 def hashed_share(id_col: str, share: float) -> Column:
@@ -34,15 +35,15 @@ def hashed_share(id_col: str, share: float) -> Column:
 class ToxicityModel:
     """What scoring needs: the table of class scores and the bias."""
 
-    def __init__(self, table: WordScores | None, bias: float, constant: float, window: int):
-        self.scores, self.bias, self.constant, self.window = table, bias, constant, window
+    def __init__(self, table: WordScores | None, bias: float, window: int):
+        self.scores, self.bias, self.window = table, bias, window
 
     def score(self, texts: list[str]) -> np.ndarray:
         out = []
         for part in text_chunks(texts):
             words = [split_words(t) for t in part]
             if self.scores is None:
-                out += [self.constant if w else 0.0 for w in words]
+                out += [0.0] * len(part)
                 continue
             z = self.scores.of([w for ws in words for w in ws])
             z, at = z[:, 1] - z[:, 0], 0
@@ -58,22 +59,20 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     known = known.filter("label in (0, 1)")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    if not counts:
-        return ToxicityModel(None, 0.0, 0.0, window)
-    if len(counts) == 1:
-        return ToxicityModel(None, 0.0, float(next(iter(counts))), window)
+    if min(counts.get(0, 0), counts.get(1, 0)) < LEAST:
+        return ToxicityModel(None, 0.0, window)
     drawn = known.filter(F.when(F.col("label") == 1, hashed_share("id", per_class / counts[1])).otherwise(hashed_share("id", per_class / counts[0])))
     # at most about 2 x per_class rows of two numbers, so this side may be sent to all executors
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").filter(F.length("text") <= max_chars)
     rows = sorted((r["id"], r["text"], r["label"]) for r in texts.collect())
-    found = {r[2] for r in rows if r[1].strip()}
-    if len(found) < 2:
-        return ToxicityModel(None, 0.0, float(next(iter(found), 0)), window)
+    found = [y for _, t, y in rows if t.strip()]
+    if min(found.count(0), found.count(1)) < LEAST:
+        return ToxicityModel(None, 0.0, window)
     model = SubwordModel(2, window=window)
     # few rows take more rounds, so that training has steps enough
     epochs = min(40, max(5, 20_000 // len(rows)))
     model.fit([split_words(t) for _, t, _ in rows], np.array([y for *_, y in rows]), epochs)
-    return ToxicityModel(model.scorer(), float(model.bias[1] - model.bias[0]), 0.0, window)
+    return ToxicityModel(model.scorer(), float(model.bias[1] - model.bias[0]), window)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

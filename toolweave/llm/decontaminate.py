@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from toolweave.llm.common import map_batches, texts_of
 
-Q = 12
+Q = 11
 SEGMENT = 64
 STRIDE = 16
-EDITS = 3
+EDITS = 4
 BLOCK_BYTES = 4 << 20
 CHUNK_BYTES = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -71,6 +71,12 @@ def test_ndcg_with_ties(spark):
     want = (0.5 / math.log2(3) + 0.5 / math.log2(4) + 1 / math.log2(5)) / (1 + 1 / math.log2(3))
     assert got[1].ndcg_5 == pytest.approx(want, abs=1e-6)
     assert got[2].ndcg_5 == 0 and got[3].ndcg_5 is None
+    # the documents that are no hits, listed at score 0 or counted as one tie, give the same
+    queries = spark.createDataFrame([(1,), (2,), (4,)], "qid long")
+    corpus = spark.range(9).withColumnRenamed("id", "docid")
+    qrels = spark.createDataFrame([(1, 2), (1, 7), (2, 7), (4, 0), (4, 1)], "qid long, docid long")
+    listed = metrics.ndcg(retrieval.with_zero_scores(hits, queries, corpus), qrels)
+    assert values(metrics.ndcg(hits.filter("qid < 3"), qrels, queries=queries, corpus_size=9)) == values(listed)
 
 
 def test_sessions_islands_accuracy(spark):

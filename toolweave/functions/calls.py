@@ -178,6 +178,19 @@ def print_calls(calls: list[tuple[str, dict[str, Any]]]) -> str:
     return "[" + ", ".join(f"{f}({', '.join(f'{k}={python_text(v)}' for k, v in a.items())})" for f, a in calls) + "]"
 
 
+@F.pandas_udf(T.ArrayType(_TEXT))
+def print_answers(texts: pd.Series) -> pd.Series:
+    """A golden JSON answer (an object of calls, or a list of them) as ``name(k=v, ...)`` texts."""
+
+    def one(text):
+        if text is None:
+            return None
+        read = json.loads(text)
+        return [print_calls([call])[1:-1] for a in (read if isinstance(read, list) else [read]) for call in a.items()]
+
+    return pd.Series([one(t) for t in texts], dtype=object)
+
+
 def same_calls(a: str, b: str) -> bool:
     """Whether both parse to the same names and keyword arguments; the last call of a name counts."""
     x, y = ({f: k for f, _, k in parse_lenient(t)} for t in (a, b))

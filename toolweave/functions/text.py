@@ -69,3 +69,13 @@ def classify_special(result: Column, kind: Column, phrases: dict[str, str], name
         rest = {"incomplete": F.contains(result, name) & everything, "error_param": everything}.get(k, F.lit(True))
         out = F.when(kind == k, F.when(~has, "error_detection").when(~rest, "error_correction")).otherwise(out)
     return out
+
+
+def answer_type(json_text: Column) -> Column:
+    """The type of a JSON value; null for the empty string."""
+    return F.when(json_text != '""', F.schema_of_variant(F.try_parse_json(json_text)))
+
+
+def document_text(*fields: Column) -> Column:
+    """The fields of an API document as one text; a missing field is empty."""
+    return F.concat_ws(", ", *[F.coalesce(f, F.lit("")) for f in fields])

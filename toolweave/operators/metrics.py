@@ -6,23 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ndcg(hits: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = (5, 10)) -> DataFrame:
+def ndcg(hits: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = (5, 10), queries: DataFrame | None = None, corpus_size: int | None = None) -> DataFrame:
     """(qid, ndcg_5, ndcg_10, ..., ndcg, ndcg_sum) per query of ``hits`` (qid, docid, score).
 
     Tied scores share the mean gain of their places. A query with no judged
     document has null metrics; one with judged but no relevant hits has 0.
     ndcg is the mean over the cuts; ndcg_sum their sum.
+
+    With ``queries`` (qid) and ``corpus_size`` the documents that are no hits
+    count as one tie at the end of the list, without being listed: the hits must
+    then be all matches of a query, or as many as the largest cut at least.
     """
     relevant = qrels.select("qid", "docid").distinct().withColumn("rel", F.lit(1.0))
     judged = relevant.groupBy("qid").agg(F.count("*").alias("n_rel"))
     rows = hits.join(relevant, ["qid", "docid"], "left").withColumn("rel", F.coalesce("rel", F.lit(0.0)))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "docid"))
-    rows = rows.select("qid", place.alias("place"), F.avg("rel").over(Window.partitionBy("qid", "score")).alias("gain"))
+    rows = rows.select("qid", "rel", place.alias("place"), F.avg("rel").over(Window.partitionBy("qid", "score")).alias("gain"))
     discount = lambda place: F.lit(1.0) / F.log2(place.cast("double") + 1)
+    total_discount = lambda low, high: F.when(low <= high, F.aggregate(F.sequence(low, high), F.lit(0.0), lambda s, i: s + discount(i))).otherwise(0.0)
     sums = [F.sum(F.when(F.col("place") <= k, F.col("gain") * discount(F.col("place"))).otherwise(0.0)).alias(f"dcg_{k}") for k in cuts]
-    best = lambda k: F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.greatest(F.col("n_rel"), F.lit(1)).cast("int"))), F.lit(0.0), lambda s, i: s + discount(i))
-    out = rows.groupBy("qid").agg(*sums).join(judged, "qid", "left")
-    values = {k: F.when(F.col("n_rel").isNotNull(), F.col(f"dcg_{k}") / best(k)) for k in cuts}
+    out = rows.groupBy("qid").agg(*sums, F.count("*").alias("n_hits"), F.sum("rel").alias("found"))
+    rest = lambda k: F.lit(0.0)
+    if queries is not None and corpus_size is not None:
+        out = queries.select("qid").distinct().join(out, "qid", "left").na.fill(0)
+        share = (F.col("n_rel") - F.col("found")) / F.greatest(F.lit(corpus_size) - F.col("n_hits"), F.lit(1))
+        rest = lambda k: share * total_discount((F.col("n_hits") + 1).cast("int"), F.lit(min(k, corpus_size)))
+    out = out.join(judged, "qid", "left")
+    best = lambda k: total_discount(F.lit(1), F.least(F.lit(k), F.greatest(F.col("n_rel"), F.lit(1)).cast("int")))
+    values = {k: F.when(F.col("n_rel").isNotNull(), (F.col(f"dcg_{k}") + rest(k)) / best(k)) for k in cuts}
     total = sum((values[k] for k in cuts[1:]), values[cuts[0]])
     return out.select("qid", *[F.round(v, 6).alias(f"ndcg_{k}") for k, v in values.items()], F.round(total / len(cuts), 6).alias("ndcg"), F.round(total, 6).alias("ndcg_sum"))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,3 +42,19 @@ def top_k(hits: DataFrame, k: int, key: str = "qid", doc: str = "docid", score:
     """The k best rows per key by (score desc, doc), with ``rank`` from 1; Catalyst limits each group before the shuffle."""
     order = Window.partitionBy(key).orderBy(F.desc(score), doc)
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def seeded_shuffle(values: Column, seed: int = 42, kind: str = "array<string>") -> Column:
+    """Each array in the order that Python's generator with this seed shuffles it to."""
+
+    @F.pandas_udf(kind)
+    def run(arrays: pd.Series) -> pd.Series:
+        out = []
+        for a in arrays:
+            a = None if a is None else list(a)
+            if a:
+                random.Random(seed).shuffle(a)
+            out.append(a)
+        return pd.Series(out, dtype=object)
+
+    return run(values)

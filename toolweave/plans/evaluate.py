@@ -102,3 +102,8 @@ def agent_scores(checked: DataFrame) -> DataFrame:
 
 def failed_rows(checked: DataFrame) -> DataFrame:
     return checked.filter(~F.col("valid"))
+
+
+def case_table(cases: DataFrame, answers: DataFrame, checked: DataFrame) -> DataFrame:
+    """One row per case for reading: case, golden answer, result and error, joined by id; results are optional."""
+    return cases.join(answers, "id", "left").join(checked.select("id", "valid", "error_type", "result"), "id", "left")

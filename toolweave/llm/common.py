@@ -9,39 +9,20 @@ about, so nothing can clash.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from toolweave.sources.shared import materialize, shared_dir
 
-_own_dir: dict[str, str] = {}
+__all__ = ["documents", "fold", "lower_words", "map_batches", "materialize", "shared_dir", "texts_of"]
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (a
-    single-machine test) a temporary folder is made and remembered.
-    """
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir.get("path")
-    if not path:
-        path = _own_dir["path"] = "file://" + tempfile.mkdtemp(prefix="toolweave-")
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage and keeps the rows through the loss of executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Batches are worked on in parts of about so many bytes.
+PART_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -54,14 +35,32 @@ def fold(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
 
 
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about PART_BYTES, so that what is made from one stays small."""
+    rows = max(1, batch.num_rows * PART_BYTES // max(batch.nbytes, PART_BYTES))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def give_back() -> None:
+    """Hand free memory back to the system; a worker process outlives its tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """Apply a batch function that ``start`` builds once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None and out.num_rows:
-                yield out
+            for part in parts_of(batch):
+                if (out := work(part)) is not None and out.num_rows:
+                    yield out
+        del work
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -201,8 +201,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fingerprint one stays. Only keys of dropped rows meet the texts in a join.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    marked = prints.join(fingerprint_groups(prints, budget), "fp").withColumn("stays", F.col("id").eqNullSafe(F.col("first_id")) & (F.col("fp") == F.col("first_fp")))
-    marked = materialize(marked.groupBy("id", "fp").agg(F.first("stays").alias("stays"), F.count("*").alias("n")), "decisions")
+    stays = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("fp") == F.col("first_fp"))
+    # counted before the join, so that no aggregate keeps Spark from splitting a hot fingerprint there
+    counts = prints.groupBy("id", "fp").agg(F.count("*").alias("n"))
+    marked = materialize(counts.join(fingerprint_groups(prints, budget), "fp").select("id", "fp", "n", stays.alias("stays")), "decisions")
     names, at, fp = docs.columns, docs.columns.index(text_col), "__simhash_fp"
     schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
 

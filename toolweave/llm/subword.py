@@ -19,7 +19,7 @@ import numpy as np
 
 EDGE = ".,;:!?\"'()[]{}<>|$%*&#~^_`=+/\\-"
 #: Words whose scores a worker keeps; it starts anew beyond that.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

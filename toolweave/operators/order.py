@@ -33,6 +33,12 @@ def dense_index(df: DataFrame, order: list[Column | str], name: str = "position"
     return ranged.select(*df.columns, (offsets[F.col("__range")] + inside).cast("long").alias(name))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input is read by fewer tasks, for steps that cost much per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def trailing_number(column: str, last: int = 1) -> Column:
     """The integer that the last ``last``-th part of an id (parts joined by ``_`` or ``#``) stands for."""
     return F.element_at(F.split(F.col(column), "[_#]"), -last).cast("long")

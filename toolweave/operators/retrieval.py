@@ -21,6 +21,8 @@ from toolweave.operators.order import top_k
 # Fixed values of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RERANK_DEPTH, NOT_RERANKED = 20, -100.0
+#: Query terms up to so many are sent to all tasks; more meet the corpus in a shuffle join.
+SMALL_ROWS = 100_000
 #: Numbers in a block of query vectors that is sent to all tasks.
 BLOCK_NUMBERS = 1 << 20
 
@@ -40,45 +42,55 @@ def _terms(df: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
     return df.select(*keys, F.explode(tokens).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
 
 
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to be small; as it is otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def bm25(queries: DataFrame, corpus: DataFrame, group: list[str] | None = None, lower: bool = False) -> DataFrame:
     """Okapi BM25 of ``queries`` (qid, text) over ``corpus`` (docid, text), rounded to two decimals.
 
     With ``group`` columns in both tables each group is a corpus of its own.
-    Terms whose idf would be negative get a quarter of the mean idf.
+    Terms whose idf would be negative get a quarter of the mean idf. Document
+    frequencies combine before their shuffle; occurrences are counted for the
+    queries' terms only.
     """
     group = group or []
     tokens = corpus.select(*group, "docid", white_space_tokens("text", lower).alias("tokens"))
     one = F.lit(1).alias("one")
     on = group or ["one"]
     sizes = tokens.groupBy(*(group or [one])).agg(F.count("*").cast("double").alias("docs"), F.avg(F.size("tokens").cast("double")).alias("mean_length"))
-    terms = tokens.select(*group, "docid", F.size("tokens").cast("double").alias("length"), F.explode("tokens").alias("token"))
-    terms = terms.groupBy(*group, "docid", "length", "token").agg(F.count("*").cast("double").alias("tf"))
-    found = terms.groupBy(*(group or [one]), "token").agg(F.count("*").cast("double").alias("df"))
+    found = tokens.select(*group, F.explode(F.array_distinct("tokens")).alias("token")).groupBy(*(group or [one]), "token").agg(F.count("*").cast("double").alias("df"))
     idf = F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     weights = found.join(sizes, on).withColumn("raw", idf)
     mean = weights.groupBy(*on).agg(F.avg("raw").alias("mean_idf"))
     asked = _terms(queries, [*group, "qid"], white_space_tokens("text", lower))
-    wanted = asked.select(*group, "token").distinct() if group else asked.select("token").distinct()
-    weights = weights.join(wanted, [*group, "token"], "left_semi").join(mean, on).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")))
+    wanted = asked.select(*group, "token").distinct()
+    wanted = wanted if group else small(wanted)
+    key = [*group, "token"]
+    weights = weights.join(wanted, key, "left_semi").join(mean, on).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")))
+    terms = tokens.select(*group, "docid", F.size("tokens").cast("double").alias("length"), F.explode("tokens").alias("token")).join(wanted, key, "left_semi")
+    terms = terms.groupBy(*group, "docid", "length", "token").agg(F.count("*").cast("double").alias("tf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = terms.join(weights, [*group, "token"]).select(*group, "docid", "token", part.alias("part"))
-    hits = asked.join(scored, [*group, "token"]).groupBy(*group, "qid", "docid")
+    scored = terms.join(weights, key).select(*group, "docid", "token", part.alias("part"))
+    hits = asked.join(scored, key).groupBy(*group, "qid", "docid")
     return hits.agg(F.round(F.sum(F.col("n") * F.col("part")), 2).alias("score"))
 
 
 def tf_idf(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Dot product of length-normalised TF-IDF vectors, smoothed idf from the corpus, rounded to two decimals."""
-    terms = _terms(corpus, ["docid"], word_tokens("text"))
+    tokens = corpus.select("docid", word_tokens("text").alias("tokens"))
     docs = corpus.agg(F.count("*").cast("double").alias("docs"))
-    idf = terms.groupBy("token").agg(F.count("*").alias("df")).join(docs).select("token", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-
-    def normal(t: DataFrame, key: str) -> DataFrame:
-        weighed = t.join(idf, "token").withColumn("w", F.col("n") * F.col("idf"))
-        return weighed.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).select(key, "token", "w")
-
-    q = normal(_terms(queries, ["qid"], word_tokens("text")), "qid").withColumnRenamed("w", "qw")
-    d = normal(terms, "docid").join(q.select("token").distinct(), "token", "left_semi")
-    return q.join(d, "token").groupBy("qid", "docid").agg(F.round(F.sum(F.col("qw") * F.col("w")), 2).alias("score"))
+    found = tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    idf = found.join(docs).select("token", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighed = lambda terms: terms.join(idf, "token").withColumn("w", F.col("n") * F.col("idf"))
+    norm = lambda terms, key: terms.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"{key}_norm"))
+    asked = weighed(_terms(queries, ["qid"], word_tokens("text")))
+    terms = weighed(_terms(corpus, ["docid"], word_tokens("text")))
+    q = asked.select("qid", "token", F.col("w").alias("qw"))
+    dots = small(q).join(terms, "token").groupBy("qid", "docid").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    scored = dots.join(norm(asked, "qid"), "qid").join(norm(terms, "docid"), "docid")
+    return scored.select("qid", "docid", F.round(F.col("dot") / (F.col("qid_norm") * F.col("docid_norm")), 2).alias("score"))
 
 
 def with_zero_scores(hits: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:

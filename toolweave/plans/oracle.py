@@ -27,9 +27,12 @@ TFIDF = """
 t_tok AS (SELECT docid, token, count(*)::DOUBLE AS n FROM (SELECT docid, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS token FROM c) GROUP BY ALL),
 t_idf AS (SELECT token, ln((1 + (SELECT count(*) FROM c)::DOUBLE) / (1 + count(*)::DOUBLE)) + 1 AS idf FROM t_tok GROUP BY token),
 t_q AS (SELECT qid, token, count(*)::DOUBLE AS n FROM (SELECT qid, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS token FROM q) GROUP BY ALL),
-t_dw AS (SELECT docid, token, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY docid)) AS w FROM t_tok JOIN t_idf USING (token)),
-t_qw AS (SELECT qid, token, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY qid)) AS qw FROM t_q JOIN t_idf USING (token)),
-t_hits AS (SELECT qid, docid, round(sum(qw * w), 2) AS score FROM t_qw JOIN t_dw USING (token) GROUP BY qid, docid)
+t_dw AS (SELECT docid, token, n * idf AS w FROM t_tok JOIN t_idf USING (token)),
+t_qw AS (SELECT qid, token, n * idf AS qw FROM t_q JOIN t_idf USING (token)),
+t_dn AS (SELECT docid, sqrt(sum(w * w)) AS dn FROM t_dw GROUP BY docid),
+t_qn AS (SELECT qid, sqrt(sum(qw * qw)) AS qn FROM t_qw GROUP BY qid),
+t_dot AS (SELECT qid, docid, sum(qw * w) AS dot FROM t_qw JOIN t_dw USING (token) GROUP BY qid, docid),
+t_hits AS (SELECT qid, docid, round(dot / (qn * dn), 2) AS score FROM t_dot JOIN t_dn USING (docid) JOIN t_qn USING (qid))
 """
 
 
@@ -50,7 +53,7 @@ WITH bought AS (SELECT o_custkey, l_partkey, l_suppkey FROM lineitem JOIN orders
 have AS (SELECT DISTINCT o_custkey, l_partkey AS item FROM bought),
 existing AS (SELECT o_custkey, count(*) AS n FROM have GROUP BY 1),
 sold AS (SELECT l_suppkey, l_partkey AS item, sum(l_quantity) AS qty FROM lineitem GROUP BY 1, 2),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY qty DESC, item) AS r FROM sold) WHERE r <= 20),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY qty DESC, item) AS r FROM sold) WHERE r <= 5),
 offered AS (SELECT o_custkey, item, max(qty) AS qty FROM (SELECT DISTINCT o_custkey, l_suppkey FROM bought) JOIN best USING (l_suppkey) GROUP BY 1, 2),
 cand AS (SELECT o_custkey, item, row_number() OVER (PARTITION BY o_custkey ORDER BY qty DESC, item) AS rank, p_brand <> 'Brand#1' AS eligible
   FROM offered JOIN part ON item = p_partkey WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.o_custkey = offered.o_custkey AND h.item = offered.item)),

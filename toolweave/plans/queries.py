@@ -16,7 +16,7 @@ from toolweave.functions.text import argument_difference, classify_special, cont
 from toolweave.operators import catalog as cat
 from toolweave.operators import grouping, metrics, prompts, quota, retrieval
 from toolweave.operators.leaderboard import WEIGHTS
-from toolweave.operators.order import dense_index, top_k, trailing_number
+from toolweave.operators.order import dense_index, spread, top_k, trailing_number
 from toolweave.operators.training import calls_equal, candidate_string, reflection
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _search_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     queries = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("qid"), "text")
-    return queries, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("docid"), "text")
+    return queries, spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("docid"), "text"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,10 +118,10 @@ def _fill(spark: SparkSession, sf_dir: str, targets: list[int], limit: int) -> D
     bought = lines.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     have = bought.select("o_custkey", F.col("l_partkey").alias("item")).distinct()
     existing = have.groupBy("o_custkey").agg(F.count("*").alias("n"))
-    # each supplier's 20 most ordered parts bound the candidates of a customer and supplier
+    # each supplier's five most ordered parts bound the candidates of a customer and supplier
     sold = lines.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("qty"))
     best = Window.partitionBy("l_suppkey").orderBy(F.desc("qty"), "l_partkey")
-    sold = sold.withColumn("r", F.row_number().over(best)).filter("r <= 20").select("l_suppkey", F.col("l_partkey").alias("item"), "qty")
+    sold = sold.withColumn("r", F.row_number().over(best)).filter("r <= 5").select("l_suppkey", F.col("l_partkey").alias("item"), "qty")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), "p_brand")
     offered = bought.select("o_custkey", "l_suppkey").distinct().join(sold, "l_suppkey").groupBy("o_custkey", "item").agg(F.max("qty").alias("qty"))
     offered = offered.join(have, ["o_custkey", "item"], "left_anti").join(parts, "item")
@@ -243,7 +243,7 @@ def _call_text(**args):
 
 def decode_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = _call_text(user_id=F.col("user_id").cast("string"), value=_whole("value"), props=F.col("props"), tag=F.concat(F.lit("'"), "event_type", F.lit("'")))
-    calls = table(spark, sf_dir, "events").select("event_id", F.explode(decode_calls(text)).alias("call"))
+    calls = spread(table(spark, sf_dir, "events")).select("event_id", F.explode(decode_calls(text)).alias("call"))
     return calls.select("event_id", "call.func", "call.args_json")
 
 
@@ -262,7 +262,7 @@ def check_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(case == 4, _call_text(user_id=user, tag=F.lit("'zzz'")))
         .otherwise(F.concat(F.col("event_type"), F.lit("(")))
     )
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"))
     answer = F.array(decode_calls(_call_text(user_id=user, tag=tag)))
     out = events.select("event_id", check_calls(F.lit(functions), decode_calls(output), answer).alias("v"))
     return out.select("event_id", "v.valid", F.coalesce("v.error_type", F.lit("none")).alias("error_type"))
@@ -272,7 +272,7 @@ def sft_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     user, tag = F.col("user_id").cast("string"), F.concat(F.lit("'"), "event_type", F.lit("'"))
     gold = _call_text(user_id=user, tag=tag)
     pred = F.when(F.col("event_id") % 3 == 0, gold).when(F.col("event_id") % 3 == 1, _call_text(tag=tag, user_id=user)).otherwise(_call_text(user_id=_whole("value"), tag=tag))
-    rows = table(spark, sf_dir, "events").select("event_id", pred.alias("pred"), gold.alias("gold"))
+    rows = spread(table(spark, sf_dir, "events")).select("event_id", pred.alias("pred"), gold.alias("gold"))
     return rows.select("event_id", candidate_string(F.array("pred", F.lit("[none]"), "gold")).alias("candidates"), calls_equal(F.col("pred"), F.col("gold")).alias("correct"))
 
 
@@ -281,7 +281,7 @@ def reflection_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.col("user_id").cast("string")
     gold = _call_text(user_id=user, tag=F.lit("'a'"))
     pred = F.when(F.col("event_id") % 3 == 0, gold).when(F.col("event_id") % 3 == 1, _call_text(user_id=user, flag=F.lit("True"))).otherwise(_call_text(user_id=F.lit("'u'"), tag=F.lit("'a'")))
-    rows = table(spark, sf_dir, "events").select("event_id", "event_type", reflection(pred, gold, F.lit(functions)).alias("r"))
+    rows = spread(table(spark, sf_dir, "events")).select("event_id", "event_type", reflection(pred, gold, F.lit(functions)).alias("r"))
     part = lambda name: F.regexp_replace(F.coalesce(F.call_function("get_json_object", F.col("r"), F.concat(F.lit("$.params."), F.col("event_type"), F.lit(f".{name}"))), F.lit("[]")), r'["\[\]]', "")
     return rows.select("event_id", part("missing").alias("missing"), part("redundant").alias("redundant"), part("type").alias("wrong_type"))
 

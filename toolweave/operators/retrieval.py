@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from toolweave.operators.order import top_k
+from toolweave.sources.shared import materialize
 
 # Fixed values of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -47,50 +48,87 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def token_counts(corpus: DataFrame, tokens: Column) -> tuple[DataFrame, float, float]:
+    """((token, df), documents, mean length) of ``corpus`` in one scan; the counts are written, the two numbers returned.
+
+    Each document hands on its distinct tokens and one row without a token that
+    carries its length; counts combine before the shuffle.
+    """
+    kind = "struct<token:string,length:bigint>"
+    whole = F.struct(F.lit(None).cast("string").alias("token"), F.size("t").cast("long").alias("length")).cast(kind)
+    each = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("token"), F.lit(0).cast("long").alias("length")).cast(kind))
+    rows = corpus.select(tokens.alias("t")).select(F.explode(F.concat(F.array(whole), each)).alias("r"))
+    counts = materialize(rows.groupBy("r.token").agg(F.count("*").alias("df"), F.sum("r.length").alias("length")), "token_counts")
+    all_ = counts.filter("token is null").first()
+    n, length = (all_["df"], all_["length"]) if all_ else (0, 0)
+    return counts.filter("token is not null").select("token", F.col("df").cast("double").alias("df")), float(n), length / n if n else 0.0
+
+
+def _bm25_weight(tf: Column, length: Column, mean_length: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
+
+
+def _idf(docs: Column, df: Column) -> Column:
+    return F.log(docs - df + 0.5) - F.log(df + 0.5)
+
+
+def _floored(raw: Column, mean: Column) -> Column:
+    """Negative idf becomes a share of the mean idf."""
+    return F.when(raw < 0, EPSILON * mean).otherwise(raw)
+
+
 def bm25(queries: DataFrame, corpus: DataFrame, group: list[str] | None = None, lower: bool = False) -> DataFrame:
     """Okapi BM25 of ``queries`` (qid, text) over ``corpus`` (docid, text), rounded to two decimals.
 
     With ``group`` columns in both tables each group is a corpus of its own.
-    Terms whose idf would be negative get a quarter of the mean idf. Document
-    frequencies combine before their shuffle; occurrences are counted for the
-    queries' terms only.
+    Terms whose idf would be negative get a quarter of the mean idf over all
+    terms. Occurrences are counted for the queries' terms only.
     """
-    group = group or []
-    tokens = corpus.select(*group, "docid", white_space_tokens("text", lower).alias("tokens"))
-    one = F.lit(1).alias("one")
-    on = group or ["one"]
-    sizes = tokens.groupBy(*(group or [one])).agg(F.count("*").cast("double").alias("docs"), F.avg(F.size("tokens").cast("double")).alias("mean_length"))
-    found = tokens.select(*group, F.explode(F.array_distinct("tokens")).alias("token")).groupBy(*(group or [one]), "token").agg(F.count("*").cast("double").alias("df"))
-    idf = F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    weights = found.join(sizes, on).withColumn("raw", idf)
-    mean = weights.groupBy(*on).agg(F.avg("raw").alias("mean_idf"))
-    asked = _terms(queries, [*group, "qid"], white_space_tokens("text", lower))
-    wanted = asked.select(*group, "token").distinct()
-    wanted = wanted if group else small(wanted)
-    key = [*group, "token"]
-    weights = weights.join(wanted, key, "left_semi").join(mean, on).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")))
-    terms = tokens.select(*group, "docid", F.size("tokens").cast("double").alias("length"), F.explode("tokens").alias("token")).join(wanted, key, "left_semi")
+    tokens = white_space_tokens("text", lower)
+    asked = _terms(queries, [*(group or []), "qid"], tokens)
+    if group:
+        return _grouped_bm25(asked, corpus, group, tokens)
+    counts, docs, mean_length = token_counts(corpus, tokens)
+    weights = counts.select("token", _idf(F.lit(docs), F.col("df")).alias("raw"))
+    mean = weights.agg(F.avg("raw")).first()[0] or 0.0
+    weights = weights.select("token", _floored(F.col("raw"), F.lit(mean)).alias("idf"))
+    wanted = small(asked.join(weights, "token"))
+    terms = corpus.select("docid", tokens.alias("t")).select("docid", F.size("t").cast("double").alias("length"), F.explode("t").alias("token"))
+    # one row per document, query and term; equal rows combine before the shuffle
+    found = terms.join(wanted, "token").groupBy("docid", "qid", "token").agg(F.count("*").cast("double").alias("tf"), F.first("length").alias("length"), F.first("n").alias("n"), F.first("idf").alias("idf"))
+    part = F.col("n") * F.col("idf") * _bm25_weight(F.col("tf"), F.col("length"), F.lit(mean_length))
+    return found.groupBy("qid", "docid").agg(F.round(F.sum(part), 2).alias("score"))
+
+
+def _grouped_bm25(asked: DataFrame, corpus: DataFrame, group: list[str], tokens: Column) -> DataFrame:
+    """BM25 within groups: all statistics are keyed by the group."""
+    split = corpus.select(*group, "docid", tokens.alias("t"))
+    sizes = split.groupBy(*group).agg(F.count("*").cast("double").alias("docs"), F.avg(F.size("t").cast("double")).alias("mean_length"))
+    terms = split.select(*group, "docid", F.size("t").cast("double").alias("length"), F.explode("t").alias("token"))
     terms = terms.groupBy(*group, "docid", "length", "token").agg(F.count("*").cast("double").alias("tf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = terms.join(weights, key).select(*group, "docid", "token", part.alias("part"))
-    hits = asked.join(scored, key).groupBy(*group, "qid", "docid")
-    return hits.agg(F.round(F.sum(F.col("n") * F.col("part")), 2).alias("score"))
+    key = [*group, "token"]
+    weights = terms.groupBy(*key).agg(F.count("*").cast("double").alias("df")).join(sizes, group).withColumn("raw", _idf(F.col("docs"), F.col("df")))
+    weights = weights.withColumn("idf", _floored(F.col("raw"), F.avg("raw").over(Window.partitionBy(*group))))
+    part = F.col("n") * F.col("idf") * _bm25_weight(F.col("tf"), F.col("length"), F.col("mean_length"))
+    scored = asked.join(terms, key).join(weights.select(*key, "idf", "mean_length"), key)
+    return scored.groupBy(*group, "qid", "docid").agg(F.round(F.sum(part), 2).alias("score"))
 
 
 def tf_idf(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Dot product of length-normalised TF-IDF vectors, smoothed idf from the corpus, rounded to two decimals."""
-    tokens = corpus.select("docid", word_tokens("text").alias("tokens"))
-    docs = corpus.agg(F.count("*").cast("double").alias("docs"))
-    found = tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    idf = found.join(docs).select("token", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighed = lambda terms: terms.join(idf, "token").withColumn("w", F.col("n") * F.col("idf"))
-    norm = lambda terms, key: terms.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"{key}_norm"))
-    asked = weighed(_terms(queries, ["qid"], word_tokens("text")))
-    terms = weighed(_terms(corpus, ["docid"], word_tokens("text")))
-    q = asked.select("qid", "token", F.col("w").alias("qw"))
-    dots = small(q).join(terms, "token").groupBy("qid", "docid").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    scored = dots.join(norm(asked, "qid"), "qid").join(norm(terms, "docid"), "docid")
-    return scored.select("qid", "docid", F.round(F.col("dot") / (F.col("qid_norm") * F.col("docid_norm")), 2).alias("score"))
+    """Dot product of length-normalised TF-IDF vectors, smoothed idf from the corpus, rounded to two decimals.
+
+    A document's norm and its products with the queries come from the same rows:
+    each of its terms carries the queries that ask for it.
+    """
+    counts, docs, _ = token_counts(corpus, word_tokens("text"))
+    idf = counts.select("token", (F.log((1 + F.lit(docs)) / (1 + F.col("df"))) + 1).alias("idf"))
+    asked = _terms(queries, ["qid"], word_tokens("text")).join(idf, "token").withColumn("w", F.col("n") * F.col("idf"))
+    norms = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
+    asks = asked.join(norms, "qid").groupBy("token").agg(F.collect_list(F.struct("qid", (F.col("w") / F.col("qn")).alias("qw"))).alias("asks"))
+    terms = _terms(corpus, ["docid"], word_tokens("text")).join(idf, "token").join(small(asks), "token", "left").withColumn("w", F.col("n") * F.col("idf"))
+    per_doc = terms.groupBy("docid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"), F.collect_list(F.when(F.col("asks").isNotNull(), F.struct("w", "asks"))).alias("hits"))
+    hits = per_doc.select("docid", "dn", F.explode("hits").alias("h")).select("docid", "dn", "h.w", F.explode("h.asks").alias("q"))
+    return hits.groupBy("docid", "q.qid").agg(F.round(F.sum(F.col("w") * F.col("q.qw")) / F.first("dn"), 2).alias("score")).select("qid", "docid", "score")
 
 
 def with_zero_scores(hits: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:

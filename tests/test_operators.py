@@ -95,6 +95,15 @@ def test_milestones(spark, trace, stones, want):
     assert df.select(metrics.milestone_share(F.col("t"), F.col("s"))).first()[0] == pytest.approx(want)
 
 
+def test_milestones_of_rows(spark):
+    traces = {1: "axbc", 2: "ba", 3: "aab", 4: "x", 5: "abcabc"}
+    rows = spark.createDataFrame([(k, i, v) for k, t in traces.items() for i, v in enumerate(t)], "k int, at int, v string")
+    for stones in ("abc", "aab", ""):
+        arrays = rows.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("t"))
+        want = values(arrays.select("k", metrics.milestone_share(F.col("t"), F.array(*map(F.lit, stones)).cast("array<string>")).alias("share")))
+        assert values(metrics.milestone_rows(rows, "k", ["at"], "v", list(stones))) == want
+
+
 def groups_loop(n, k):
     """Chunks, round robin and regrouping as loops."""
     kk = min(k, n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from toolweave.sources import readers, writers
+from toolweave.sources import readers, shared, writers
 from toolweave.streaming import results
 
 
@@ -54,3 +54,10 @@ def test_stream(spark, tmp_path):
     q = results.score_stream(stream, lambda b: b.withColumn("n", F.length("result")), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert sorted((r.id, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("x", 1), ("y", 2)]
+
+
+def test_materialized_tables(spark):
+    df = shared.materialize(spark.range(5), "x")
+    assert df.count() == 5 and "toolweave-" in df.inputFiles()[0]
+    shared.drop_tables(spark)
+    assert shared.materialize(spark.range(3), "x").count() == 3

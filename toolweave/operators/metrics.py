@@ -20,6 +20,14 @@ def ndcg(hits: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = (5, 10), que
     relevant = qrels.select("qid", "docid").distinct().withColumn("rel", F.lit(1.0))
     judged = relevant.groupBy("qid").agg(F.count("*").alias("n_rel"))
     rows = hits.join(relevant, ["qid", "docid"], "left").withColumn("rel", F.coalesce("rel", F.lit(0.0)))
+    return judged_ndcg(rows, judged, cuts, queries, corpus_size)
+
+
+def judged_ndcg(rows: DataFrame, judged: DataFrame, cuts: tuple[int, ...] = (5, 10), queries: DataFrame | None = None, corpus_size: int | None = None) -> DataFrame:
+    """``ndcg`` of hits that carry their relevance ``rel``, with the number of relevant documents per query (qid, n_rel).
+
+    It needs no list of relevant pairs, which can be far longer than the hits.
+    """
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "docid"))
     rows = rows.select("qid", "rel", place.alias("place"), F.avg("rel").over(Window.partitionBy("qid", "score")).alias("gain"))
     discount = lambda place: F.lit(1.0) / F.log2(place.cast("double") + 1)
@@ -83,6 +91,22 @@ def percent(value: Column) -> Column:
     return F.concat(F.format_string("%.2f", value * 100), F.lit("%"))
 
 
+def milestone_rows(rows: DataFrame, key: str, order: list[str], value: str, stones: list[str]) -> DataFrame:
+    """(key, share): ``milestone_share`` of traces given as rows, of any length.
+
+    Stone by stone the earliest row after the last one found; minima combine
+    before each shuffle and no trace is gathered in one place.
+    """
+    at = F.struct(*order)
+    out = rows.select(key).distinct().withColumn("__last", F.lit(None).cast(rows.select(at.alias("a")).schema["a"].dataType)).withColumn("__hits", F.lit(0))
+    for i, stone in enumerate(stones):
+        after = rows.filter(F.col(value) == stone).select(key, at.alias("__at")).join(out, key)
+        nxt = after.filter((F.col("__hits") == i) & (F.lit(i == 0) | (F.col("__at") > F.col("__last")))).groupBy(key).agg(F.min("__at").alias("__next"))
+        found = F.col("__next").isNotNull()
+        out = out.join(nxt, key, "left").select(key, F.when(found, F.col("__next")).otherwise(F.col("__last")).alias("__last"), F.when(found, F.lit(i + 1)).otherwise(F.col("__hits")).alias("__hits"))
+    return out.select(key, (F.col("__hits") / F.lit(float(len(stones))) if stones else F.lit(1.0)).alias("share"))
+
+
 def milestone_share(trace: Column, stones: Column) -> Column:
     """Share of the longest prefix of ``stones`` that is a subsequence of ``trace``; 1 without stones."""
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("hit"), F.lit(False).alias("lost"))

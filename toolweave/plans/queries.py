@@ -62,11 +62,12 @@ def rerank_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ndcg_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "label")
-    # per query its relevant documents: an equi join on the label of the stated queries
-    qrels = q.join(v.withColumnRenamed("vec_id", "docid"), "label").filter("qid <> docid").select("qid", "docid")
-    return metrics.ndcg(_dense(spark, sf_dir, 50), qrels)
+    """Relevant are all other vectors of the query's label; they are counted, not listed."""
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    judged = labels.join(labels.groupBy("label").agg((F.count("*") - 1).alias("n_rel")), "label").filter("vec_id % 20 = 0 and n_rel > 0")
+    hits = _dense(spark, sf_dir, 50).join(labels.select(F.col("vec_id").alias("qid"), F.col("label").alias("asked")), "qid").join(labels.withColumnRenamed("vec_id", "docid"), "docid")
+    rel = (F.col("label") == F.col("asked")).cast("double")
+    return metrics.judged_ndcg(hits.withColumn("rel", rel), judged.select(F.col("vec_id").alias("qid"), "n_rel"))
 
 
 def corpus_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,9 +193,7 @@ def session_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def milestone_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trace = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda e: e["event_type"])
-    seen = table(spark, sf_dir, "events").groupBy("user_id").agg(trace.alias("trace"))
-    return seen.select("user_id", metrics.milestone_share(F.col("trace"), F.array(*map(F.lit, STONES))).alias("share"))
+    return metrics.milestone_rows(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", STONES)
 
 
 def _event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,15 +13,27 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder of our own only where that is unset."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder of our own, gone at exit, only where that is unset."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir.get("path")
     if not path:
-        path = _own_dir["path"] = "file://" + tempfile.mkdtemp(prefix="toolweave-")
+        own = tempfile.mkdtemp(prefix="toolweave-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = _own_dir["path"] = f"file://{own}"
     return path.rstrip("/")
 
 
+def _tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/toolweave-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete what this application has materialized; call it when no result that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

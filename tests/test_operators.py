@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -79,6 +80,24 @@ def test_ndcg_with_ties(spark):
     assert values(metrics.ndcg(hits.filter("qid < 3"), qrels, queries=queries, corpus_size=9)) == values(listed)
 
 
+def test_ndcg_against_a_loop(spark):
+    rng = random.Random(1)
+    hits = [(q, d, float(rng.randrange(6))) for q in range(40) for d in range(rng.randrange(1, 25))]
+    rel = [(q, d) for q in range(40) for d in range(25) if rng.random() < 0.3]
+    frames = spark.createDataFrame(hits, "qid long, docid long, score double"), spark.createDataFrame(rel, "qid long, docid long")
+    for r in metrics.ndcg(*frames).collect():
+        relevant = {d for q, d in rel if q == r.qid}
+        own = sorted((-s, d) for q, d, s in hits if q == r.qid)
+        for k in (5, 10):
+            if not relevant:
+                assert r[f"ndcg_{k}"] is None
+                continue
+            gain = [sum(d in relevant for t, d in own if t == s) / sum(t == s for t, _ in own) for s, _ in own]
+            dcg = sum(g / math.log2(i + 2) for i, g in enumerate(gain[:k]))
+            best = sum(1 / math.log2(i + 2) for i in range(min(k, len(relevant))))
+            assert r[f"ndcg_{k}"] == pytest.approx(dcg / best, abs=1e-6) and 0 <= r[f"ndcg_{k}"] <= 1
+
+
 def test_sessions_islands_accuracy(spark):
     rows = spark.createDataFrame([("u", i, t, v) for i, (t, v) in enumerate([("a", True), ("a", False), ("b", True), ("a", True)])], "user string, ts int, kind string, valid boolean")
     runs = metrics.islands(rows, "user", ["ts"], "kind")

@@ -139,6 +139,7 @@ def with_zero_scores(hits: DataFrame, queries: DataFrame, corpus: DataFrame) ->
 
 def query_blocks(queries: DataFrame, id_col: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, matrix) of the query vectors in blocks of at most BLOCK_NUMBERS numbers, about."""
+    queries = queries.filter(F.col(vector).isNotNull())
     size = queries.agg(F.sum(F.size(vector))).first()[0] or 0
     blocks = -(-2 * size // BLOCK_NUMBERS)
     for b in range(blocks):
@@ -162,7 +163,7 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, vector: str = "em
                 docs = batch.column(0).to_numpy()
                 if not len(docs):
                     continue
-                m = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(docs), -1)
+                m = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(docs), -1)
                 dots = matrix @ m.T
                 score = np.round(dots / (norms[:, None] * np.sqrt((m * m).sum(1))), digits)
                 score[ids[:, None] == docs] = -np.inf
@@ -173,7 +174,7 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, vector: str = "em
                 apart = np.round(np.sqrt(((matrix[q] - m[d]) ** 2).sum(1)), digits)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(docs[d]), pa.array(score[q, d]), pa.array(apart)], ["qid", "docid", "score", "distance"])
 
-        return corpus.select("docid", vector).mapInArrow(run, "qid bigint, docid bigint, score double, distance double")
+        return corpus.select("docid", vector).filter(F.col(vector).isNotNull()).mapInArrow(run, "qid bigint, docid bigint, score double, distance double")
 
     parts = [scan(*block) for block in query_blocks(queries, "qid", vector)]
     if not parts:
@@ -193,12 +194,16 @@ def late_interaction(queries: DataFrame, corpus: DataFrame, key: str) -> DataFra
     return pairs.select("qid", "docid", F.round(F.aggregate(best, F.lit(0.0), lambda s, x: s + x), 6).alias("score"))
 
 
-def fuse_ranks(lists: list[DataFrame], corpus_size: int | Column) -> DataFrame:
+def fuse_ranks(lists: list[DataFrame], corpus_size: int | Column, depth: int | None = None) -> DataFrame:
     """Borda fusion: per document the sum over lists of its position from the bottom.
 
     A document's position is the number of documents ranked below it by (score
-    desc, docid); documents that a list doesn't score are at its bottom, 0.
+    desc, docid); documents that a list doesn't score are at its bottom, 0. With
+    ``depth`` each list counts down to that rank only, so that no query's whole
+    list is sorted.
     """
+    if depth is not None:
+        lists = [top_k(h, depth) for h in lists]
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "docid")
     size = F.lit(corpus_size) if isinstance(corpus_size, int) else corpus_size
     placed = [h.select("qid", "docid", (size - F.row_number().over(order)).cast("long").alias("points")) for h in lists]

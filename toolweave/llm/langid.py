@@ -96,7 +96,8 @@ def train_language(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_
     pick = F.lit(False)
     for name in names:
         pick = pick | ((F.col("lang") == name) & hashed_share("id", per_language / counts[name]))
-    sample = sorted(((r["id"] is None, r["id"] or 0, r["text"], r["lang"]) for r in rows.filter(pick & (F.length("text") <= max_chars)).collect()))
+    drawn = rows.filter(pick & (F.length("text") <= max_chars)).groupBy("id").agg(F.min(F.struct("text", "lang")).alias("r"))  # one row of an id that repeats
+    sample = sorted(((r["id"] is None, r["id"] or 0, r["r"]["text"], r["r"]["lang"]) for r in drawn.collect()))
     number = {n: i for i, n in enumerate(names)}
     truth = np.array([number[r[3]] for r in sample], np.int64)
     back = np.array([zlib.crc32(f"held {r[1]}".encode()) % 5 == 0 for r in sample], bool)

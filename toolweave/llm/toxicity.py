@@ -64,6 +64,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
     drawn = known.filter(F.when(F.col("label") == 1, hashed_share("id", per_class / counts[1])).otherwise(hashed_share("id", per_class / counts[0])))
     # at most about 2 x per_class rows of two numbers, so this side may be sent to all executors
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").filter(F.length("text") <= max_chars)
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))  # one row of an id that repeats
     rows = sorted((r["id"], r["text"], r["label"]) for r in texts.collect())
     found = [y for _, t, y in rows if t.strip()]
     if min(found.count(0), found.count(1)) < LEAST:

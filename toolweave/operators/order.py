@@ -25,12 +25,12 @@ def dense_index(df: DataFrame, order: list[Column | str], name: str = "position"
     ranged = keyed.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id())
     ranged = materialize(ranged, "ranges")
     sizes = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}
-    before = dict(zip(sorted(sizes), accumulate([start, *[sizes[k] for k in sorted(sizes)]]), strict=False))
+    before = list(zip(sorted(sizes), accumulate([start, *[sizes[k] for k in sorted(sizes)]]), strict=False))
+    offsets = df.sparkSession.createDataFrame(before, "__range int, __before long")
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(*keys)) - 1
-    if not before:
-        return ranged.select(*df.columns, F.lit(0).cast("long").alias(name))
-    offsets = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    return ranged.select(*df.columns, (offsets[F.col("__range")] + inside).cast("long").alias(name))
+    # one row per range, so this side may be sent to all executors
+    placed = ranged.withColumn("__inside", inside).join(F.broadcast(offsets), "__range")
+    return placed.select(*df.columns, (F.col("__before") + F.col("__inside")).cast("long").alias(name))
 
 
 def spread(df: DataFrame) -> DataFrame:

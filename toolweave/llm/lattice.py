@@ -290,27 +290,25 @@ def count_words(docs: DataFrame, id_col: str, text_col: str, learn: Column) -> D
     """(word, c, n): occurrences in training documents and in all; the null word stands for the end symbol."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
         learnt: Counter = Counter()
+        others: Counter = Counter()
 
         def handed() -> pa.RecordBatch:
-            words = list(seen)
-            get = learnt.get
-            return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") if w is not None else None for w in words], pa.string()), pa.array([get(w, 0) for w in words], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["word", "c", "n"])
+            words = list(learnt.keys() | others.keys())
+            c = [learnt[w] for w in words]
+            n = [k + others[w] for k, w in zip(c, words, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") if w is not None else None for w in words], pa.string()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["word", "c", "n"])
 
         for batch in batches:
             for text, train in zip(texts_of(batch, 0), batch.column(1).to_pylist(), strict=True):
-                words = text.encode("utf-8", "surrogatepass").lower().split()
-                seen.update(words)
-                seen[None] += 1
-                if train:
-                    learnt.update(words)
-                    learnt[None] += 1
-                if len(seen) > COUNTED_WORDS:
+                counter = learnt if train else others
+                counter.update(text.encode("utf-8", "surrogatepass").lower().split())
+                counter[None] += 1
+                if len(learnt) + len(others) > COUNTED_WORDS:
                     yield handed()
-                    seen.clear()
                     learnt.clear()
-        if seen:
+                    others.clear()
+        if learnt or others:
             yield handed()
 
     parts = docs.select(F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("train")).mapInArrow(run, "word string, c bigint, n bigint")

@@ -49,7 +49,7 @@ COUNTED_WORDS = 400_000
 #: Expectation steps over the word counts.
 ROUNDS = 2
 #: Words of up to so many characters go through the recursion side by side, so many at a time.
-SHORT_WORD, SIDE_BY_SIDE = 48, 4096
+SHORT_WORD, SIDE_BY_SIDE = 48, 1024
 LOG10 = math.log(10)
 
 
@@ -226,6 +226,8 @@ class WordLattices:
         for k in range(most):
             h = self.table.step(h[:, : wide - k], code[:, k:])
             piece[:, : wide - k, k] = self.table.find(h)
+        found = np.flatnonzero((piece >= 0).any((0, 1)))
+        piece = piece[:, :, : max(1, found[-1] + 1 if len(found) else 1)]  # no longer piece occurs in these words
         weight = np.where(piece >= 0, self.log_p[piece], -np.inf)
         loose = (piece[:, :, 0] < 0) & (code > 0)
         if loose.any():

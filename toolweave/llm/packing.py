@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import bisect
 import functools
+import re
 import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,11 @@ from toolweave.llm.common import map_batches, materialize, texts_of
 END_ID = 0
 #: Ranks are counted within salted shares of a length, of about so many rows.
 SHARE_ROWS = 4000
+#: The vocabulary's special token; a text that holds its name gives its id, as the ``tokenizers`` library does by default.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+#: White space as the pattern's ``\s`` reads it; the pattern's stack doesn't hold a run of about a million.
+LONG_SPACE = 100_000
+_LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE)
 
 
 @functools.lru_cache(maxsize=2)
@@ -42,8 +48,9 @@ def encoder(path: str | None = None):
 
     The ids are those of the ``tokenizers`` library with ``byte_bpe_50k.json``
     (the tests compare them). They are computed by ``tiktoken`` from the same
-    vocabulary's ranks, which takes a sixth of the time. Special tokens' names
-    in a text are ordinary text.
+    vocabulary's ranks, which takes a sixth of the time. Here special tokens'
+    names are ordinary text, and very long white space raises an error; see
+    ``text_encoder`` for whole texts.
     """
     import base64
 
@@ -55,6 +62,35 @@ def encoder(path: str | None = None):
     return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
 
+def text_encoder(path: str | None = None) -> Callable[[str], np.ndarray]:
+    """Whole texts to ids, those of ``Tokenizer.encode`` with its defaults.
+
+    The special token's name stands for its id and parts the text. A long run
+    of white space is one unit of the pattern, without its last character where
+    something follows; it is merged without the pattern.
+    """
+    encode = encoder(path)
+    unit = encode.__self__._core_bpe.encode_single_piece
+
+    def plain(text: str) -> list[np.ndarray]:
+        parts, done = [], 0
+        for m in _LONG_SPACE.finditer(text) if len(text) >= LONG_SPACE else ():
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            parts += [encode(text[done : m.start()], disallowed_special=()), np.array(unit(text[m.start() : end].encode()), np.uint32)]
+            done = end
+        return [*parts, encode(text[done:], disallowed_special=())]
+
+    def ids(text: str) -> np.ndarray:
+        if SPECIAL not in text and len(text) < LONG_SPACE:
+            return encode(text, disallowed_special=())
+        parts: list[np.ndarray] = []
+        for i, part in enumerate(text.split(SPECIAL)):
+            parts += [np.array([SPECIAL_ID], np.uint32), *plain(part)] if i else plain(part)
+        return np.concatenate(parts)
+
+    return ids
+
+
 def cut_points(length: int, capacity: int) -> list[int]:
     """Starts of the pieces of a document; only the first piece may be shorter than the capacity."""
     first = length % capacity or capacity
@@ -66,13 +102,13 @@ def tokenized_pieces(df: DataFrame, capacity: int, id_col: str = "doc_id", text_
     kind = df.schema[id_col].dataType.simpleString()
 
     def start():
-        encode = encoder(tokenizer_path)
+        encode = text_encoder(tokenizer_path)
         end = np.array([END_ID], "<u4").tobytes()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows: list[tuple[int, int, int, int, int]] = []
             for i, text in enumerate(texts_of(batch, 1)):
-                ids = encode(text, disallowed_special=()).astype("<u4").tobytes() + end
+                ids = encode(text).astype("<u4").tobytes() + end
                 n = len(ids) // 4
                 at = cut_points(n, capacity)
                 rows += [(i, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(at, [*at[1:], n], strict=True))]

@@ -5,7 +5,8 @@ rule's keyword stands. Only there the rule's regular expression is tried,
 anchored at the hit; a candidate with an embedded checksum is kept only if the
 checksum holds. Long runs of hex digits have no keyword of their own, so the
 text is projected on the alphabet {hex digit, other} and the keyword is a run
-of 24 hex digits of that projection.
+of 24 hex digits of that projection. A private key's span runs on from its
+header to the matching END line, or to the end of its base64 lines.
 
 Defined cases: null or empty text has no spans; texts are scanned whole;
 repeated rows give repeated results; an empty table gives an empty one.
@@ -56,11 +57,23 @@ def _json_web_token(m: re.Match) -> bool:
     return isinstance(head, dict) and "alg" in head
 
 
+#: What follows a key's header: fields, then base64 lines, of which the last may be short; line feeds may be escaped.
+_KEY_BODY = re.compile(r"(?:(?:\s|\\[rn])++[A-Z][A-Za-z-]*+:[^\r\n\\]*+)*+(?:(?:\s|\\[rn])*+[A-Za-z0-9+/]{16,}+={0,2}+)*+(?:(?:\s|\\[rn])++[A-Za-z0-9+/]++={0,2}+(?=[\x20\t]*+(?:[\r\n]|\\[rn]|[\"']|\Z)))?+")
+
+
+def _key_end(text: str, m: re.Match) -> int:
+    """Where a private key ends: after the END line of its kind before the next BEGIN, else after its base64 lines."""
+    after = text.find("-----BEGIN ", m.end())
+    footer = f"-----END {m['type']}PRIVATE KEY-----"
+    at = text.find(footer, m.end(), after if after >= 0 else len(text))
+    return at + len(footer) if at >= 0 else _KEY_BODY.match(text, m.end()).end()
+
+
 class Rule:
-    """A kind of secret: keywords (lower case), anchored pattern, validation."""
+    """A kind of secret: keywords (lower case), anchored pattern, validation, where its span ends if not with the match."""
 
-    def __init__(self, kind: str, keywords: list[str], pattern: str, valid: Callable[[re.Match], bool] | None = None):
-        self.kind, self.keywords, self.pattern, self.valid = kind, keywords, re.compile(pattern, re.ASCII), valid
+    def __init__(self, kind: str, keywords: list[str], pattern: str, valid: Callable[[re.Match], bool] | None = None, end: Callable[[str, re.Match], int] | None = None):
+        self.kind, self.keywords, self.pattern, self.valid, self.end = kind, keywords, re.compile(pattern, re.ASCII), valid, end
 
 
 # The base rules of the result's definition, then issuers' public token formats.
@@ -73,7 +86,7 @@ RULES = [
     Rule("jwt", ["eyj"], r"(?P<head>eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", _json_web_token),
     Rule("slack", ["xox"], r"xox[abprs]-[0-9A-Za-z-]{10,}"),
     Rule("google", ["aiza"], r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"),
-    Rule("private_key", ["-----begin"], r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", ["-----begin"], r"-----BEGIN (?P<type>(?:[A-Z]+ )*)PRIVATE KEY-----", end=_key_end),
 ]
 KINDS = [r.kind for r in RULES]
 BASE = KINDS[:3]
@@ -113,9 +126,10 @@ class Scanner:
             for at in sorted(set(starts)):
                 # a match that fails validation has still used up its characters
                 if at >= free and (m := rule.pattern.match(text, at)):
-                    free = max(free, m.end())
+                    end = rule.end(text, m) if rule.end else m.end()
+                    free = max(free, end)
                     if rule.valid is None or rule.valid(m):
-                        found.append((at, m.end(), kind))
+                        found.append((at, end, kind))
         if _HEX in self.rules:
             flat, at = data.translate(_HEX_CLASS), 0
             while (at := flat.find(_HEX_RUN, at)) >= 0:

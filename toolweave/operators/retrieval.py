@@ -150,6 +150,7 @@ def query_blocks(queries: DataFrame, id_col: str, vector: str) -> Iterator[tuple
 
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, vector: str = "embedding", digits: int = 6) -> DataFrame:
     """Exact cosine top-k: (qid, docid, score, distance, rank); a document is no hit of a query with its id.
+    A zero vector has no direction: it is no hit and has none.
 
     A block of queries meets each batch of the corpus in one matrix product and
     each batch hands on its k best a query; the window ranks those.
@@ -165,8 +166,10 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, vector: str = "em
                     continue
                 m = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(docs), -1)
                 dots = matrix @ m.T
-                score = np.round(dots / (norms[:, None] * np.sqrt((m * m).sum(1))), digits)
-                score[ids[:, None] == docs] = -np.inf
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    score = np.round(dots / (norms[:, None] * np.sqrt((m * m).sum(1))), digits)
+                # NaN would rank above every number
+                score[np.isnan(score) | (ids[:, None] == docs)] = -np.inf
                 n = min(k, len(docs))
                 # the k-th best score of a query; ties with it all go on
                 least = np.partition(score, -n, axis=1)[:, -n]

@@ -9,7 +9,10 @@ flow separates content from the rest. The blocks on the content side are joined
 by line feeds.
 
 The classifier's weights are fixed values; there are no labelled pages to learn
-them from.
+them from. Words that name boilerplate don't count in compounds that only
+qualify (has-sidebar, category-social), never make an article or main element
+negative, and don't count on an element that holds most of the page's text with
+all of its article and main elements.
 
 Defined cases: a null or empty page has an empty text; broken markup is read as
 far as it goes (an open tag at the end is dropped, an unknown one is inline);
@@ -46,6 +49,9 @@ SCOPES = set("ul ol dl table body html div article section main".split())
 ELEMENT = {"article": 3.0, "main": 2.5, "p": 0.8, "blockquote": 0.8, "pre": 0.8, "h1": 1.0, "h2": 0.6, "h3": 0.5, "nav": -7.0, "footer": -7.0, "aside": -7.0, "form": -7.0, "header": -2.5, "menu": -7.0, "dialog": -7.0, "fieldset": -7.0, "search": -7.0, "address": -2.0, "figure": -0.3, "li": -0.2}
 GOOD_WORDS = {w: 1.5 for w in "article content entry post story body main text prose".split()}
 BAD_WORDS = {w: -8.0 for w in "ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer sidebar aside widget widgets related recommended recommendations share sharing social comment comments commentlist disqus respond reply replies discussion form search toolbar copyright disclaimer masthead topbar contentinfo complementary alert paywall teaser".split()} | {"header": -3.0}
+#: Words after which the rest of a class name says what goes with an element or what it is about, not what it is.
+QUALIFIERS = set("has have with without no not non hide hidden show supports category cat tag topic format type status".split())
+WRAPPERS, MOST_TEXT = ("article", "main"), 0.7
 START, LENGTH, LINKS = -1.0, 2.5, -5.0
 FULL_LENGTH = 40
 ADJACENT, SAME_PARENT, CLOSE = 0.3, 1.2, 0.5
@@ -58,6 +64,7 @@ class Element:
     parent: int
     number: int
     odds: float
+    bad: float
     hidden: bool
 
 
@@ -72,20 +79,51 @@ class Block:
         return " ".join("".join(self.pieces).split())
 
 
-def _own_odds(tag: str, rest: str) -> float:
-    odds = ELEMENT.get(tag, 0.0)
+def _names(rest: str) -> set[str]:
+    """The words of class, id and role; of a compound those before a qualifier."""
+    words: set[str] = set()
+    for m in ATTRIBUTE.finditer(rest):
+        for token in (m[1] or m[2] or m[3] or "").split():
+            for w in map(str.lower, NAME.findall(token)):
+                if w in QUALIFIERS:
+                    break
+                words.add(w)
+    return words
+
+
+def _own_odds(tag: str, rest: str) -> tuple[float, float]:
+    """(odds, odds by words that name boilerplate) of an element without those around it."""
+    odds, bad = ELEMENT.get(tag, 0.0), 0.0
     if rest and "=" in rest:
-        words = {w.lower() for m in ATTRIBUTE.finditer(rest) for w in NAME.findall(m[1] or m[2] or m[3] or "")}
+        words = _names(rest)
         if tag not in ("body", "html"):
-            odds += min((BAD_WORDS[w] for w in words if w in BAD_WORDS), default=0.0)
+            bad = min((BAD_WORDS[w] for w in words if w in BAD_WORDS), default=0.0)
         if not words.isdisjoint(GOOD_WORDS) and words.isdisjoint(BAD_WORDS):
             odds += 1.5
-    return odds
+        if tag in WRAPPERS:
+            bad = max(bad, -odds)
+    return odds, bad
+
+
+def _weigh(blocks: list[Block], elements: list[Element]) -> None:
+    """Add up each element's odds with those around it."""
+    if any(e.bad for e in elements):
+        held, wraps = [0] * len(elements), [int(e.tag in WRAPPERS) for e in elements]
+        for b in blocks:
+            held[b.element] += max(0, len(b.text) - b.linked)
+        for e in reversed(elements[1:]):
+            held[e.parent] += held[e.number]
+            wraps[e.parent] += wraps[e.number]
+        for e in elements:
+            if e.bad and held[0] and held[e.number] >= MOST_TEXT * held[0] and wraps[e.number] == wraps[0]:
+                e.bad = 0.0
+    for e in elements[1:]:
+        e.odds += e.bad + elements[e.parent].odds
 
 
 def read_blocks(page: str) -> tuple[list[Block], list[Element]]:
     """The page's shown text blocks in order, and its block-level elements."""
-    elements = [Element("", 0, -1, 0, 0.0, False)]
+    elements = [Element("", 0, -1, 0, 0.0, 0.0, False)]
     open_: list[int] = [0]
     blocks: list[Block] = []
     current: Block | None = None
@@ -167,9 +205,10 @@ def read_blocks(page: str) -> tuple[list[Block], list[Element]]:
                 close(SIBLINGS[tag], SCOPES)
             if tag not in VOID:
                 parent = elements[open_[-1]]
-                elements.append(Element(tag, parent.depth + 1, open_[-1], len(elements), parent.odds + _own_odds(tag, m["rest"]), parent.hidden or bool(re.search(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none""", m["rest"]))))
+                elements.append(Element(tag, parent.depth + 1, open_[-1], len(elements), *_own_odds(tag, m["rest"]), parent.hidden or bool(re.search(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none""", m["rest"]))))
                 open_.append(len(elements) - 1)
     flush()
+    _weigh(blocks, elements)
     return blocks, elements
 
 

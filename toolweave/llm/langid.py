@@ -1,8 +1,10 @@
 """Language identification: averaged hashed subword embeddings, linear softmax.
 
 Trained by stochastic gradient descent in numpy on a bounded sample of labelled
-documents (``per_language`` rows of each of the ``max_languages`` most frequent
-values, texts up to ``max_chars``), drawn by a hash of the id. A fifth of the
+documents, drawn by a hash of the id: of every language ``per_language`` rows,
+fewer where there are more than SAMPLE / ``per_language`` languages, of texts up
+to ``max_chars``; a language that has only longer texts is learned from their
+first ``max_chars`` characters from a letter on. A fifth of the
 sample is held back to calibrate: a temperature for the probabilities, and the
 probability below which a prediction is rejected, chosen so that accepted ones
 reach ``precision`` there.
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 
 from toolweave.llm.common import map_batches
 from toolweave.llm.subword import SubwordModel, split_words, text_chunks
-from toolweave.llm.toxicity import hashed_share
 
 PER_LANGUAGE = 600
-MAX_LANGUAGES = 200
+#: Training rows of all languages together, at least one of each.
+SAMPLE = 120_000
 MAX_CHARS = 6000
 UNKNOWN = "und"
 has_letter = re.compile(r"[^\W\d_]").search
@@ -89,18 +91,24 @@ def train_language(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_
     """Train on rows with a language for which ``learn`` holds."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & learn)
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    names = sorted(counts)
+    short = F.length("text") <= max_chars
+    counts = {r["lang"]: (r["short"] or r["n"], not r["short"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(short).alias("short")).collect()}
+    if len(counts) < 2:
+        return LanguageModel(sorted(counts), None)
+    each = max(1, min(per_language, SAMPLE // len(counts)))
+    shares = rows.sparkSession.createDataFrame([(lang, int(min(1.0, each / n) * (1 << 20)) + 1, long) for lang, (n, long) in counts.items()], "lang string, share long, long boolean")
+    drawn = rows.join(F.broadcast(shares), "lang").filter((short | F.col("long")) & (F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) < F.col("share")))
+    window = F.substring(F.regexp_replace("text", r"\A\P{L}+", ""), 1, max_chars)
+    drawn = drawn.withColumn("text", F.when(short, F.col("text")).otherwise(window))
+    drawn = drawn.groupBy("id").agg(F.min(F.struct("text", "lang")).alias("r"))  # one row of an id that repeats
+    sample = sorted(((r["id"] is None, r["id"] or 0, r["r"]["text"], r["r"]["lang"]) for r in drawn.collect()))
+    names = sorted({r[3] for r in sample})
     if len(names) < 2:
         return LanguageModel(names, None)
-    pick = F.lit(False)
-    for name in names:
-        pick = pick | ((F.col("lang") == name) & hashed_share("id", per_language / counts[name]))
-    drawn = rows.filter(pick & (F.length("text") <= max_chars)).groupBy("id").agg(F.min(F.struct("text", "lang")).alias("r"))  # one row of an id that repeats
-    sample = sorted(((r["id"] is None, r["id"] or 0, r["r"]["text"], r["r"]["lang"]) for r in drawn.collect()))
     number = {n: i for i, n in enumerate(names)}
     truth = np.array([number[r[3]] for r in sample], np.int64)
     back = np.array([zlib.crc32(f"held {r[1]}".encode()) % 5 == 0 for r in sample], bool)
+    back[np.isin(truth, np.setdiff1d(truth, truth[~back]))] = False  # a language all of whose rows would be held back is learned
     texts = [r[2] for r in sample]
     model = SubwordModel(len(names), bits=15, width=8, longest=4)
     model.fit([split_words(t) for t, b in zip(texts, back, strict=True) if not b], truth[~back], epochs=min(10, max(2, 4000 // len(sample))))

@@ -154,6 +154,7 @@ class PieceTable:
 
     BITS = 20
     _MIX = np.uint64(0x9E3779B97F4A7C15)
+    SEED = np.uint64(1)  # not 0, which U+0000 would leave as it is
 
     def __init__(self, pieces: dict[str, int]):
         self.first, self.second = (np.full(1 << self.BITS, -1, np.int32) for _ in range(2))
@@ -161,7 +162,7 @@ class PieceTable:
         wide = max(map(len, pieces), default=0)
         code = np.array([[*map(ord, p), *[0] * (wide - len(p))] for p in pieces], np.uint64).reshape(len(pieces), wide)
         size, number = np.array([len(p) for p in pieces], np.int64), np.array(list(pieces.values()), np.int64)
-        h = np.zeros(len(pieces), np.uint64)
+        h = np.full(len(pieces), self.SEED, np.uint64)
         for k in range(wide):
             h = self.step(h, code[:, k])
             self.hashes[number[size == k + 1]] = h[size == k + 1]
@@ -217,19 +218,19 @@ class WordLattices:
             code[np.arange(wide) < n[:, None]] = flat
             yield at, n, code
 
-    def _edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _edges(self, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(piece, log probability) by word, start and length - 1, and where a character is spelt by bytes."""
         rows, wide = code.shape
         most = min(self.longest, wide)
         piece = np.full((rows, wide, most), -1, np.int32)
-        h = np.zeros_like(code)
+        h = np.full_like(code, self.table.SEED)
         for k in range(most):
             h = self.table.step(h[:, : wide - k], code[:, k:])
             piece[:, : wide - k, k] = self.table.find(h)
         found = np.flatnonzero((piece >= 0).any((0, 1)))
         piece = piece[:, :, : max(1, found[-1] + 1 if len(found) else 1)]  # no longer piece occurs in these words
         weight = np.where(piece >= 0, self.log_p[piece], -np.inf)
-        loose = (piece[:, :, 0] < 0) & (code > 0)
+        loose = (piece[:, :, 0] < 0) & (np.arange(wide) < n[:, None])
         if loose.any():
             chars, which = np.unique(code[loose], return_inverse=True)
             weight[:, :, 0][loose] = np.array([self.one.spell(chr(int(c)))[1] for c in chars])[which.ravel()]
@@ -252,7 +253,7 @@ class WordLattices:
     def log_marginals(self, words: list[str]) -> np.ndarray:
         out = np.zeros(len(words))
         for at, n, code in self._chunks(words):
-            out[at] = self._forward(self._edges(code)[1])[np.arange(len(at)), n]
+            out[at] = self._forward(self._edges(code, n)[1])[np.arange(len(at)), n]
         for i, w in enumerate(words):
             if len(w) > SHORT_WORD:
                 out[i] = self.one.log_marginal(w)
@@ -261,7 +262,7 @@ class WordLattices:
     def expect(self, words: list[str], times: np.ndarray, total: np.ndarray) -> None:
         """Add the expected uses of each piece in ``times`` occurrences of the words."""
         for at, n, code in self._chunks(words):
-            piece, weight, loose = self._edges(code)
+            piece, weight, loose = self._edges(code, n)
             alpha = self._forward(weight)
             rows, wide, most = weight.shape
             beta = np.zeros((rows, wide + 1))

@@ -74,12 +74,14 @@ class SubwordModel:
     embedding: np.ndarray = field(init=False)
     weights: np.ndarray = field(init=False)
     bias: np.ndarray = field(init=False)
+    trained: np.ndarray = field(init=False)
 
     def __post_init__(self):
         rng = np.random.default_rng(self.seed)
         self.embedding = (rng.random((1 << self.bits, self.width), np.float32) - 0.5) / self.width
         self.weights = rng.normal(0, 0.1, (self.width, self.classes)).astype(np.float32)
         self.bias = np.zeros(self.classes, np.float32)
+        self.trained = np.zeros(1 << self.bits, bool)
 
     def fit(self, texts: list[list[str]], labels: np.ndarray, epochs: int = 4, batch: int = 64) -> SubwordModel:
         """``texts`` are lists of words; texts without words are left out. Classes count alike, whatever their sizes."""
@@ -91,6 +93,7 @@ class SubwordModel:
         flat, owner = gram_rows(list(vocabulary), self.shortest, self.longest, self.bits)
         order = np.argsort(owner, kind="stable")
         flat, size = flat[order], np.bincount(owner, minlength=len(vocabulary))
+        self.trained[flat] = True
         first = np.append(0, np.cumsum(size))
         rng = np.random.default_rng(self.seed)
         grad2_e, grad2_w = np.full(len(self.embedding), 1e-8, np.float32), np.full(self.weights.shape, 1e-8, np.float32)
@@ -133,8 +136,12 @@ class SubwordModel:
                 self.bias -= 0.1 * rate * p.sum(0)
         return self
 
-    def scorer(self) -> WordScores:
-        return WordScores((self.embedding @ self.weights).astype(np.float32), self.shortest, self.longest, self.bits)
+    def scorer(self, trained_only: bool = False) -> WordScores:
+        """Scores by row; with ``trained_only`` rows that no training text holds say nothing of any class."""
+        table = (self.embedding @ self.weights).astype(np.float32)
+        if trained_only:
+            table[~self.trained] = 0.0
+        return WordScores(table, self.shortest, self.longest, self.bits)
 
 
 def best_run(value: np.ndarray, window: int) -> tuple[float, int]:

@@ -16,8 +16,9 @@ documents, so a large benchmark takes more passes and not more memory.
 
 Defined cases: null or empty texts on either side match nothing; an item
 shorter than a segment is one segment of its own length, with edits in
-proportion, and one shorter than ``q`` matches nothing; repeated rows give
-repeated matches; empty tables give none.
+proportion; one shorter than ``q`` has no q-gram and matches the documents that
+equal it in the compared form; of occurrences with equally few edits the first
+counts; repeated rows give repeated matches; empty tables give none.
 """
 
 from __future__ import annotations
@@ -95,11 +96,15 @@ class Index:
         at: list[np.ndarray] = []
         first: list[int] = []
         grams: list[np.ndarray] = []
-        self.most = edits
+        self.most, self.segment, self.stride = edits, segment, stride
+        #: items without a q-gram, by their text
+        self.short: dict[bytes, list[int]] = {}
         for k, text in enumerate(self.texts):
             n = len(text)
             first.append(len(self.segments))
             if n < Q:
+                if n:
+                    self.short.setdefault(text, []).append(k)
                 continue
             if n <= segment:
                 self.segments.append((k, 0, n, edits * n // segment))
@@ -144,8 +149,8 @@ class Index:
         # the segments of an item that hold position j are consecutive; go through them by how far back they start
         lo, hi = self.first[item], self.first[item + 1]
         most = int((hi - lo).max(initial=0))
-        near = min(most, SEGMENT // STRIDE + 2)
-        guess = np.minimum(lo + j // STRIDE, hi - 1)
+        near = min(most, self.segment // self.stride + 2)
+        guess = np.minimum(lo + j // self.stride, hi - 1)
         for back in range(-1, near + 1):
             s = guess - back
             ok = (s >= lo) & (s < hi)
@@ -168,6 +173,9 @@ class Index:
 
     def matches(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(text, item, segments found, start, end, fewest edits) per text and item."""
+        if self.short:
+            for d, t in enumerate(texts):
+                yield from ((d, k, 1, 0, len(t), 0) for k in self.short.get(t, ()))
         for first, chunk in _chunks(texts):
             data = np.frombuffer(b"\0".join(chunk) + b"\0", np.uint8)
             starts = np.append(0, np.cumsum([len(t) + 1 for t in chunk]))
@@ -243,7 +251,11 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no segment of any item."""
+    """The rows of ``docs``, all columns, that hold no segment of any item.
+
+    Null and empty texts hold none and stay; rows that repeat stay or go
+    together; without items, or with empty ones only, every row stays.
+    """
     at = docs.columns.index(text_col)
     for items in benchmark_blocks(benchmark, item_col, item_text_col):
 

@@ -1,13 +1,17 @@
 """Media columns: ISO base media containers read box by box.
 
 ``read_media`` walks the nested boxes of a file, decodes each track's sample
-tables and reports codec, duration and the byte ranges of key frames; sample
-bytes are never interpreted. ``wrap_payload`` is the matching writer: it stores
-a byte string losslessly as one track of raw 8 x 8 frames of 8-bit samples.
+tables and, in fragmented files, the runs of its fragments, and reports codec,
+duration and the byte ranges of key frames; sample bytes are never interpreted.
+``wrap_payload`` is the matching writer: it stores a byte string losslessly as
+one track of raw 8 x 8 frames of 8-bit samples.
 
 Defined cases: a null or broken container gives a row with null values and a
-message in ``error``; an empty payload is stored as one frame of zero bytes;
-equal payloads give equal files.
+message in ``error``; so does one whose boxes nest deeper than ``DEPTH`` or whose
+tables claim more samples than the file has bytes, before memory is taken for
+them; a file without tracks has an empty list; an empty payload is stored as one
+frame of zero bytes; equal payloads give equal files, rows that repeat equal
+results; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from toolweave.llm.common import map_batches, texts_of
 # Fixed values of the file format: box types that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"edts", b"mdia", b"minf", b"dinf", b"stbl", b"udta", b"mvex", b"moof", b"traf", b"mfra"}
 
+#: Levels of nested boxes that are followed; real files have about eight.
+DEPTH = 64
 FRAME = 64  # bytes of an 8 x 8 frame of 8-bit samples
 FRAMES_PER_CHUNK = 16
 FRAMES_PER_KEY = 8
@@ -86,8 +92,8 @@ def wrap_payload(payload: bytes) -> bytes:
     return b"".join((_FTYP, moov(len(_FTYP) + len(moov(0)) + head), box(b"mdat", payload)))
 
 
-def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes, int, int]]:
-    """(type, body start, body end) of the boxes of one level."""
+def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes, int, int, int]]:
+    """(type, start, body start, body end) of the boxes of one level."""
     end = len(data) if end is None else end
     while start + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -100,7 +106,7 @@ def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple
             size = end - start
         if size < head or start + size > end:
             raise ValueError(f"box {kind!r} at {start} has a wrong size")
-        yield kind, start + head, start + size
+        yield kind, start, start + head, start + size
         start += size
     if start != end:
         raise ValueError(f"{end - start} stray bytes at {start}")
@@ -118,6 +124,7 @@ class Track:
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
     @property
     def seconds(self) -> float | None:
@@ -130,7 +137,20 @@ def _numbers(data: bytes, at: int, end: int, count: int, kind: str, per: int = 1
     return np.frombuffer(data, kind, count * per, at).astype(np.int64).reshape(-1, per)
 
 
-def _sample_tables(data: bytes, track: Track) -> None:
+class Room:
+    """How many samples a file can still hold: each has a byte at least, and those of all its tracks lie in it."""
+
+    def __init__(self, data: bytes):
+        self.left = len(data)
+
+    def take(self, count: int) -> int:
+        self.left -= count
+        if self.left < 0:
+            raise ValueError("more samples than bytes in the file")
+        return count
+
+
+def _sample_tables(data: bytes, track: Track, room: Room) -> None:
     """Sizes, offsets and key numbers of a track's samples from its tables."""
     t = track.tables
     if b"stsd" in t and t[b"stsd"][0] + 16 <= t[b"stsd"][1]:
@@ -138,7 +158,7 @@ def _sample_tables(data: bytes, track: Track) -> None:
     if b"stsz" in t:
         at, end = t[b"stsz"]
         fixed, count = struct.unpack_from(">II", data, at + 4)
-        track.sizes = np.full(count, fixed, np.int64) if fixed else _numbers(data, at + 12, end, count, ">u4")[:, 0]
+        track.sizes = np.full(room.take(count), fixed, np.int64) if fixed else _numbers(data, at + 12, end, count, ">u4")[:, 0]
     elif b"stz2" in t:
         at, end = t[b"stz2"]
         bits, count = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
@@ -155,14 +175,12 @@ def _sample_tables(data: bytes, track: Track) -> None:
         at, end = t[b"stsc"]
         runs = _numbers(data, at + 8, end, struct.unpack_from(">I", data, at + 4)[0], ">u4", 3)
         per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(chunk_at))))
-        if per_chunk.sum() != count:
+        if len(per_chunk) != len(chunk_at) or per_chunk.sum() != count:
             raise ValueError("sample tables disagree on the number of samples")
         chunk = np.repeat(np.arange(len(chunk_at)), per_chunk)
         before = np.cumsum(track.sizes) - track.sizes
         first = np.cumsum(per_chunk) - per_chunk
         track.offsets = chunk_at[chunk] + before - before[np.minimum(first, count - 1)][chunk]
-        if track.offsets.min() < 0 or (track.offsets + track.sizes).max() > len(data):
-            raise ValueError("a sample lies outside the file")
     if b"stss" in t:
         at, end = t[b"stss"]
         track.keys = _numbers(data, at + 8, end, struct.unpack_from(">I", data, at + 4)[0], ">u4")[:, 0] - 1
@@ -176,31 +194,129 @@ def _sample_tables(data: bytes, track: Track) -> None:
         track.duration = int((runs[:, 0] * runs[:, 1]).sum())
 
 
+@dataclass
+class Fragment:
+    """A track's part of a fragment: where its data start and what holds for samples without values of their own."""
+
+    track: Track
+    base: int
+    time: int = 0
+    duration: int = 0
+    size: int = 0
+    flags: int = 0
+
+
+# Fixed values of the file format: bits that say which fields follow, and the bit of a sample that is no key frame.
+BASE_OFFSET, DESCRIPTION, DURATION, SIZE, FLAGS, BASE_IS_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+DATA_OFFSET, FIRST_FLAGS, EACH_DURATION, EACH_SIZE, EACH_FLAGS, EACH_SHIFT = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+NO_KEY = 0x10000
+
+
+def _fragment_head(data: bytes, at: int, moof: int, follows: int, tracks: dict[int, Track], defaults: dict[int, tuple[int, int, int]]) -> Fragment:
+    """A ``tfhd`` box: without an offset of its own data start at the ``moof`` or follow the fragment before."""
+    flags, number = struct.unpack_from(">II", data, at)
+    if number not in tracks:
+        raise ValueError(f"a fragment names track {number}, which is not there")
+    out, at = Fragment(tracks[number], moof if flags & BASE_IS_MOOF else follows), at + 8
+    out.duration, out.size, out.flags = defaults.get(number, (0, 0, 0))
+    if flags & BASE_OFFSET:
+        (out.base,) = struct.unpack_from(">Q", data, at)
+        at += 8
+    at += 4 * bool(flags & DESCRIPTION)
+    for bit, name in ((DURATION, "duration"), (SIZE, "size"), (FLAGS, "flags")):
+        if flags & bit:
+            setattr(out, name, struct.unpack_from(">I", data, at)[0])
+            at += 4
+    return out
+
+
+def _fragment_run(data: bytes, at: int, end: int, of: Fragment, follows: int, room: Room) -> int:
+    """A ``trun`` box: its samples join their track's; returns where their data end."""
+    flags, count = struct.unpack_from(">II", data, at)
+    at, start = at + 8, follows
+    if flags & DATA_OFFSET:
+        start = of.base + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    first = None
+    if flags & FIRST_FLAGS:
+        (first,) = struct.unpack_from(">I", data, at)
+        at += 4
+    room.take(count)
+    own = [bit for bit in (EACH_DURATION, EACH_SIZE, EACH_FLAGS, EACH_SHIFT) if flags & bit]
+    table = _numbers(data, at, end, count, ">u4", len(own)) if own else np.zeros((count, 0), np.int64)
+    each = lambda bit, default: table[:, own.index(bit)] if bit in own else np.full(count, default, np.int64)
+    size, kind = each(EACH_SIZE, of.size), each(EACH_FLAGS, of.flags).copy()
+    if count and first is not None:
+        kind[0] = first
+    ends = start + np.cumsum(size)
+    of.track.runs.append((ends - size, size, kind & NO_KEY == 0))
+    of.time += int(each(EACH_DURATION, of.duration).sum())
+    of.track.duration = max(of.track.duration, of.time)
+    return int(ends[-1]) if count else start
+
+
 def read_media(data: bytes) -> list[Track]:
     """The tracks of a container; ``ValueError`` where its boxes don't fit together."""
     tracks: list[Track] = []
-
-    def walk(start: int, end: int) -> None:
-        for kind, a, b in boxes(data, start, end):
+    numbered: dict[int, Track] = {}
+    defaults: dict[int, tuple[int, int, int]] = {}
+    fragments: list[tuple[bytes, int, int, int]] = []  # boxes of fragments, read after all tables
+    levels = [(boxes(data), -1)]
+    try:
+        while levels:
+            level, moof = levels[-1]
+            if (found := next(level, None)) is None:
+                levels.pop()
+                continue
+            kind, start, a, b = found
             if kind == b"trak":
                 tracks.append(Track())
             if kind in CONTAINERS:
-                walk(a, b)
+                if len(levels) > DEPTH:
+                    raise ValueError(f"boxes nest deeper than {DEPTH}")
+                if kind == b"moof":
+                    moof = start
+                    fragments.append((kind, a, b, moof))
+                levels.append((boxes(data, a, b), moof))
+            elif kind in (b"tfhd", b"tfdt", b"trun"):
+                fragments.append((kind, a, b, moof))
+            elif kind == b"trex":
+                number, _, duration, size, flags = struct.unpack_from(">IIIII", data, a + 4)
+                defaults[number] = duration, size, flags
             elif kind == b"mdhd" and tracks:
                 wide = data[a] == 1
                 tracks[-1].timescale, tracks[-1].duration = struct.unpack_from(">IQ" if wide else ">II", data, a + (20 if wide else 12))
             elif kind == b"hdlr" and tracks:
                 tracks[-1].handler = data[a + 8 : a + 12].decode("latin-1")
             elif kind == b"tkhd" and tracks:
+                numbered[struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]] = tracks[-1]
                 tracks[-1].width, tracks[-1].height = (x >> 16 for x in struct.unpack_from(">II", data, b - 8))
             elif tracks:
                 tracks[-1].tables[kind] = a, b
-
-    try:
-        walk(0, len(data))
+        room = Room(data)
+        for track in tracks:
+            _sample_tables(data, track, room)
+        own, follows = None, 0
+        for kind, a, b, moof in fragments:
+            if kind == b"moof":
+                own, follows = None, moof
+            elif kind == b"tfhd":
+                own = _fragment_head(data, a, moof, follows, numbered, defaults)
+                follows = own.base
+            elif own is None:
+                raise ValueError(f"box {kind!r} at {a} without a track")
+            elif kind == b"tfdt":
+                (own.time,) = struct.unpack_from(">Q" if data[a] == 1 else ">I", data, a + 4)
+            else:
+                follows = _fragment_run(data, a, b, own, follows, room)
         for track in tracks:
-            _sample_tables(data, track)
-    except (struct.error, IndexError, KeyError) as e:
+            if track.runs:
+                offsets, sizes, keys = (np.concatenate(x) for x in zip(*track.runs, strict=True))
+                track.keys = np.concatenate([track.keys, len(track.sizes) + np.flatnonzero(keys)])
+                track.offsets, track.sizes = np.concatenate([track.offsets, offsets]), np.concatenate([track.sizes, sizes])
+            if len(track.offsets) and (track.offsets.min() < 0 or (track.offsets + track.sizes).max() > len(data)):
+                raise ValueError("a sample lies outside the file")
+    except (struct.error, IndexError, KeyError, OverflowError) as e:
         raise ValueError(f"a box is cut off: {e}") from e
     return tracks
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 import zlib
@@ -70,10 +69,15 @@ def _key_end(text: str, m: re.Match) -> int:
 
 
 class Rule:
-    """A kind of secret: keywords (lower case), anchored pattern, validation, where its span ends if not with the match."""
+    """A kind of secret: keywords (lower case), anchored pattern, validation, where its span ends if not with the match.
 
-    def __init__(self, kind: str, keywords: list[str], pattern: str, valid: Callable[[re.Match], bool] | None = None, end: Callable[[str, re.Match], int] | None = None):
+    ``run`` matches what a failed match at one hit has read in vain: hits inside
+    it fail for the same reason and are not tried.
+    """
+
+    def __init__(self, kind: str, keywords: list[str], pattern: str, valid: Callable[[re.Match], bool] | None = None, end: Callable[[str, re.Match], int] | None = None, run: str | None = None):
         self.kind, self.keywords, self.pattern, self.valid, self.end = kind, keywords, re.compile(pattern, re.ASCII), valid, end
+        self.run = re.compile(run, re.ASCII) if run else None
 
 
 # The base rules of the result's definition, then issuers' public token formats.
@@ -83,7 +87,7 @@ RULES = [
     Rule("hex", [], r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
     Rule("github", ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], r"gh[pousr]_(?P<body>[A-Za-z0-9]{30})(?P<check>[A-Za-z0-9]{6})(?![A-Za-z0-9])", _crc_token),
     Rule("npm", ["npm_"], r"npm_(?P<body>[A-Za-z0-9]{30})(?P<check>[A-Za-z0-9]{6})(?![A-Za-z0-9])", _crc_token),
-    Rule("jwt", ["eyj"], r"(?P<head>eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", _json_web_token),
+    Rule("jwt", ["eyj"], r"(?P<head>eyJ[A-Za-z0-9_-]++)\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", _json_web_token, run=r"eyJ[A-Za-z0-9_-]+"),
     Rule("slack", ["xox"], r"xox[abprs]-[0-9A-Za-z-]{10,}"),
     Rule("google", ["aiza"], r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"),
     Rule("private_key", ["-----begin"], r"-----BEGIN (?P<type>(?:[A-Z]+ )*)PRIVATE KEY-----", end=_key_end),
@@ -125,18 +129,23 @@ class Scanner:
             rule, free = rules[kind], 0
             for at in sorted(set(starts)):
                 # a match that fails validation has still used up its characters
-                if at >= free and (m := rule.pattern.match(text, at)):
+                if at < free:
+                    continue
+                if not (m := rule.pattern.match(text, at)):
+                    free = r.end() if rule.run and (r := rule.run.match(text, at)) else free
+                else:
                     end = rule.end(text, m) if rule.end else m.end()
                     free = max(free, end)
                     if rule.valid is None or rule.valid(m):
                         found.append((at, end, kind))
         if _HEX in self.rules:
-            flat, at = data.translate(_HEX_CLASS), 0
+            flat, at, start, done = data.translate(_HEX_CLASS), 0, 0, 0
             while (at := flat.find(_HEX_RUN, at)) >= 0:
-                start = at if ascii_only else len(data[:at].decode("utf-8", "surrogatepass"))
+                # code points before the hit, counted on from the last one
+                start = at if ascii_only else start + len(data[done:at].decode("utf-8", "surrogatepass"))
                 m = _HEX.pattern.match(text, start)
                 found.append((start, m.end(), _HEX.kind))
-                at += m.end() - start
+                done, at = at, at + m.end() - start
         order = {k: i for i, k in enumerate(KINDS)}
         return sorted(found, key=lambda s: (s[0], order.get(s[2], len(order)), s[1]))
 
@@ -195,7 +204,9 @@ def secret_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """All rows and columns of ``docs`` with secrets masked and the length column brought up to date.
 
-    A null text stays null. Clean rows come through unchanged.
+    A null text stays null, an empty one empty. Clean rows come through
+    unchanged, rows that repeat change alike, an empty table stays empty. Where
+    spans overlap one mark, of the first kind, stands for all of them.
     """
     names = docs.columns
     at = names.index(text_col)
@@ -215,12 +226,3 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
         n = F.length(text_col)
         out = out.withColumn(length_col, F.coalesce(n, F.col(length_col)).cast(docs.schema[length_col].dataType))
     return out
-
-
-def base_digest_reference(text: str) -> str:
-    """Brute force of the base digest, for tests: the plain patterns over the whole text."""
-    spans = []
-    for rule in RULES[:3]:
-        spans += [(m.start(), m.end(), rule.kind) for m in rule.pattern.finditer(text) if rule.valid(m)]
-    spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
-    return hashlib.sha256(joined(spans).encode()).hexdigest()

@@ -13,9 +13,15 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder of our own, gone at exit, only where that is unset."""
+    """The session's ``spark.checkpoint.dir``.
+
+    Where that is unset a local master gets a temporary folder, gone at exit; on
+    a cluster, whose machines have folders of their own, that is an error.
+    """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir.get("path")
     if not path:
+        if (master := spark.sparkContext.master).partition("[")[0] != "local":
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         own = tempfile.mkdtemp(prefix="toolweave-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         path = _own_dir["path"] = f"file://{own}"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from toolweave.llm.common import documents, fold
 from toolweave.llm.decontaminate import benchmark_matches
-from toolweave.llm.htmltext import extract_text
+from toolweave.llm.htmltext import extract_text, train_weights
 from toolweave.llm.langid import identify_language, train_language
 from toolweave.llm.lattice import score_documents
 from toolweave.llm.media import media_digest
@@ -41,7 +41,8 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(documents(spark, sf_dir, "pages"))
+    pages = documents(spark, sf_dir, "pages")
+    return extract_text(pages, weights=train_weights(pages))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,25 +1,31 @@
 """Repeated passages by a sparse suffix array.
 
 Of all word suffixes of all documents only those are kept that start at
-minimisers: positions whose 4-word hash is the smallest among ``WINDOW``
-neighbouring positions. The choice depends on the words alone, so two copies of
-a passage of ``length`` words keep the same suffixes, and at least one of them
-starts so early that its next length - WINDOW + 1 words lie in the passage.
-
-The kept suffixes are sorted by the hash of that many words; neighbours in this
-order are compared, and suffixes that share it with another document are
-matches. Each match is extended to the left and right: every window of
-``length`` words around it is hashed, sorted and compared in the same way.
-Windows found in two documents or more are joined into maximal spans.
-
-Sorting is by range of (hash, document, position), so that a passage that a
-third of all documents share is dealt over many tasks; what a range boundary
-cuts off is settled by one marker per boundary.
+minimisers: of the first ``window`` positions of a run of ``length`` words the
+one with the smallest 4-word hash. The choice depends on the run's words alone,
+so two copies of it keep the same suffix, whose next length - window + 1 words
+(its core) lie in the run; each run has one such anchor.
+
+1. Suffixes whose core's hash occurs in one document only are left out.
+2. The others are sorted as a suffix array: by the core (as a 128-bit hash, equal
+   for equal words), then by the words that follow, then by the words before,
+   nearest first. Neighbours are compared by their common prefix, which tells how
+   far a match goes on to the right; from there it is extended to the left word by
+   word. So every run of ``length`` words that is anchored at a suffix finds all
+   other documents that hold it, and the first of these.
+3. Runs that follow each other and have their first copy in the same place are
+   joined into passages.
+
+Sorting is by range of all that is sorted by, so that a passage that a third of
+all documents share is dealt over many tasks. Groups of equal cores that a range
+boundary cuts are settled run by run: their runs, as 128-bit hashes, are counted
+and joined with their first places.
 
 Defined cases: null text counts as empty; documents under ``length`` words have
-no spans; repeats inside one id (also rows that repeat an id) don't count; rows
-without an id are left out; an empty table gives no spans. Words are split at
-ASCII white space, A-Z lowered; positions count words.
+no passages; repeats inside one id (also rows that repeat an id) don't count;
+rows without an id are left out; of several first places in one document the
+lowest counts; an empty table gives no passages. Words are split at ASCII white
+space, A-Z lowered; positions count words.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +46,7 @@ GRAM = 4
 CHUNK_CHARS = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
+_CHECK = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
 
 
@@ -72,13 +80,22 @@ def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return _mixed((total[n:] - total[:-n]) * _powers(_INVERSE, len(h) - n + 1))
 
 
-def minimisers(h: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """Positions that are the first smallest of some ``window`` neighbouring positions."""
-    order = run_hashes(h, gram)
-    if len(order) < window:
-        return np.zeros(0, np.int64)
+def anchors(h: np.ndarray, end: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, first run, last run) of the anchors of all runs of ``length`` words that end within a document.
+
+    ``h`` are the words' hashes of documents one after another that end at
+    ``end``. A run's anchor is the first smallest 4-word hash among its first
+    ``window`` positions; the runs of an anchor follow each other.
+    """
+    order = run_hashes(h, GRAM)
+    if len(h) < length:
+        return (np.zeros(0, np.int64),) * 3
+    starts = np.arange(len(h) - length + 1)
+    starts = starts[starts + length <= end[np.searchsorted(end, starts, "right")]]
     view = np.lib.stride_tricks.sliding_window_view(order, window)
-    return np.unique(view.argmin(1) + np.arange(len(view)))
+    at = starts + view.argmin(1)[starts]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+    return at[first], starts[first], starts[np.append(first[1:], len(at)) - 1] if len(at) else starts
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -96,23 +113,19 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, list[list[bytes]]]]:
 
 
 def sparse_suffixes(docs: DataFrame, length: int, window: int) -> DataFrame:
-    """(key, id, pos) of the kept suffixes of ``docs`` (id, text)."""
-    prefix = length - window + 1
+    """(key, id, pos) of the kept suffixes of ``docs`` (id, text); key is the core's hash."""
+    core = length - window + 1
 
     def start():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, rows, places = [], [], []
+            keys, rows, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for first, words in _chunks(texts_of(batch, 1)):
                 n = np.array([len(w) for w in words])
                 end = np.cumsum(n)
                 h = word_hashes([x for w in words for x in w])
-                key = run_hashes(h, prefix)
-                at = minimisers(h, window, GRAM)
-                at = at[at < len(key)]
+                at, *_ = anchors(h, end, length, window)
                 doc = np.searchsorted(end, at, "right")
-                ok = at + prefix <= end[doc]  # the suffix's words are all of its document
-                at, doc = at[ok], doc[ok]
-                keys.append(key[at])
+                keys.append(run_hashes(h, core)[at])
                 rows.append(doc + first)
                 places.append(at - (end - n)[doc])
             key, row, place = (np.concatenate(x) for x in (keys, rows, places))
@@ -187,34 +200,228 @@ def shared_rows(rows: DataFrame, name: str) -> DataFrame:
     return found.filter("kind = 0").unionAll(open_).select("key", "id", "pos")
 
 
-def candidate_windows(docs: DataFrame, matches: DataFrame, length: int, window: int) -> DataFrame:
-    """(key, id, pos) of the windows of ``length`` words that hold a match's words."""
+SUFFIX = "key bigint, check bigint, after binary, before binary, id bigint, pos int, left int, right int"
+
+
+def suffix_words(docs: DataFrame, matches: DataFrame, length: int, window: int) -> DataFrame:
+    """The suffixes of ``matches`` (id, pos) with the words that their runs have around the core.
+
+    ``after`` are those that follow it, ``before`` those before it, nearest
+    first, each word with a blank behind it, so that the order of the bytes keeps
+    equal beginnings together. The suffix's runs start from ``left`` to ``right``
+    words before it.
+    """
+    core = length - window + 1
     by_doc = matches.groupBy("id").agg(F.collect_set("pos").alias("at"))
+    names = [c.split()[0] for c in SUFFIX.split(", ")]
 
     def start():
-        back = np.arange(window)
-
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, rows, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            rows, keys, checks, afters, befores, places, lefts, rights = ([] for _ in range(8))
             lists = batch.column(2)
             for i, text in enumerate(texts_of(batch, 1)):
-                key = run_hashes(word_hashes(text.encode("utf-8", "surrogatepass").lower().split()), length)
-                at = lists[i].values.to_numpy(zero_copy_only=False)
-                starts = np.unique(at[:, None] - back)
-                starts = starts[(starts >= 0) & (starts < len(key))]
-                keys.append(key[starts])
-                rows.append(np.full(len(starts), i))
-                places.append(starts)
-            key, row, place = (np.concatenate(x) for x in (keys, rows, places))
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(place.astype(np.int32))], ["key", "id", "pos"])
+                words = text.encode("utf-8", "surrogatepass").lower().split()
+                h = word_hashes(words)
+                at, low, high = anchors(h, np.array([len(h)]), length, window)
+                mine = np.isin(at, lists[i].values.to_numpy(zero_copy_only=False))
+                at, low, high = at[mine], low[mine], high[mine]
+                if not len(at):
+                    continue
+                keys.append(run_hashes(h, core)[at])
+                checks.append(run_hashes(_mixed(h ^ _CHECK), core)[at])
+                spaced = [w + b" " for w in words]
+                for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
+                    afters.append(b"".join(spaced[p + core : b + length]))
+                    befores.append(b"".join(spaced[a:p][::-1]))
+                rows.append(np.full(len(at), i))
+                places.append(at)
+                lefts.append(at - low)
+                rights.append(at - high)
+            if not rows:
+                return None
+            row, key, check, place, left, right = (np.concatenate(x) for x in (rows, keys, checks, places, lefts, rights))
+            columns = [pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), pa.array(afters, pa.binary()), pa.array(befores, pa.binary()), batch.column(0).take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (place, left, right))]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         return work
 
-    return map_batches(docs.join(by_doc, "id"), start, "key bigint, id bigint, pos int")
+    return map_batches(docs.join(by_doc, "id"), start, SUFFIX)
+
+
+def word_ends(words: bytes) -> list[int]:
+    """Byte positions after no, one, two ... of the words."""
+    out, at = [0], 0
+    while (at := words.find(b" ", at) + 1) > 0:
+        out.append(at)
+    return out
+
+
+def common_words(a: bytes, b: bytes) -> int:
+    """How many words two word sequences share at their start."""
+    n = min(len(a), len(b))
+    if a[:n] != b[:n]:
+        low, high = 0, n  # the first byte that differs lies in [low, high)
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle)
+        n = low
+    return a.count(b" ", 0, n)
+
+
+#: For the runs that start from the first to the second number of words before a suffix: their first copy's suffix, and how many documents hold them.
+Found = tuple[int, int, tuple[int, int], int]
+
+
+class Context:
+    """Suffixes of a group that have the same words around the core: their places and how far they match others."""
+
+    def __init__(self, after: bytes, before: bytes, left: int, right: int):
+        self.after, self.before, self.left, self.right = after, before, left, right
+        self.places: list[tuple[int, int]] = []
+        self.shares = 0  # words after the core that a neighbour shares
+
+    def count(self) -> int:
+        return 1 + sum(a[0] != b[0] for a, b in zip(self.places, self.places[1:], strict=False))
+
+
+def extend(contexts: list[Context], tail: int) -> list[list[Found]]:
+    """Per context of a group of equal cores the runs that two documents or more hold.
+
+    ``tail`` is how many words a run has beside the core. A run that starts
+    ``l`` words before the suffix needs l words to the left and tail - l to the
+    right; where no neighbour in the order shares so many to the right, only its
+    own context holds it.
+    """
+    for a, b in zip(contexts, contexts[1:], strict=False):
+        n = common_words(a.after, b.after)
+        a.shares, b.shares = max(a.shares, n), max(b.shares, n)
+    alike: dict[tuple[int, bytes, bytes], list[int]] = {}
+    for i, c in enumerate(contexts):
+        back, forth = word_ends(c.before), word_ends(c.after)
+        for l in range(max(c.right, tail - c.shares), c.left + 1):
+            alike.setdefault((l, c.before[: back[l]], c.after[: forth[tail - l]]), []).append(i)
+    counts = [c.count() for c in contexts]
+    runs: list[list[tuple[int, tuple[int, int], int]]] = [[] for _ in contexts]
+    for i, c in enumerate(contexts):
+        if counts[i] > 1:
+            runs[i] += [(l, c.places[0], counts[i]) for l in range(c.right, min(c.left, tail - c.shares - 1) + 1)]
+    for (l, _, _), members in alike.items():
+        n = counts[members[0]] if len(members) == 1 else len({p[0] for i in members for p in contexts[i].places})
+        if n > 1:
+            first = min(contexts[i].places[0] for i in members)
+            for i in members:
+                runs[i].append((l, first, n))
+    out: list[list[Found]] = []
+    for found in runs:
+        joined: list[Found] = []
+        for l, first, n in sorted(found):
+            if joined and joined[-1][0] == l - 1 and joined[-1][2] == first:
+                joined[-1] = l, joined[-1][1], first, max(n, joined[-1][3])
+            else:
+                joined.append((l, l, first, n))
+        out.append(joined)
+    return out
+
+
+RUNS = "id bigint, low int, high int, first_doc bigint, shift int, n bigint, run binary"
+
+
+def _extend_groups(batches: Iterator[pa.RecordBatch], tail: int) -> Iterator[pa.RecordBatch]:
+    """Runs found, of sorted suffixes (RUNS); ``run`` is set, and the place unknown, for groups at the partition's ends."""
+    names = [c.split()[0] for c in RUNS.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    out: list[tuple] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+            out.clear()
+
+    def open_rows(key: tuple[int, int], after: bytes, before: bytes, id_: int, pos: int, left: int, right: int) -> None:
+        back, forth = word_ends(before), word_ends(after)
+        head = b"%d,%d," % key
+        for l in range(right, left + 1):
+            run = xxhash.xxh3_128_digest(b"%s%d\0%s\0%s" % (head, l, before[: back[l]], after[: forth[tail - l]]))
+            out.append((id_, pos - l, pos - l, None, None, None, run))
+
+    def settle(contexts: list[Context]) -> None:
+        if len(contexts) == 1 and contexts[0].places[0][0] == contexts[0].places[-1][0]:
+            return
+        for c, found in zip(contexts, extend(contexts, tail), strict=True):
+            for most, least, (doc, place), n in found:
+                out.extend((id_, pos - most, pos - least, doc, place - pos, n, None) for id_, pos in c.places)
+
+    key_now, contexts, at_start = None, [], True
+    for batch in batches:
+        for key, check, after, before, id_, pos, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key_now != (key, check):
+                if contexts:
+                    settle(contexts)
+                at_start, key_now, contexts = key_now is None, (key, check), []
+            if at_start:
+                open_rows(key_now, after, before, id_, pos, left, right)
+            else:
+                if not contexts or contexts[-1].after != after or contexts[-1].before != before:
+                    contexts.append(Context(after, before, left, right))
+                contexts[-1].places.append((id_, pos))
+            if len(out) > 50_000:
+                yield from flush()
+        yield from flush()
+    for c in contexts:  # the last group may go on in the next partition
+        for id_, pos in c.places:
+            open_rows(key_now, c.after, c.before, id_, pos, c.left, c.right)
+            if len(out) > 50_000:
+                yield from flush()
+    yield from flush()
+
+
+def shared_runs(suffixes: DataFrame, tail: int) -> DataFrame:
+    """(id, low, high, first_doc, shift, n): runs from word ``low`` to ``high`` on have their first copy ``shift`` words on in first_doc and are in n documents."""
+    order = ["key", "check", "after", "before", "id", "pos"]
+    ranged = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = materialize(ranged.mapInArrow(lambda batches: _extend_groups(batches, tail), RUNS), "runs")
+    open_ = found.filter("run is not null").select("id", "low", "run")
+    # two steps, each of which combines before its shuffle: a run that very many documents hold makes one row a task
+    per_doc = open_.groupBy("run", "id").agg(F.min("low").alias("low"))
+    known = per_doc.groupBy("run").agg(F.min(F.struct("id", "low")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    placed = open_.join(known, "run").select("id", "low", F.col("low").alias("high"), F.col("first.id").alias("first_doc"), (F.col("first.low") - F.col("low")).alias("shift"), "n")
+    return found.filter("run is null").drop("run").unionAll(placed)
+
+
+def _join_runs(batches: Iterator[pa.RecordBatch], length: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Passages of runs sorted by (id, first_doc, shift, low); a batch at a time is held, and the open passage."""
+    held = None  # id, first_doc, shift, low, high, n
+    for batch in batches:
+        out = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            id_, low, high, doc, shift, n = row
+            if held and held[:3] == [id_, doc, shift] and low <= held[4] + 1:
+                held[4], held[5] = max(held[4], high), max(held[5], n)
+                continue
+            if held:
+                out.append(held)
+            held = [id_, doc, shift, low, high, n]
+        if out:
+            yield _passages(out, length, names)
+    if held:
+        yield _passages([held], length, names)
+
+
+def _passages(rows: list[list[int]], length: int, names: list[str]) -> pa.RecordBatch:
+    id_, doc, shift, low, high, n = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (id_, low, high + length, high - low + length, doc, low + shift, n)], names)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """(id, start_word, end_word, n_words) of maximal spans made of windows of ``length`` words that occur in another document too.
+    """The passages of ``length`` words or more that occur in another document too, each with its class.
+
+    Per passage of a document: id, start_word, end_word, n_words, first_doc,
+    first_word, n_docs. (first_doc, first_word) is the passage's first copy, by
+    id and position, and names its class: all copies have it, its own included.
+    n_docs is the number of documents that hold a run of ``length`` words of the
+    passage, the most of any of its runs. Where neighbouring runs have their
+    first copies in different places a passage ends and the next one, which
+    overlaps it, begins; together they cover all that repeats.
 
     The id column must be of a whole-number type.
     """
@@ -222,23 +429,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         raise ValueError("length must exceed window by at least three words")
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     matches = shared_rows(sparse_suffixes(slim, length, window), "suffixes")
-    windows = shared_rows(candidate_windows(slim, matches.select("id", "pos"), length, window), "windows")
-    starts = windows.groupBy("id").agg(F.collect_set("pos").alias("at"))
-
-    def start():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows, low, high = [], [], []
-            lists = batch.column(1)
-            for i in range(batch.num_rows):
-                at = np.sort(lists[i].values.to_numpy(zero_copy_only=False).astype(np.int64))
-                cut = np.flatnonzero(at[1:] > at[:-1] + length) + 1
-                a, b = at[np.append(0, cut)], at[np.append(cut - 1, len(at) - 1)] + length
-                rows.append(np.full(len(a), i))
-                low.append(a)
-                high.append(b)
-            row, a, b = (np.concatenate(x) for x in (rows, low, high))
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(a), pa.array(b), pa.array(b - a)], ["id", "start_word", "end_word", "n_words"])
-
-        return work
-
-    return map_batches(starts, start, "id bigint, start_word bigint, end_word bigint, n_words bigint").withColumnRenamed("id", id_col)
+    runs = shared_runs(suffix_words(slim, matches.select("id", "pos"), length, window), window - 1)
+    names = ["id", "start_word", "end_word", "n_words", "first_doc", "first_word", "n_docs"]
+    ordered = runs.repartition("id").sortWithinPartitions("id", "first_doc", "shift", "low")
+    out = ordered.mapInArrow(lambda batches: _join_runs(batches, length, names), ", ".join(f"{c} bigint" for c in names))
+    return out.withColumnRenamed("id", id_col)

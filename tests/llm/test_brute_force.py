@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from toolweave.llm import common, decontaminate, htmltext, lattice, media, packing, repeats, secrets, simhash, subword
+from toolweave.llm import common, decontaminate, htmltext, lattice, media, neardup, packing, repeats, secrets, simhash, subword
 from toolweave.llm.components import connected_components
 
 QUIET = settings(deadline=None, suppress_health_check=list(HealthCheck), max_examples=60)
@@ -155,8 +155,89 @@ def spans_loop(docs, n):
     return out
 
 
+def spans_of(rows):
+    """The maximal spans that a document's passages cover."""
+    by_doc, out = defaultdict(list), set()
+    for r in rows:
+        by_doc[r.doc_id].append((r.start_word, r.end_word))
+    for i, parts in by_doc.items():
+        low, high = None, None
+        for a, b in sorted(parts):
+            if low is None or a > high:
+                if low is not None:
+                    out.add((i, low, high))
+                low, high = a, b
+            high = max(high, b)
+        out.add((i, low, high))
+    return out
+
+
+def passages_loop(docs, n):
+    """Every run of n words with its first place and its documents, joined where the first places follow each other."""
+    places = defaultdict(set)
+    for i, t in docs:
+        w = words(t)
+        for k in range(len(w) - n + 1):
+            places[tuple(w[k : k + n])].add((i, k))
+    by_line = defaultdict(dict)
+    for at in places.values():
+        count = len({i for i, _ in at})
+        if count > 1:
+            first = min(at)
+            for i, k in at:
+                by_line[i, first[0], first[1] - k][k] = count
+    out = set()
+    for (i, doc, shift), runs in by_line.items():
+        for k in sorted(runs):
+            if k - 1 in runs:
+                continue
+            last = k
+            while last + 1 in runs:
+                last += 1
+            out.add((i, k, last + n, last - k + n, doc, k + shift, max(runs[x] for x in range(k, last + 1))))
+    return out
+
+
 def test_repeats_query(spark, small, docs):
-    assert {(r.doc_id, r.start_word, r.end_word) for r in run(spark, small, "op3_")} == spans_loop(docs, 50)
+    rows = run(spark, small, "op3_")
+    assert spans_of(rows) == spans_loop(docs, 50)
+    assert {tuple(r) for r in rows} == passages_loop(docs, 50) and len(rows) == len(passages_loop(docs, 50))
+
+
+def test_repeats_over_many_ranges(spark):
+    """Groups that range boundaries cut, and one passage that all documents share."""
+    rng = random.Random(11)
+    vocab = ["a", "b", "a\x01", "\x00", "word", "wordy", "é", *(f"w{i}" for i in range(40))]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    licence, shared = text(70), [text(55) for _ in range(4)]
+    rows = []
+    for i in range(150):
+        body = text(rng.randrange(25)) + licence[rng.randrange(12) : 70 - rng.randrange(9)] + text(rng.randrange(3)) + rng.choice(shared) + text(rng.randrange(25))
+        if i % 5 == 0:
+            body = list(rows[i // 2][1].split()) if rows else body
+        if i % 11 == 0:
+            body = ["same"] * rng.randrange(40, 130)
+        rows.append((i, " ".join(body)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = passages_loop(rows, 50)
+    was = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        for n in ("1", "7", "61"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            got = [tuple(r) for r in repeats.repeated_passages(df).collect()]
+            assert set(got) == want and len(got) == len(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was[1])
+
+
+@given(st.lists(st.lists(st.sampled_from([b"a", b"ab", b"b", b"\x01"]), max_size=6), min_size=2, max_size=2))
+@QUIET
+def test_common_words(two):
+    a, b = (b"".join(w + b" " for w in ws) for ws in two)
+    want = next((k for k, (x, y) in enumerate(zip(*two, strict=False)) if x != y), min(map(len, two)))
+    assert repeats.common_words(a, b) == want
 
 
 def test_repeats_planted(spark):
@@ -173,7 +254,7 @@ def test_repeats_planted(spark):
     for i, t in rows:
         merged[i] |= {(a, b) for j, a, b in spans_loop([(x, y) for x, y in rows if x != i] + [(i, t)], 50) if j == i}
     got = repeats.repeated_passages(df).collect()
-    assert {(r.doc_id, r.start_word, r.end_word) for r in got if r.doc_id} == {(i, a, b) for i, s in merged.items() for a, b in s if i}
+    assert {s for s in spans_of(got) if s[0]} == {(i, a, b) for i, s in merged.items() for a, b in s if i}
 
 
 # 4
@@ -305,7 +386,8 @@ def test_simhash_query(spark, small, docs):
 
 
 @pytest.mark.parametrize("budget", [0, 1, 2, 3])
-def test_trie_finds_all_links(spark, budget):
+@pytest.mark.parametrize("crowd", [1 << 17, 8])
+def test_trie_finds_all_links(spark, budget, crowd):
     rng = random.Random(budget)
     prints = {}
     for base in (rng.getrandbits(64) for _ in range(25)):
@@ -313,7 +395,7 @@ def test_trie_finds_all_links(spark, budget):
             prints[len(prints)] = base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4)))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     nodes = spark.createDataFrame([(signed(x),) for x in set(prints.values())], "fp long")
-    roots = {r.node: r.root for r in connected_components(simhash.trie_links(nodes, budget)).collect()}
+    roots = {r.node: r.root for r in connected_components(simhash.trie_links(nodes, budget, crowd)).collect()}
     want = components_loop(prints, budget)
     mine = {i: roots.get(signed(x), signed(x)) for i, x in prints.items()}
     for a, b in itertools.combinations(prints, 2):
@@ -326,6 +408,81 @@ def test_components_of_a_long_chain(spark):
     assert len({got[i] for i in range(201)}) == 1 and got[500] == got[501] != got[0] and len(got) == 203
 
 
+def shingles_loop(text, n=5):
+    w = words(text)
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def similar_pairs(sets, least):
+    """Pairs with a Jaccard similarity of ``least`` or more; equal sets, also empty ones, are similar."""
+    holders = defaultdict(set)
+    for i, s in sets.items():
+        for g in s or [()]:
+            holders[g].add(i)
+    met = {(a, b) for ids in holders.values() for a, b in itertools.combinations(sorted(ids), 2)}
+    return {(a, b) for a, b in met if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+
+
+def similar_loop(sets, least):
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in similar_pairs(sets, least):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {i: find(i) for i in sets}
+
+
+def classes_of(df, **kw):
+    return {r.id: r.class_id for r in neardup.near_duplicate_decisions(df, **kw).collect()}
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """At 1,000 documents, by classes: no clean document falls, and nearly all similar pairs share a class."""
+    df = common.documents(spark, "/root/testdata/sf0.01")
+    sets = {r.doc_id: shingles_loop(r.text) for r in df.select("doc_id", "text").collect()}
+    got, want, pairs = classes_of(df), similar_loop(sets, 0.8), similar_pairs(sets, 0.8)
+    assert len(pairs) > 50 and sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs)
+    assert all(want[i] == want[c] for i, c in got.items())
+
+
+@pytest.mark.parametrize("group", [1024, 8])
+def test_near_copies_in_a_crowd(spark, monkeypatch, group):
+    """Copies with few edits of a few texts, a passage that all share, and crowded keys."""
+    monkeypatch.setattr(neardup, "GROUP", group)
+    rng = random.Random(9)
+    text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    passage, rows = text(30), []
+    for base in (text(rng.choice([40, 150, 400])) for _ in range(8)):
+        for _ in range(25):
+            w = list(base)
+            for _ in range(rng.randrange(3) * len(base) // 150 + rng.randrange(2)):
+                w[rng.randrange(len(w))] = "edit"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + k, " ".join(text(rng.randrange(20, 90)) + passage)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingles_loop(t) for i, t in rows}
+    got, want, pairs = classes_of(df), similar_loop(sets, 0.8), similar_pairs(sets, 0.8)
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs)
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(3)
+    for n, shared in ((100, 90), (500, 400), (3000, 2800)):
+        a = np.sort(rng.choice(1 << 32, n, replace=False)).astype("<u4")
+        b = np.sort(np.append(rng.choice(a, shared, replace=False), rng.choice(1 << 32, n // 20).astype("<u4")))
+        exact = shared / (len(a) + len(b) - shared)
+        cut = [a[: neardup.SKETCH], b[: neardup.SKETCH]]
+        args = cut, np.array([len(a), len(b)]), np.array([0]), np.array([1])
+        assert neardup.spanning_links(*args, exact - 0.05) == [(0, 1)]
+        assert neardup.spanning_links(*args, exact + 0.25) == []
+
+
 # 7
 
 
@@ -495,8 +652,8 @@ def test_pipeline_stages(spark, small):
     assert kept.columns == columns and {tuple(r) for r in kept.collect()} <= {tuple(r) for r in rows.values()}
 
     left = common.materialize(stages["near_dedup"](spark, kept, small), "t")
-    prints = {r.doc_id: fingerprint_loop(r.text) for r in kept.collect()}
-    assert {r.doc_id for r in left.collect()} == set(components_loop(prints, 2).values())
+    sets = {r.doc_id: shingles_loop(r.text) for r in kept.collect()}
+    assert {r.doc_id for r in left.collect()} == set(similar_loop(sets, 0.8).values())
 
     clean = common.materialize(stages["decontamination"](spark, left, small), "t")
     leaks = {r.doc_id for r in decontaminate.benchmark_matches(left, common.documents(spark, small, "benchmark")).collect()}

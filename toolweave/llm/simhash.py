@@ -7,7 +7,8 @@ blocks of bits, linked fingerprints agree on two whole blocks at least, so each
 fingerprint goes to one group per pair of blocks, keyed by their bits. In a
 group the fingerprints form a binary trie that is joined with itself: pairs of
 nodes go down together, differing bits add up, and a pair is dropped once they
-exceed the budget. A group hands on only a spanning set of links (a fingerprint
+exceed the budget. Crowded groups are parted by two more blocks of the other bits
+first. A group hands on only a spanning set of links (a fingerprint
 and the root of its part of the group), never all its pairs.
 
 Within a group two blocks' bits are the same, and a fingerprint has at most
@@ -30,7 +31,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from toolweave.llm.common import lower_words, map_batches, materialize, texts_of
 from toolweave.llm.components import connected_components
@@ -38,6 +38,17 @@ from toolweave.llm.components import connected_components
 #: Shingles whose bits are counted at once, and node pairs that go down at once.
 CHUNK = 1 << 16
 FRONTIER = 1 << 20
+#: Fingerprints of a group that one task takes; larger groups are parted.
+CROWD = 1 << 17
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are 1 in more than half of the 64-bit hashes."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        part = np.ascontiguousarray(hashes[i : i + CHUNK], "<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -48,11 +59,7 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     n = max(1, len(words) - shingle + 1)
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, itertools.repeat(42)), "<u8", n)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, CHUNK):
-        part = hashes[i : i + CHUNK]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(majority(hashes))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -142,10 +149,38 @@ def _spanning(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int) -> tu
     return fp[moved], fp[label[moved]]
 
 
-def trie_links(nodes: DataFrame, budget: int = 2) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints ``fp`` of ``nodes`` that connect all within ``budget`` bits."""
-    keyed = nodes.select("fp", F.explode(block_keys("fp", budget)).alias("key"))
-    grouped = keyed.repartition("key").sortWithinPartitions("key")
+def finer_keys(fp: str, budget: int) -> Column:
+    """Per pair of blocks, in the order of ``block_keys``, the keys of a crowded group's parts.
+
+    The other bits are cut into ``budget`` + 2 blocks in their turn, of which
+    linked fingerprints agree on two, so each part holds the bits of two more.
+    """
+    n = budget + 2
+    cuts = [64 * i // n for i in range(n + 1)]
+    out = []
+    for pair in itertools.combinations(range(n), 2):
+        fixed = [b for k in pair for b in range(cuts[k], cuts[k + 1])]
+        rest = [b for b in range(64) if b not in fixed]
+        parts = [rest[len(rest) * i // n : len(rest) * (i + 1) // n] for i in range(n)]
+        masks = [sum(1 << b for b in (*fixed, *x, *y)) for x, y in itertools.combinations(parts, 2)]
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+        out.append(F.array(*[F.xxhash64(F.lit(f"{pair} {k}"), F.col(fp).bitwiseAND(F.lit(m))) for k, m in enumerate(signed)]))
+    return F.array(*out)
+
+
+def trie_links(nodes: DataFrame, budget: int = 2, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints ``fp`` of ``nodes`` that connect all within ``budget`` bits.
+
+    A group of more than ``crowd`` fingerprints is parted by ``finer_keys``, which
+    loses no link; with two bits a part has at most 2^16 fingerprints.
+    """
+    keyed = nodes.select("fp", F.posexplode(block_keys("fp", budget)).alias("pair", "key"))
+    crowded = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("key"), "crowded")
+    plain = keyed.select("fp", "key")
+    if not crowded.isEmpty():
+        finer = F.element_at(finer_keys("fp", budget), F.col("pair") + 1)
+        plain = plain.join(crowded, "key", "left_anti").select("fp", "key").unionAll(keyed.join(crowded, "key").select("fp", F.explode(finer).alias("key")))
+    grouped = plain.repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def joined(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -194,38 +229,6 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return prints.join(groups, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their component: one row of each.
-
-    The row with the smallest id stays. Of rows that repeat this id and its
-    fingerprint one stays. Only keys of dropped rows meet the texts in a join.
-    """
-    prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    stays = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("fp") == F.col("first_fp"))
-    # counted before the join, so that no aggregate keeps Spark from splitting a hot fingerprint there
-    counts = prints.groupBy("id", "fp").agg(F.count("*").alias("n"))
-    marked = materialize(counts.join(fingerprint_groups(prints, budget), "fp").select("id", "fp", "n", stays.alias("stays")), "decisions")
-    names, at, fp = docs.columns, docs.columns.index(text_col), "__simhash_fp"
-    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
-
-    def start():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            values = np.array([fingerprint(t, shingle) for t in texts_of(batch, at)], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*names, fp])
-
-        return work
-
-    printed = map_batches(docs, start, schema)
-    key = lambda rows: rows.select(F.col("id").alias("__simhash_id"), F.col("fp").alias("__simhash_key"))
-    same = F.col(id_col).eqNullSafe(F.col("__simhash_id")) & (F.col(fp) == F.col("__simhash_key"))
-    kept = printed.join(key(marked.filter("not stays")), same, "left_anti")
-    repeated = key(marked.filter("stays and n > 1"))
-    if not repeated.isEmpty():
-        single = kept.join(repeated, same, "left_semi").dropDuplicates([id_col, fp])
-        kept = kept.join(repeated, same, "left_anti").unionByName(single)
-    return kept.select(*names)
-
-
 def fingerprint_text(fp: str) -> Column:
     """16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))

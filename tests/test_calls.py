@@ -7,6 +7,7 @@ import json
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from toolweave.functions import calls, checker
 
@@ -98,6 +99,55 @@ def test_verdicts(output, answer, want):
     assert (verdict.valid, verdict.error) == (want is None, want)
 
 
+SHAPES = [{"name": "h", "parameters": {"properties": {"bare": {"type": "array"}, "texts": {"type": "array", "items": {"type": "string"}}, "rows": {"type": "array", "items": {"type": "object"}}, "o": {"type": "object"}, "d": {"type": "dict"}, "l": {"type": "list"}, "ls": {"type": "list(string)"}, "le": {"type": "list(enum)"}, "oa": {"type": "objectArray"}, "t": {"type": "tuple"}, "s": {"type": "string"}, "e": {"type": "enum"}}, "required": []}}]
+
+
+@pytest.mark.parametrize(
+    ("output", "answer", "want"),
+    [
+        ({"bare": ["x"]}, {"bare": ["x"]}, "value_error"),  # an array without items holds objects
+        ({"bare": [{"k": 1}]}, {"bare": [{"k": 1}]}, None),
+        ({"bare": [{"k": 1}]}, {"bare": [{"k": 1}, {"k": 2}]}, "value_error:list_dict_count"),
+        ({"rows": [{"k": "A b"}, {"k": {"m": [1]}}]}, {"rows": [{"k": "ab"}, {"k": {"m": [1]}}]}, None),
+        ({"rows": [{"k": 1}]}, {"rows": [{"m": 1}]}, "value_error"),
+        ({"texts": ["a", "B"]}, {"texts": ["a", "b"]}, None),
+        ({"texts": ["a"]}, {"texts": [["a"], ["b"]]}, "value_error:list/tuple"),
+        ({"texts": [1]}, {"texts": [["a"]]}, "type_error"),
+        ({"texts": []}, {"texts": []}, "type_error"),
+        ({"texts": "a"}, {"texts": ["a"]}, "type_error"),
+        ({"texts": ["a"]}, {"texts": "variable"}, None),
+        ({"texts": "variable"}, {"texts": "variable"}, None),
+        ({"o": {"k": 1}}, {"o": {}}, "type_error"),
+        ({"o": {"k": "x1"}}, {"o": {"k": "x"}}, None),
+        ({"o": {"k": "true"}}, {"o": {"k": True}}, None),
+        ({"d": {"k": 1}}, {"d": {}}, "value_error"),
+        ({"d": {}}, {"d": {}}, None),
+        ({"l": []}, {"l": []}, None),
+        ({"l": [{"k": 1}]}, {"l": [{"k": 1}]}, None),
+        ({"ls": ["x"]}, {"ls": ["x"]}, None),
+        ({"le": ["x"]}, {"le": ["y"]}, "value_error:list/tuple"),
+        ({"oa": [{"k": 1}]}, {"oa": [{"k": 1}]}, None),
+        ({"oa": [{"k": 2}]}, {"oa": [{"k": 1}]}, "value_error"),
+        ({"t": [1, 2]}, {"t": [1, 2]}, "value_error"),
+        ({"s": "true"}, {"s": "true"}, "type_error"),
+        ({"e": "a"}, {"e": "b"}, None),
+        ({"e": 1}, {"e": "b"}, "type_error"),
+    ],
+)
+def test_nested_types(output, answer, want):
+    verdict = checker.calls_verdict(SHAPES, [("h", output)], [("h", answer)])
+    assert (verdict.valid, verdict.error) == (want is None, want)
+
+
+def test_agents_need_equal_texts(spark):
+    out, answer = [("f", {"s": "the cat"})], [("f", {"s": "cat"})]
+    assert checker.calls_verdict(FUNCTIONS, out, answer).valid
+    assert checker.calls_verdict(FUNCTIONS, out, answer, exact=True).error == "value_error:string"
+    df = spark.createDataFrame([("normal_x", "[f(s='the cat')]"), ("agent_x", "[f(s='the cat')]"), ("agent_x", "[f(s='C-A-T')]")], "category string, text string")
+    verdicts = checker.check_calls(F.lit(json.dumps(FUNCTIONS)), calls.decode_calls("text"), F.array(calls.decode_calls(F.lit("[f(s='cat')]"))), category=F.col("category"))
+    assert [(r.v.valid, r.v.error_type) for r in df.select(verdicts.alias("v")).collect()] == [(True, None), (False, "value_error:string"), (True, None)]
+
+
 def test_strict_compares_numbers():
     out, answer = [("f", {"s": "a", "n": 5})], [("f", {"s": "a", "n": 6})]
     assert checker.calls_verdict(FUNCTIONS, out, answer).valid

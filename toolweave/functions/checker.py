@@ -17,9 +17,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Declared types and the value types they accept; an enum is no value type.
-TYPES: dict[str, type | None] = {"string": str, "integer": int, "int": int, "number": int, "float": float, "boolean": bool, "array": list, "tuple": list, "list": list, "list(string)": list, "list(enum)": list, "dict": dict, "object": dict, "objectArray": list, "enum": None, "any": str}
-NESTED = {"array", "tuple", "list", "list(string)", "list(enum)", "objectArray"}
+
+
+class Enumerated:
+    """The type of a declared enum, which no value has."""
+
+
+# Declared types and the value types they accept; declared types whose elements have a type too.
+TYPES: dict[str, type] = {"string": str, "integer": int, "int": int, "number": int, "float": float, "boolean": bool, "array": list, "tuple": list, "list": list, "list(string)": list, "list(enum)": list, "dict": dict, "object": dict, "objectArray": list, "enum": Enumerated, "any": str}
+NESTED = {"array", "tuple", "list(string)", "list(enum)", "object", "objectArray"}
 IGNORED = re.compile(r"[ ,./\-_*^]")
 VERDICT = T.StructType().add("valid", T.BooleanType()).add("error_type", T.StringType())
 
@@ -50,47 +56,54 @@ def properties_of(function: dict) -> tuple[dict, list[str], bool]:
 
 
 def item_type(declared: str, spec: dict) -> type | None:
-    if declared in NESTED:
-        inner = (spec.get("items") or {}).get("type")
-        if inner is None:
-            inner = {"list(string)": "string", "list(enum)": "enum", "objectArray": "dict"}.get(declared)
-        return TYPES.get(inner) if inner else None
-    return None
+    """The type of a nested type's elements: declared, or told by the type's name, else an object."""
+    if declared not in NESTED:
+        return None
+    items = spec.get("items")
+    inner = items.get("type") if isinstance(items, dict) else None
+    if inner is None:
+        inner = next((k for k in ("string", "enum") if k in declared), "dict")
+    return TYPES.get(str(inner), Enumerated)
+
+
+def coerced(value: Any) -> Any:
+    """The words true and false as truth values."""
+    return value == "true" if isinstance(value, str) and value in ("true", "false") else value
 
 
-def coerced(value: Any, declared: str) -> Any:
-    if isinstance(value, str) and value in ("true", "false"):
-        return value == "true"
-    if declared == "float" and type(value) is int:
-        return float(value)
-    return value
+def parts_of(answer: Any) -> list:
+    """What an answer is made of: a list's elements, an object's keys, a text's characters."""
+    return list(answer) if isinstance(answer, (list, dict, str)) else []
 
 
-def type_verdict(value: Any, answer: Any, declared: str, nested: type | None) -> tuple[bool, bool]:
-    """(type accepted, value taken as a variable and not compared)."""
-    expected = TYPES[declared]
+def type_verdict(value: Any, answer: Any, expected: type, nested: type | None) -> tuple[bool, bool]:
+    """(type accepted, value taken as a variable and not compared).
+
+    Elements are looked at only where a part of the answer is a list itself; an
+    answer without parts accepts no nested value.
+    """
+    value = coerced(value)
     variable = answer != "" and type(answer) is not expected
     refused = False
-    if expected is not None and type(value) is expected:
+    if type(value) is expected:
         if nested is None:
             return True, variable
-        elements = answer if isinstance(answer, list) else [answer]
-        for part in elements:
-            if not isinstance(part, list) or all(type(v) is nested for v in value):
+        for part in parts_of(answer):
+            if not isinstance(part, list) or all(type_verdict(v, part, nested, None)[0] for v in value):
                 return True, variable
         refused = True
-    if type(value) is type(answer) or value == answer:
+    if answer != "" and (type(value) is type(answer) or value == answer):
         return not refused, True
     return False, variable
 
 
-def dict_verdict(output: Any, answer: dict) -> Verdict:
-    if not isinstance(output, dict) or len(output) != len(answer):
+def dict_verdict(output: Any, answer: Any) -> Verdict:
+    if not isinstance(output, dict) or not isinstance(answer, dict) or len(output) != len(answer):
         return Verdict(False, "value_error")
-    for key, want in answer.items():
-        if key not in output:
+    for key, got in output.items():
+        if key not in answer:
             return Verdict(False, "value_error")
-        got = coerced(output[key], "any")
+        got, want = coerced(got), answer[key]
         if isinstance(want, dict):
             inner = dict_verdict(got, want)
             if not inner.valid:
@@ -100,23 +113,29 @@ def dict_verdict(output: Any, answer: dict) -> Verdict:
     return OK
 
 
-def value_verdict(value: Any, answer: Any, declared: str, strict: bool) -> Verdict:
-    if isinstance(value, dict) and isinstance(answer, dict):
+def dict_list_verdict(output: Any, answer: Any) -> Verdict:
+    if not isinstance(output, list) or not isinstance(answer, list) or len(output) != len(answer):
+        return Verdict(False, "value_error:list_dict_count")
+    return next((v for x, a in zip(output, answer, strict=True) if not (v := dict_verdict(x, a)).valid), OK)
+
+
+def value_verdict(value: Any, answer: Any, expected: type, nested: type | None, strict: bool, exact: bool) -> Verdict:
+    """The comparison that the declared type asks for; texts by containment, or wholly where ``exact``."""
+    if expected is dict:
         return dict_verdict(value, answer)
-    if isinstance(value, list) and isinstance(answer, list):
-        if answer and all(isinstance(a, dict) for a in answer):
-            if len(value) != len(answer):
-                return Verdict(False, "value_error:list_dict_count")
-            return next((v for x, a in zip(value, answer, strict=True) if not (v := dict_verdict(x, a)).valid), OK)
+    if expected is list and nested is dict:
+        return dict_list_verdict(value, answer)
+    if expected is list:
         return OK if [_plain(v) for v in value] == [_plain(a) for a in answer] else Verdict(False, "value_error:list/tuple")
-    if declared in ("string", "any") and isinstance(value, str):
-        return OK if plain(str(answer)) in plain(value) else Verdict(False, "value_error:string")
+    if expected is str:
+        got, want = plain(str(value)), plain(str(answer))
+        return OK if got == want or not exact and want in got else Verdict(False, "value_error:string")
     if strict and value != answer:
         return Verdict(False, "value_error")
     return OK
 
 
-def call_verdict(function: dict | None, output: Call, name: str, answer: dict[str, Any], strict: bool = False) -> Verdict:
+def call_verdict(function: dict | None, output: Call, name: str, answer: dict[str, Any], strict: bool = False, exact: bool = False) -> Verdict:
     """One output call against one answer."""
     func, args = output
     properties, required, bare = properties_of(function or {})
@@ -136,16 +155,17 @@ def call_verdict(function: dict | None, output: Call, name: str, answer: dict[st
         declared = str(properties[param].get("type"))
         if declared not in TYPES:
             return Verdict(False, "type_error")
-        value = coerced(raw, declared)
-        accepted, variable = type_verdict(value, answer[param], declared, item_type(declared, properties[param]))
+        value = float(raw) if declared == "float" and type(raw) is int else raw
+        expected, nested = TYPES[declared], item_type(declared, properties[param])
+        accepted, variable = type_verdict(value, answer[param], expected, nested)
         if not accepted:
             return Verdict(False, "type_error")
-        if not variable and not (v := value_verdict(value, answer[param], declared, strict)).valid:
+        if not variable and not (v := value_verdict(coerced(value), answer[param], expected, nested, strict, exact)).valid:
             return v
     return OK
 
 
-def calls_verdict(functions: list[dict], output: list[Call], answers: list[Call], strict: bool = False) -> Verdict:
+def calls_verdict(functions: list[dict], output: list[Call], answers: list[Call], strict: bool = False, exact: bool = False) -> Verdict:
     """All output calls against all answers, whose names may carry the number of a repeated call.
 
     One output call may satisfy several answers. The error kept is that of the
@@ -161,7 +181,7 @@ def calls_verdict(functions: list[dict], output: list[Call], answers: list[Call]
         function = next((f for f in functions if f.get("name", "") in key), None)
         last = OK
         for call in output:
-            last = call_verdict(function, call, name, answer, strict) if call[0] == name else Verdict(False, "simple_function_checker:unclear")
+            last = call_verdict(function, call, name, answer, strict, exact) if call[0] == name else Verdict(False, "simple_function_checker:unclear")
             if last.valid:
                 break
         if not last.valid:
@@ -169,13 +189,13 @@ def calls_verdict(functions: list[dict], output: list[Call], answers: list[Call]
     return OK
 
 
-def any_answer(functions: list[dict], output: list[Call] | None, alternatives: list[list[Call]], strict: bool = False) -> Verdict:
+def any_answer(functions: list[dict], output: list[Call] | None, alternatives: list[list[Call]], strict: bool = False, exact: bool = False) -> Verdict:
     """Right if one of the alternative answers is met; else the last one's error."""
     if output is None:
         return Verdict(False, "wrong_output_format")
     last = Verdict(False, "wrong functions number")
     for answers in alternatives:
-        last = calls_verdict(functions, output, answers, strict)
+        last = calls_verdict(functions, output, answers, strict, exact)
         if last.valid:
             return OK
     return last
@@ -185,21 +205,26 @@ def _calls(rows) -> list[Call] | None:
     return None if rows is None else [(r["func"], json.loads(r["args_json"])) for r in rows]
 
 
-def check_calls(functions_json: Column, output: Column, answers: Column, strict: bool = False) -> Column:
-    """(valid, error_type) from a JSON list of functions, decoded output calls and alternative lists of answer calls."""
+def check_calls(functions_json: Column, output: Column, answers: Column, strict: bool = False, category: Column | None = None) -> Column:
+    """(valid, error_type) from a JSON list of functions, decoded output calls and alternative lists of answer calls.
+
+    In categories of agents texts must be equal as a whole (after the ignored
+    characters are gone); elsewhere the answer's text must occur in the output's.
+    """
 
     @F.pandas_udf(VERDICT)
-    def run(functions: pd.Series, outputs: pd.Series, golden: pd.Series) -> pd.DataFrame:
+    def run(functions: pd.Series, outputs: pd.Series, golden: pd.Series, exact: pd.Series) -> pd.DataFrame:
         read: dict[str, list[dict]] = {}
         rows = []
-        for text, out, alternatives in zip(functions, outputs, golden, strict=True):
+        for text, out, alternatives, whole in zip(functions, outputs, golden, exact, strict=True):
             if text not in read:
                 read[text] = json.loads(text) if text else []
-            v = any_answer(read[text], _calls(out), [_calls(a) for a in alternatives] if alternatives is not None else [], strict)
+            v = any_answer(read[text], _calls(out), [_calls(a) for a in alternatives] if alternatives is not None else [], strict, whole)
             rows.append((v.valid, v.error))
         return pd.DataFrame(rows, columns=["valid", "error_type"])
 
-    return run(functions_json, output, answers)
+    agent = F.lit(False) if category is None else F.coalesce(F.contains(category, F.lit("agent")), F.lit(False))
+    return run(functions_json, output, answers, agent)
 
 
 def state_matches(output: dict[str, dict], answer: dict[str, dict]) -> bool:

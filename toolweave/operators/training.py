@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toolweave.functions.calls import NotReadable, decode, same_calls
-from toolweave.functions.checker import TYPES
+from toolweave.functions.checker import TYPES, Enumerated
 from toolweave.operators.prompts import between_tags
 
 FUNCTIONS = "array<struct<name:string,description:string>>"
@@ -60,7 +60,7 @@ def difference(pred: str, answer: str, functions: list[dict]) -> dict | None:
             "redundant": sorted(got.keys() - want.keys()),
             "missing": sorted(want.keys() - got.keys()),
             "value": sorted(p for p in got.keys() & want.keys() if number(got[p]) and number(want[p]) and got[p] != want[p]),
-            "type": sorted(p for p, t in kinds.items() if t is not None and type(got[p]) is not t and not (t is float and type(got[p]) is int)),
+            "type": sorted(p for p, t in kinds.items() if t not in (None, Enumerated) and type(got[p]) is not t and not (t is float and type(got[p]) is int)),
         }
         if any(part.values()):
             out["params"][name] = part
@@ -70,7 +70,8 @@ def difference(pred: str, answer: str, functions: list[dict]) -> dict | None:
 @F.pandas_udf(T.StringType())
 def reflection(preds: pd.Series, answers: pd.Series, functions: pd.Series) -> pd.Series:
     """The difference as JSON; null where it can't be told."""
-    rows = [difference(p, a, json.loads(f)) if None not in (p, a, f) else None for p, a, f in zip(preds, answers, functions, strict=True)]
+    read = {f: json.loads(f) for f in set(functions) if f is not None}
+    rows = [difference(p, a, read[f]) if None not in (p, a, f) else None for p, a, f in zip(preds, answers, functions, strict=True)]
     return pd.Series([None if r is None else json.dumps(r) for r in rows], dtype=object)
 
 

@@ -54,7 +54,7 @@ def evaluate_calls(cases: DataFrame, results: DataFrame, answers: DataFrame, mod
     """(id, category, valid, error_type, result): each case's calls against its alternative answers."""
     rows = cases.join(answers, "id").join(results, "id", "left")
     decoded = decode_output(without_white_space(F.col("result")), F.lit(model))
-    verdict = check_calls(F.col("functions_json"), decoded, read_answers(F.col("ground_truth")), strict)
+    verdict = check_calls(F.col("functions_json"), decoded, read_answers(F.col("ground_truth")), strict, category_of("id"))
     return rows.withColumn("verdict", verdict).select("id", category_of("id").alias("category"), "verdict.valid", "verdict.error_type", "result")
 
 

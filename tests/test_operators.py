@@ -31,12 +31,18 @@ def bm25_loop(query, docs):
     return [sum(idf[t] * ts.count(t) * 2.5 / (ts.count(t) + 1.5 * (0.25 + 0.75 * len(ts) / mean)) for t in query.split() if t in df) for ts in toks]
 
 
+def with_zero_scores(hits, queries, corpus):
+    """The full lists, for comparison: all other documents of each query at score 0."""
+    pairs = queries.select("qid").distinct().crossJoin(corpus.select("docid"))
+    return pairs.join(hits, ["qid", "docid"], "left").select("qid", "docid", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def test_bm25_and_zero_scores(spark):
     docs = ["a b c", "a a d", "", "x y z w", "b"]
     corpus = spark.createDataFrame(list(enumerate(docs)), "docid long, text string")
     queries = spark.createDataFrame([(7, "a b a"), (8, "nothing")], "qid long, text string")
     hits = retrieval.bm25(queries, corpus)
-    full = {(q, d): s for q, d, s in values(retrieval.with_zero_scores(hits, queries, corpus), "qid", "docid", "score")}
+    full = {(q, d): s for q, d, s in values(with_zero_scores(hits, queries, corpus), "qid", "docid", "score")}
     for i, want in enumerate(bm25_loop("a b a", docs)):
         assert full[7, i] == pytest.approx(want, abs=0.006)
         assert full[8, i] == 0
@@ -76,7 +82,7 @@ def test_ndcg_with_ties(spark):
     queries = spark.createDataFrame([(1,), (2,), (4,)], "qid long")
     corpus = spark.range(9).withColumnRenamed("id", "docid")
     qrels = spark.createDataFrame([(1, 2), (1, 7), (2, 7), (4, 0), (4, 1)], "qid long, docid long")
-    listed = metrics.ndcg(retrieval.with_zero_scores(hits, queries, corpus), qrels)
+    listed = metrics.ndcg(with_zero_scores(hits, queries, corpus), qrels)
     assert values(metrics.ndcg(hits.filter("qid < 3"), qrels, queries=queries, corpus_size=9)) == values(listed)
 
 

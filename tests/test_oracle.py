@@ -38,7 +38,7 @@ def test_query_matches_sql(spark, duck, small, name):
 
 def test_every_query_without_sql_is_known():
     """Results that another engine's SQL can't express are tested against brute force instead."""
-    assert {n for n in entry.queries() if n not in ORACLES and not n.startswith("op") and n != "pipeline"} == {"rate_spacing"}
+    assert {n for n in entry.queries() if n not in ORACLES and not n.startswith("op") and n != "pipeline"} == set()
 
 
 def test_entry_has_rows(spark):

@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from toolweave.plans import commands, extend
+from toolweave.sources.shared import drop_tables
 
 
 def parser() -> argparse.ArgumentParser:
@@ -35,6 +36,13 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("toolweave").getOrCreate()
+    try:
+        run(spark, a)
+    finally:
+        drop_tables(spark)
+
+
+def run(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.step == "prepare":
         commands.prepare(spark, a.cases, a.answers, a.output, a.exact, a.all_functions)
     elif a.step == "retrieve":

@@ -46,6 +46,26 @@ def fill_to_targets(existing: DataFrame, candidates: DataFrame, case: str, targe
     return filled.filter(F.col("fill_rank") <= F.col("target") - F.col("n")).select(case, "target", "item", "fill_rank")
 
 
+def best_of_lists(members: DataFrame, lists: DataFrame, case: str, key: str, item: str, score: str, need: str, most: int) -> DataFrame:
+    """(case, item, score): each case's ``need`` best items, at least, of the union of its ranked lists; an item counts with its best score.
+
+    ``members`` (case, key, need) name each case's lists, ``lists`` (key, item,
+    score) hold them; ``need`` is at most ``most``. An item among the best of the
+    union is among the best of the list that gives its score, so lists are cut to
+    ``most``. A first look at a few entries of each list bounds the score that an
+    item must have; only entries from there on are put together.
+    """
+    place = Window.partitionBy(key).orderBy(F.desc(score), item)
+    ranked = lists.withColumn("__place", F.row_number().over(place)).filter(F.col("__place") <= most)
+    looks = members.groupBy(case).agg((F.ceil(F.first(need) / F.count("*")) + 2).alias("__look"))
+    first = members.join(looks, case).join(ranked, key).filter(F.col("__place") <= F.col("__look"))
+    first = first.groupBy(case, item).agg(F.max(score).alias(score), F.first(need).alias(need))
+    by_score = Window.partitionBy(case).orderBy(F.desc(score), item)
+    bound = first.withColumn("__rank", F.row_number().over(by_score)).filter(F.col("__rank") == F.col(need)).select(case, F.col(score).alias("__bound"))
+    rest = members.join(bound, case, "left").join(ranked, key).filter((F.col("__place") <= F.col(need)) & (F.col("__bound").isNull() | (F.col(score) >= F.col("__bound"))))
+    return rest.groupBy(case, item).agg(F.max(score).alias(score))
+
+
 def similarity_pairs(cases: DataFrame, candidates: str = "candidates", existing: str = "existing") -> DataFrame:
     """Every (new candidate, existing function) of each case, a bounded product inside one row."""
     new = F.array_except(F.col(candidates), F.col(existing))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from toolweave.operators.retrieval import small
+
 
 def build_messages(turns: DataFrame, case: str, order: str, role: str = "role", text: str = "text", base: str = "") -> DataFrame:
     """(case, system, user): base and all system texts in order, and the last user text."""
@@ -37,11 +39,11 @@ def prompt_kind(id_col: str) -> Column:
 def build_prompts(cases: DataFrame, templates: DataFrame, id_col: str = "id", long_time: int = 0) -> DataFrame:
     """Cases (id, lang, functions, question, time, profile) with ``prompt`` from the template of their (lang, kind).
 
-    ``templates`` (lang, kind, template) is a small table of text. Time is used
+    ``templates`` (lang, kind, template) is sent to all tasks if it is counted to be small. Time is used
     only if longer than ``long_time`` characters.
     """
     time = F.when(F.length("time") > long_time, F.col("time"))
-    joined = cases.withColumn("kind", prompt_kind(id_col)).join(F.broadcast(templates), ["lang", "kind"], "left")
+    joined = cases.withColumn("kind", prompt_kind(id_col)).join(small(templates), ["lang", "kind"], "left")
     filled = F.col("template")
     for name, value in {"functions": F.col("functions"), "question": F.col("question"), "time": time, "profile": F.col("profile")}.items():
         filled = F.replace(filled, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))

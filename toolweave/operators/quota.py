@@ -2,34 +2,50 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def per_minute(requests: DataFrame, limit: int, by: list[str] | None = None, ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """``requests`` with ``granted``: the first ``limit`` of each clock minute (and ``by``)."""
-    minute = F.date_trunc("minute", F.col(ts)).cast(requests.schema[ts].dataType)
-    w = Window.partitionBy(*(by or []), "minute").orderBy(ts, tie)
-    return requests.withColumn("minute", minute).withColumn("granted", F.row_number().over(w) <= limit)
+    """``requests`` with ``minute`` and ``granted``: the first ``limit`` of each clock minute (and ``by``) by (ts, tie).
+
+    Spark cuts each minute to its first requests before the shuffle; the last of
+    these is all that the other rows are compared with, so no minute is gathered
+    in one place. Requests of one minute that agree in both columns go together.
+    """
+    key = [*(by or []), "minute"]
+    rows = requests.withColumn("minute", F.date_trunc("minute", F.col(ts)).cast(requests.schema[ts].dataType))
+    at = F.struct(F.col(ts), F.col(tie))
+    first = rows.select(*key, ts, tie).withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(ts, tie))).filter(F.col("place") <= limit)
+    last = first.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.max(at).alias("__last"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+    return rows.join(last, same, "left").withColumn("granted", F.coalesce(at <= F.col("__last"), F.lit(False))).select(*rows.columns, "granted")
 
 
 def spaced(requests: DataFrame, key: str, seconds: float, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """(key, tie, granted): granted if ``seconds`` or more have passed since the last grant of the key.
 
-    Each decision depends on the one before, so a key's requests go through in
-    order in one group; keys run in parallel.
+    Each decision depends on the one before, so a key's requests go through one
+    task, in order; they stream through it, whatever their number, and keys run
+    in parallel.
     """
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        last, out = None, []
-        g = g.sort_values(["at", tie], kind="stable")
-        for at in g["at"]:
-            ok = last is None or at - last >= seconds
-            last = at if ok else last
-            out.append(ok)
-        return pd.DataFrame({key: g[key], tie: g[tie], "granted": out})
+    gap = round(seconds * 1_000_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, begun = None, 0, False
+        for batch in batches:
+            out = []
+            for k, at in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or k != now:
+                    now, last, begun, ok = k, at, True, True
+                elif ok := at - last >= gap:
+                    last = at
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], [key, tie, "granted"])
 
     kinds = {c: requests.schema[c].dataType.simpleString() for c in (key, tie)}
-    slim = requests.select(key, tie, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at"))
-    return slim.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {tie} {kinds[tie]}, granted boolean")
+    slim = requests.select(key, tie, F.unix_micros(F.col(ts).cast("timestamp")).alias("at")).filter("at is not null")
+    return slim.repartition(key).sortWithinPartitions(key, "at", tie).mapInArrow(run, f"{key} {kinds[key]}, {tie} {kinds[tie]}, granted boolean")

@@ -1,8 +1,7 @@
 """Lexical, dense, late-interaction and fused retrieval over long-form hit lists.
 
 Hits are rows (qid, docid, score). Lexical scores touch only documents that
-share a token with the query; the others score 0 and can be put back with
-``with_zero_scores``. Query sets are small beside the corpus: Spark broadcasts
+share a token with the query; the others score 0 and aren't listed. Query sets are small beside the corpus: Spark broadcasts
 them when their size allows and shuffles them otherwise.
 """
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from toolweave.operators.order import top_k
+from toolweave.operators.order import rank_within, top_k
 from toolweave.sources.shared import materialize
 
 # Fixed values of the ranking function.
@@ -117,24 +116,18 @@ def _grouped_bm25(asked: DataFrame, corpus: DataFrame, group: list[str], tokens:
 def tf_idf(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Dot product of length-normalised TF-IDF vectors, smoothed idf from the corpus, rounded to two decimals.
 
-    A document's norm and its products with the queries come from the same rows:
-    each of its terms carries the queries that ask for it.
+    Norms are one aggregate over all terms of a document; products touch the
+    queries' terms only.
     """
     counts, docs, _ = token_counts(corpus, word_tokens("text"))
     idf = counts.select("token", (F.log((1 + F.lit(docs)) / (1 + F.col("df"))) + 1).alias("idf"))
     asked = _terms(queries, ["qid"], word_tokens("text")).join(idf, "token").withColumn("w", F.col("n") * F.col("idf"))
     norms = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
-    asks = asked.join(norms, "qid").groupBy("token").agg(F.collect_list(F.struct("qid", (F.col("w") / F.col("qn")).alias("qw"))).alias("asks"))
-    terms = _terms(corpus, ["docid"], word_tokens("text")).join(idf, "token").join(small(asks), "token", "left").withColumn("w", F.col("n") * F.col("idf"))
-    per_doc = terms.groupBy("docid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"), F.collect_list(F.when(F.col("asks").isNotNull(), F.struct("w", "asks"))).alias("hits"))
-    hits = per_doc.select("docid", "dn", F.explode("hits").alias("h")).select("docid", "dn", "h.w", F.explode("h.asks").alias("q"))
-    return hits.groupBy("docid", "q.qid").agg(F.round(F.sum(F.col("w") * F.col("q.qw")) / F.first("dn"), 2).alias("score")).select("qid", "docid", "score")
-
-
-def with_zero_scores(hits: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``hits`` and, at score 0, all other documents of each query: the full lists, as large as queries times corpus."""
-    pairs = F.broadcast(queries.select("qid").distinct()).join(corpus.select("docid"))
-    return pairs.join(hits, ["qid", "docid"], "left").select("qid", "docid", F.coalesce("score", F.lit(0.0)).alias("score"))
+    asked = small(asked.join(norms, "qid").select("token", "qid", (F.col("w") / F.col("qn")).alias("qw")))
+    terms = _terms(corpus, ["docid"], word_tokens("text")).join(idf, "token").select("docid", "token", (F.col("n") * F.col("idf")).alias("w"))
+    lengths = terms.groupBy("docid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+    dots = terms.join(asked, "token").groupBy("docid", "qid").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    return dots.join(lengths, "docid").select("qid", "docid", F.round(F.col("dot") / F.col("dn"), 2).alias("score"))
 
 
 def query_blocks(queries: DataFrame, id_col: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -202,14 +195,12 @@ def fuse_ranks(lists: list[DataFrame], corpus_size: int | Column, depth: int | N
 
     A document's position is the number of documents ranked below it by (score
     desc, docid); documents that a list doesn't score are at its bottom, 0. With
-    ``depth`` each list counts down to that rank only, so that no query's whole
-    list is sorted.
+    ``depth`` each list counts down to that rank only. No list is sorted in one
+    place: positions come from ranges of all lists together.
     """
-    if depth is not None:
-        lists = [top_k(h, depth) for h in lists]
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "docid")
+    ranked = [top_k(h, depth).select("qid", "docid", "rank") if depth is not None else rank_within(h.select("qid", "docid", "score"), "qid", [-F.col("score"), F.col("docid")]) for h in lists]
     size = F.lit(corpus_size) if isinstance(corpus_size, int) else corpus_size
-    placed = [h.select("qid", "docid", (size - F.row_number().over(order)).cast("long").alias("points")) for h in lists]
+    placed = [h.select("qid", "docid", (size - F.col("rank")).cast("long").alias("points")) for h in ranked]
     return reduce(DataFrame.unionAll, placed).groupBy("qid", "docid").agg(F.sum("points").alias("score"))
 
 

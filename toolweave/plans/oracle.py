@@ -53,8 +53,7 @@ WITH bought AS (SELECT o_custkey, l_partkey, l_suppkey FROM lineitem JOIN orders
 have AS (SELECT DISTINCT o_custkey, l_partkey AS item FROM bought),
 existing AS (SELECT o_custkey, count(*) AS n FROM have GROUP BY 1),
 sold AS (SELECT l_suppkey, l_partkey AS item, sum(l_quantity) AS qty FROM lineitem GROUP BY 1, 2),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY qty DESC, item) AS r FROM sold) WHERE r <= 5),
-offered AS (SELECT o_custkey, item, max(qty) AS qty FROM (SELECT DISTINCT o_custkey, l_suppkey FROM bought) JOIN best USING (l_suppkey) GROUP BY 1, 2),
+offered AS (SELECT o_custkey, item, max(qty) AS qty FROM (SELECT DISTINCT o_custkey, l_suppkey FROM bought) JOIN sold USING (l_suppkey) GROUP BY 1, 2),
 cand AS (SELECT o_custkey, item, row_number() OVER (PARTITION BY o_custkey ORDER BY qty DESC, item) AS rank, p_brand <> 'Brand#1' AS eligible
   FROM offered JOIN part ON item = p_partkey WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.o_custkey = offered.o_custkey AND h.item = offered.item)),
 taken AS (SELECT o_custkey, item, row_number() OVER (PARTITION BY o_custkey ORDER BY rank)::INT AS fill_rank FROM cand WHERE eligible AND rank <= {limit})
@@ -144,6 +143,10 @@ SELECT user_id, round(er, 6) AS special, round((cl + pu + vi) / 3, 6) AS normal,
         "weighted_accuracy": f"WITH {SCORES} SELECT event_type, round(sum(accuracy * n) / sum(n)::DOUBLE, 6) AS accuracy FROM s GROUP BY 1",
         "rate_quota": """WITH g AS (SELECT date_trunc('minute', ts)::TIMESTAMP AS minute, row_number() OVER (PARTITION BY date_trunc('minute', ts) ORDER BY ts, event_id) <= 2 AS granted FROM events)
 SELECT minute, sum(granted::INT)::BIGINT AS granted, count(*) AS asked FROM g GROUP BY 1""",
+        "rate_spacing": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+g AS (SELECT user_id, event_id, i, us AS since, true AS granted FROM e WHERE i = 1
+ UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN e.us - g.since >= 86400000000 THEN e.us ELSE g.since END, e.us - g.since >= 86400000000 FROM g JOIN e ON e.user_id = g.user_id AND e.i = g.i + 1)
+SELECT user_id, event_id, granted FROM g""",
         "category_sink": "SELECT CASE WHEN user_id % 2 = 0 THEN 'normal_multi_turn_' || event_type ELSE 'normal_' || event_type END AS category, count(*) AS n FROM events GROUP BY 1",
         "category_expand": f"""WITH x AS (SELECT * FROM {TAXONOMY_VALUES} t(g, category)), y AS (SELECT * FROM x UNION ALL SELECT 'normal', category FROM x WHERE g NOT IN ('special', 'agent')),
 a AS (SELECT (['special', 'single_turn', 'multi_turn', 'atom', 'similar_api', 'preference', 'agent', 'normal', 'other'])[(event_id % 9 + 1)::INT] AS name FROM events)

@@ -118,14 +118,13 @@ def _fill(spark: SparkSession, sf_dir: str, targets: list[int], limit: int) -> D
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
     bought = lines.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     have = bought.select("o_custkey", F.col("l_partkey").alias("item")).distinct()
-    existing = have.groupBy("o_custkey").agg(F.count("*").alias("n"))
-    # each supplier's five most ordered parts bound the candidates of a customer and supplier
-    sold = lines.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("qty"))
-    best = Window.partitionBy("l_suppkey").orderBy(F.desc("qty"), "l_partkey")
-    sold = sold.withColumn("r", F.row_number().over(best)).filter("r <= 5").select("l_suppkey", F.col("l_partkey").alias("item"), "qty")
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), "p_brand")
-    offered = bought.select("o_custkey", "l_suppkey").distinct().join(sold, "l_suppkey").groupBy("o_custkey", "item").agg(F.max("qty").alias("qty"))
-    offered = offered.join(have, ["o_custkey", "item"], "left_anti").join(parts, "item")
+    # who has as many as the largest target gets nothing
+    existing = have.groupBy("o_custkey").agg(F.count("*").alias("n")).filter(F.col("n") < max(targets))
+    sold = lines.groupBy("l_suppkey", F.col("l_partkey").alias("item")).agg(F.sum("l_quantity").alias("qty"))
+    # the best ``limit`` after those that a customer has are among its best n + limit
+    members = bought.select("o_custkey", "l_suppkey").distinct().join(existing.select("o_custkey", (F.col("n") + limit).alias("need")), "o_custkey")
+    offered = grouping.best_of_lists(members, sold, "o_custkey", "l_suppkey", "item", "qty", "need", max(targets) + limit)
+    offered = offered.join(have, ["o_custkey", "item"], "left_anti").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), "p_brand"), "item")
     order = Window.partitionBy("o_custkey").orderBy(F.desc("qty"), "item")
     candidates = offered.select("o_custkey", "item", F.row_number().over(order).alias("rank"), (F.col("p_brand") != "Brand#1").alias("eligible"))
     out = grouping.fill_to_targets(existing, candidates, "o_custkey", targets, limit)

@@ -8,17 +8,24 @@ not lost.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROW_COLUMNS = "file string, ordinal bigint, value string"
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], tolerant: bool = True) -> DataFrame:
-    """(file, ordinal, value) of each line; blank lines are skipped, unless ``tolerant`` is false."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    rows = files.select("file", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\r?\n")).alias("ordinal", "value"))
-    rows = rows.select("file", F.col("ordinal").cast("long").alias("ordinal"), "value")
+    """(file, ordinal, value) of each line; blank lines are skipped, unless ``tolerant`` is false.
+
+    Large files are read in splits by many tasks. A line's ordinal is its place in
+    its split, which one task reads in order, after the lines of the splits before.
+    """
+    read = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+    splits = read.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    # one row per split, as many as there are tasks
+    rows = read.join(F.broadcast(splits), ["file", "split"]).select("file", (F.col("at") + F.col("shift")).alias("ordinal"), "value")
     return rows.filter(F.trim("value") != "") if tolerant else rows
 
 
@@ -81,15 +88,18 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_scores(spark: SparkSession, root: str) -> DataFrame:
-    """(model, category, accuracy, process_accuracy, total_count) from the first line of each ``<model>/data_<category>_score.json``."""
+    """(model, category, accuracy, process_accuracy, total_count) from the first line of each ``<model>/data_<category>_score.json``.
+
+    A score file may be a folder of part files, as Spark writes them.
+    """
     rows = read_lines(spark, f"{root}/*/data_*_score.json").filter("ordinal = 0")
-    rows = rows.filter(~F.element_at(F.split("file", "/"), -1).contains("process"))
+    rows = rows.withColumn("name", F.regexp_extract("file", r"([^/]+/data_[^/]+_score\.json)(?:/[^/]*)?$", 1)).filter(~F.col("name").contains("process"))
     field = lambda name, kind: F.get_json_object("value", f"$.{name}").cast(kind).alias(name)
-    return rows.select(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("model"), F.regexp_extract("file", r"data_(.+)_score\.json$", 1).alias("category"), field("accuracy", "double"), field("process_accuracy", "double"), field("total_count", "long"))
+    return rows.select(F.regexp_extract("name", r"([^/]+)/", 1).alias("model"), F.regexp_extract("name", r"data_(.+)_score\.json$", 1).alias("category"), field("accuracy", "double"), field("process_accuracy", "double"), field("total_count", "long"))
 
 
 def subsets(spark: SparkSession, root: str, phase: str = "test") -> DataFrame:
-    """(subset, qid, query) over all ``<root>/*/*/<phase>.query.txt``: all subsets in one table."""
+    """(subset, qid, query) over all ``<root>/*/*/<phase>.query.txt``, files or folders of part files: all subsets in one table."""
     rows = read_lines(spark, f"{root}/*/*/{phase}.query.txt")
     cells = F.split("value", "\t", 2)
-    return rows.select(F.regexp_extract("file", r"([^/]+/[^/]+)/[^/]+$", 1).alias("subset"), cells[0].cast("int").alias("qid"), F.regexp_replace(cells[1], r'^"|"$', "").alias("query"))
+    return rows.select(F.regexp_extract("file", rf"([^/]+/[^/]+)/{phase}\.query\.txt(?:/[^/]*)?$", 1).alias("subset"), cells[0].cast("int").alias("qid"), F.regexp_replace(cells[1], r'^"|"$', "").alias("query"))

@@ -36,7 +36,10 @@ def build_qrels(answers: DataFrame, corpus: DataFrame, exact: bool = False, all_
 
 
 def retrieve(kind: str, queries: DataFrame, corpus: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Ranked hits by one of the retrievers over (qid, text, embedding) and (docid, text, embedding)."""
+    """Ranked hits by one of the retrievers over (qid, text, embedding) and (docid, text, embedding).
+
+    ``colbert`` also takes ``vectors`` on both sides and ranks the dense hits by late interaction.
+    """
     lexical = {"bm25": retrieval.bm25, "TF-IDF": retrieval.tf_idf}
     if kind in lexical:
         return top_k(lexical[kind](queries, corpus), k)
@@ -47,6 +50,10 @@ def retrieve(kind: str, queries: DataFrame, corpus: DataFrame, k: int = TOP_K) -
         return top_k(retrieval.fuse_ranks([retrieval.bm25(queries, corpus), dense], corpus.count()), k)
     if kind == "reranker":
         return retrieval.rerank(retrieval.dense_top_k(queries, corpus, k), -F.col("distance"))
+    if kind == "colbert":
+        hits = retrieval.dense_top_k(queries, corpus, k).select(F.col("qid").alias("list"), "docid")
+        asked = queries.select(F.col("qid").alias("list"), "qid", "vectors")
+        return top_k(retrieval.late_interaction(asked, hits.join(corpus.select("docid", "vectors"), "docid"), "list"), k)
     raise ValueError(f"no such retriever: {kind}")
 
 

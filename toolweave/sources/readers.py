@@ -103,3 +103,11 @@ def subsets(spark: SparkSession, root: str, phase: str = "test") -> DataFrame:
     rows = read_lines(spark, f"{root}/*/*/{phase}.query.txt")
     cells = F.split("value", "\t", 2)
     return rows.select(F.regexp_extract("file", rf"([^/]+/[^/]+)/{phase}\.query\.txt(?:/[^/]*)?$", 1).alias("subset"), cells[0].cast("int").alias("qid"), F.regexp_replace(cells[1], r'^"|"$', "").alias("query"))
+
+
+def find_files(spark: SparkSession, folder: str, part: str) -> list[str]:
+    """Paths of a folder's files whose name holds ``part``, by name; those of multi-turn cases only if ``part`` asks for them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in system.listStatus(path))
+    return [f"{folder.rstrip('/')}/{n}" for n in names if part in n and ("multi_turn" in part or "multi_turn" not in n)]

@@ -32,9 +32,14 @@ def _tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/toolweave-{spark.sparkContext.applicationId}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files that one step hands to the next."""
+    return f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
-    path = f"{_tables_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

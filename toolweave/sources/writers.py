@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toolweave.operators.catalog import category_of
@@ -26,11 +26,15 @@ def append_results(results: DataFrame, path: str, id_col: str = "id") -> None:
     results.withColumn("category", category_of(id_col)).write.mode("append").partitionBy("category").json(path)
 
 
-def sorted_results(results: DataFrame, id_col: str = "id") -> DataFrame:
-    """Results in natural order: by the last integer part of the id, or the last two for multi-turn ids."""
+def natural_keys(id_col: str = "id") -> list[Column]:
+    """What results are sorted by: category, the last integer part of the id, or the last two for multi-turn ids."""
     multi = F.col(id_col).contains("multi_turn") & ~F.col(id_col).contains("agent")
-    session = F.when(multi, trailing_number(id_col, 2)).otherwise(trailing_number(id_col))
-    return results.orderBy(category_of(id_col), session, F.when(multi, trailing_number(id_col)))
+    return [category_of(id_col), F.when(multi, trailing_number(id_col, 2)).otherwise(trailing_number(id_col)), F.when(multi, trailing_number(id_col))]
+
+
+def sorted_results(results: DataFrame, id_col: str = "id") -> DataFrame:
+    """Results in natural order."""
+    return results.orderBy(*natural_keys(id_col))
 
 
 def retrieval_results(hits: DataFrame) -> DataFrame:

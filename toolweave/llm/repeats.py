@@ -16,10 +16,12 @@ so two copies of it keep the same suffix, whose next length - window + 1 words
 3. Runs that follow each other and have their first copy in the same place are
    joined into passages.
 
-Sorting is by range of all that is sorted by, so that a passage that a third of
-all documents share is dealt over many tasks. Groups of equal cores that a range
-boundary cuts are settled run by run: their runs, as 128-bit hashes, are counted
-and joined with their first places.
+Ranges of the order are dealt to tasks, and what is in a range of its own group
+is dealt by document, so that a passage that a third of all documents share is
+spread over many tasks. Groups of equal cores of more than ``large`` suffixes, and
+those at a range's ends, are settled run by run and not in one place: suffixes
+with the same words around the core are one context, contexts give their runs as
+128-bit hashes, these are counted, and contexts learn of their runs' first places.
 
 Defined cases: null text counts as empty; documents under ``length`` words have
 no passages; repeats inside one id (also rows that repeat an id) don't count;
@@ -30,12 +32,12 @@ space, A-Z lowered; positions count words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from toolweave.llm.common import map_batches, materialize, texts_of
@@ -43,6 +45,8 @@ from toolweave.llm.common import map_batches, materialize, texts_of
 LENGTH = 50
 WINDOW = 20
 GRAM = 4
+#: Suffixes of a group that one task compares by words.
+LARGE = 64
 CHUNK_CHARS = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
@@ -268,8 +272,9 @@ def common_words(a: bytes, b: bytes) -> int:
     return a.count(b" ", 0, n)
 
 
-#: For the runs that start from the first to the second number of words before a suffix: their first copy's suffix, and how many documents hold them.
-Found = tuple[int, int, tuple[int, int], int]
+Place = tuple[int, int]
+#: For the runs that start from the first to the second number of words before a suffix: their first copy's suffix, and how many copies there are.
+Found = tuple[int, int, Place, int]
 
 
 class Context:
@@ -277,11 +282,18 @@ class Context:
 
     def __init__(self, after: bytes, before: bytes, left: int, right: int):
         self.after, self.before, self.left, self.right = after, before, left, right
-        self.places: list[tuple[int, int]] = []
+        self.places: list[Place] = []
         self.shares = 0  # words after the core that a neighbour shares
 
-    def count(self) -> int:
-        return 1 + sum(a[0] != b[0] for a, b in zip(self.places, self.places[1:], strict=False))
+    def runs(self, tail: int) -> Iterator[tuple[int, bytes, bytes]]:
+        """(l, words before the core, words after it) of the run that starts l words before the suffix, for all its runs."""
+        back, forth = word_ends(self.before), word_ends(self.after)
+        for l in range(self.right, self.left + 1):
+            yield l, self.before[: back[l]], self.after[: forth[tail - l]]
+
+
+def in_two_documents(places: list[Place]) -> bool:
+    return places[0][0] != places[-1][0]
 
 
 def extend(contexts: list[Context], tail: int) -> list[list[Found]]:
@@ -296,21 +308,19 @@ def extend(contexts: list[Context], tail: int) -> list[list[Found]]:
         n = common_words(a.after, b.after)
         a.shares, b.shares = max(a.shares, n), max(b.shares, n)
     alike: dict[tuple[int, bytes, bytes], list[int]] = {}
+    runs: list[list[tuple[int, Place, int]]] = [[] for _ in contexts]
     for i, c in enumerate(contexts):
-        back, forth = word_ends(c.before), word_ends(c.after)
-        for l in range(max(c.right, tail - c.shares), c.left + 1):
-            alike.setdefault((l, c.before[: back[l]], c.after[: forth[tail - l]]), []).append(i)
-    counts = [c.count() for c in contexts]
-    runs: list[list[tuple[int, tuple[int, int], int]]] = [[] for _ in contexts]
-    for i, c in enumerate(contexts):
-        if counts[i] > 1:
-            runs[i] += [(l, c.places[0], counts[i]) for l in range(c.right, min(c.left, tail - c.shares - 1) + 1)]
+        for l, before, after in c.runs(tail):
+            if tail - l <= c.shares:
+                alike.setdefault((l, before, after), []).append(i)
+            elif in_two_documents(c.places):
+                runs[i].append((l, c.places[0], len(c.places)))
     for (l, _, _), members in alike.items():
-        n = counts[members[0]] if len(members) == 1 else len({p[0] for i in members for p in contexts[i].places})
-        if n > 1:
-            first = min(contexts[i].places[0] for i in members)
+        ends = [contexts[i].places[k] for i in members for k in (0, -1)]
+        if min(ends)[0] != max(ends)[0]:
+            n = sum(len(contexts[i].places) for i in members)
             for i in members:
-                runs[i].append((l, first, n))
+                runs[i].append((l, min(ends), n))
     out: list[list[Found]] = []
     for found in runs:
         joined: list[Found] = []
@@ -323,69 +333,95 @@ def extend(contexts: list[Context], tail: int) -> list[list[Found]]:
     return out
 
 
-RUNS = "id bigint, low int, high int, first_doc bigint, shift int, n bigint, run binary"
+#: What a task tells of its suffixes. FOUND: runs from word low to high on, with their first copy and number of copies.
+#: MEMBER: the suffix at word low of a large group, by context. RUN: the run that starts low words before a context's suffixes.
+RUNS = "kind int, id bigint, low int, high int, first_doc bigint, shift int, n bigint, last_doc bigint, context binary, run binary"
+FOUND, MEMBER, RUN = range(3)
 
 
-def _extend_groups(batches: Iterator[pa.RecordBatch], tail: int) -> Iterator[pa.RecordBatch]:
-    """Runs found, of sorted suffixes (RUNS); ``run`` is set, and the place unknown, for groups at the partition's ends."""
-    names = [c.split()[0] for c in RUNS.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-    out: list[tuple] = []
+class Group:
+    """The suffixes of one core, in order: compared here if they are few, told context by context if they are many."""
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-            out.clear()
-
-    def open_rows(key: tuple[int, int], after: bytes, before: bytes, id_: int, pos: int, left: int, right: int) -> None:
-        back, forth = word_ends(before), word_ends(after)
-        head = b"%d,%d," % key
-        for l in range(right, left + 1):
-            run = xxhash.xxh3_128_digest(b"%s%d\0%s\0%s" % (head, l, before[: back[l]], after[: forth[tail - l]]))
-            out.append((id_, pos - l, pos - l, None, None, None, run))
-
-    def settle(contexts: list[Context]) -> None:
-        if len(contexts) == 1 and contexts[0].places[0][0] == contexts[0].places[-1][0]:
-            return
-        for c, found in zip(contexts, extend(contexts, tail), strict=True):
-            for most, least, (doc, place), n in found:
-                out.extend((id_, pos - most, pos - least, doc, place - pos, n, None) for id_, pos in c.places)
+    def __init__(self, key: tuple[int, int], tail: int, many: bool, tell: Callable[..., None]):
+        self.key, self.tail, self.many, self.tell = key, tail, many, tell
+        self.contexts: list[Context] = []
+        self.size = 0
 
-    key_now, contexts, at_start = None, [], True
+    def add(self, after: bytes, before: bytes, place: Place, left: int, right: int) -> None:
+        if not self.contexts or self.contexts[-1].after != after or self.contexts[-1].before != before:
+            self.contexts.append(Context(after, before, left, right))
+        places = self.contexts[-1].places
+        if places and places[-1] == place:
+            return
+        places.append(place)
+        self.size += 1
+
+    def open(self, last: bool) -> None:
+        """Tell all contexts that are complete, and forget them; the last one is, if no suffix follows."""
+        for c in self.contexts if last else self.contexts[:-1]:
+            name = xxhash.xxh3_128_digest(b"%d,%d\0%s\0%s" % (*self.key, c.before, c.after))
+            for id_, pos in c.places:
+                self.tell(MEMBER, id=id_, low=pos, context=name)
+            doc, pos = c.places[0]
+            for l, before, after in c.runs(self.tail):
+                run = xxhash.xxh3_128_digest(b"%d,%d,%d\0%s\0%s" % (*self.key, l, before, after))
+                self.tell(RUN, low=l, first_doc=doc, shift=pos - l, n=len(c.places), last_doc=c.places[-1][0], context=name, run=run)
+        self.contexts = [] if last else self.contexts[-1:]
+
+    def settle(self, at_end: bool = False) -> None:
+        if self.many or at_end:
+            self.open(True)
+        elif in_two_documents([min(c.places[0] for c in self.contexts), max(c.places[-1] for c in self.contexts)]):
+            for c, found in zip(self.contexts, extend(self.contexts, self.tail), strict=True):
+                for most, least, (doc, place), n in found:
+                    for id_, pos in c.places:
+                        self.tell(FOUND, id=id_, low=pos - most, high=pos - least, first_doc=doc, shift=place - pos, n=n)
+
+
+def _extend_groups(batches: Iterator[pa.RecordBatch], tail: int, large: int) -> Iterator[pa.RecordBatch]:
+    """RUNS of sorted suffixes. The first and the last group may go on in other tasks and count as large."""
+    schema = pa.schema([(c.split()[0], {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in RUNS.split(", ")])
+    out: list[dict] = []
+
+    def tell(kind: int, **row) -> None:
+        out.append({"kind": kind, **row})
+
+    group: Group | None = None
     for batch in batches:
         for key, check, after, before, id_, pos, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key_now != (key, check):
-                if contexts:
-                    settle(contexts)
-                at_start, key_now, contexts = key_now is None, (key, check), []
-            if at_start:
-                open_rows(key_now, after, before, id_, pos, left, right)
-            else:
-                if not contexts or contexts[-1].after != after or contexts[-1].before != before:
-                    contexts.append(Context(after, before, left, right))
-                contexts[-1].places.append((id_, pos))
-            if len(out) > 50_000:
-                yield from flush()
-        yield from flush()
-    for c in contexts:  # the last group may go on in the next partition
-        for id_, pos in c.places:
-            open_rows(key_now, c.after, c.before, id_, pos, c.left, c.right)
-            if len(out) > 50_000:
-                yield from flush()
-    yield from flush()
-
-
-def shared_runs(suffixes: DataFrame, tail: int) -> DataFrame:
-    """(id, low, high, first_doc, shift, n): runs from word ``low`` to ``high`` on have their first copy ``shift`` words on in first_doc and are in n documents."""
-    order = ["key", "check", "after", "before", "id", "pos"]
-    ranged = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = materialize(ranged.mapInArrow(lambda batches: _extend_groups(batches, tail), RUNS), "runs")
-    open_ = found.filter("run is not null").select("id", "low", "run")
-    # two steps, each of which combines before its shuffle: a run that very many documents hold makes one row a task
-    per_doc = open_.groupBy("run", "id").agg(F.min("low").alias("low"))
-    known = per_doc.groupBy("run").agg(F.min(F.struct("id", "low")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    placed = open_.join(known, "run").select("id", "low", F.col("low").alias("high"), F.col("first.id").alias("first_doc"), (F.col("first.low") - F.col("low")).alias("shift"), "n")
-    return found.filter("run is null").drop("run").unionAll(placed)
+            if group is None or group.key != (key, check):
+                if group is not None:
+                    group.settle()
+                group = Group((key, check), tail, group is None, tell)
+            group.add(after, before, (id_, pos), left, right)
+            if group.size > large:
+                group.many = True
+            if group.many and len(group.contexts) > 1:
+                group.open(False)
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out.clear()
+    if group is not None:
+        group.settle(at_end=True)
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+
+def shared_runs(suffixes: DataFrame, tail: int, large: int = LARGE) -> DataFrame:
+    """(id, low, high, first_doc, shift, n): runs from word ``low`` to ``high`` on have their first copy ``shift`` words on in first_doc, and n copies."""
+    ranged = suffixes.repartitionByRange("key", "check", "id").sortWithinPartitions("key", "check", "after", "before", "id", "pos")
+    told = materialize(ranged.mapInArrow(lambda batches: _extend_groups(batches, tail, large), RUNS), "runs")
+    runs = told.filter(F.col("kind") == RUN)
+    # counts combine before the shuffle; written, so that nothing keeps Spark from splitting a hot run in the join
+    counted = runs.groupBy("run").agg(F.min(F.struct("first_doc", "shift")).alias("first"), F.sum("n").alias("n"), F.min("first_doc").alias("least"), F.max("last_doc").alias("most"))
+    known = materialize(counted.filter("least <> most").select("run", F.col("first.first_doc").alias("first_doc"), F.col("first.shift").alias("first_low"), "n"), "known")
+    per_context = runs.select("run", "context", "low").join(known, "run").select("context", "low", "first_doc", (F.col("first_low") + F.col("low")).alias("place"), "n").distinct()
+    line = ["context", "first_doc", "place"]
+    islands = per_context.withColumn("island", F.col("low") - F.row_number().over(Window.partitionBy(*line).orderBy("low")))
+    islands = materialize(islands.groupBy(*line, "island").agg(F.max("low").alias("most"), F.min("low").alias("least"), F.max("n").alias("n")), "islands")
+    members = told.filter(F.col("kind") == MEMBER).select("id", F.col("low").alias("pos"), "context")
+    placed = members.join(islands, "context").select("id", (F.col("pos") - F.col("most")).alias("low"), (F.col("pos") - F.col("least")).alias("high"), "first_doc", (F.col("place") - F.col("pos")).alias("shift"), "n")
+    return told.filter(F.col("kind") == FOUND).select(*placed.columns).unionAll(placed)
 
 
 def _join_runs(batches: Iterator[pa.RecordBatch], length: int, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -416,9 +452,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The passages of ``length`` words or more that occur in another document too, each with its class.
 
     Per passage of a document: id, start_word, end_word, n_words, first_doc,
-    first_word, n_docs. (first_doc, first_word) is the passage's first copy, by
+    first_word, n_copies. (first_doc, first_word) is the passage's first copy, by
     id and position, and names its class: all copies have it, its own included.
-    n_docs is the number of documents that hold a run of ``length`` words of the
+    n_copies is the number of places that hold a run of ``length`` words of the
     passage, the most of any of its runs. Where neighbouring runs have their
     first copies in different places a passage ends and the next one, which
     overlaps it, begins; together they cover all that repeats.
@@ -430,7 +466,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     matches = shared_rows(sparse_suffixes(slim, length, window), "suffixes")
     runs = shared_runs(suffix_words(slim, matches.select("id", "pos"), length, window), window - 1)
-    names = ["id", "start_word", "end_word", "n_words", "first_doc", "first_word", "n_docs"]
+    names = ["id", "start_word", "end_word", "n_words", "first_doc", "first_word", "n_copies"]
     ordered = runs.repartition("id").sortWithinPartitions("id", "first_doc", "shift", "low")
     out = ordered.mapInArrow(lambda batches: _join_runs(batches, length, names), ", ".join(f"{c} bigint" for c in names))
     return out.withColumnRenamed("id", id_col)

@@ -260,3 +260,43 @@ def test_responses(spark):
     assert first == again and all(t.startswith("[answer_") for _, t in first)
     df = spark.createDataFrame([('{"choices": [{"message": {"content": "hi"}}], "data": [{"embedding": [1.5]}]}',)], "r string")
     assert df.select(responses.completion_text("r"), responses.embedding_of("r")).first() == ("hi", [1.5])
+
+
+def test_best_of_lists_is_exact(spark):
+    """Against plain unions, with ties, short lists, items of several lists and needs beyond all lists."""
+    rng = random.Random(6)
+    lists = [(k, i, float(rng.randrange(9))) for k in range(6) for i in rng.sample(range(40), rng.choice([1, 5, 30]))]
+    members = [(c, k, need) for c, need in enumerate([1, 3, 8, 25, 60]) for k in rng.sample(range(6), 1 + c)]
+    got = grouping.best_of_lists(spark.createDataFrame(members, "c int, k int, need int"), spark.createDataFrame(lists, "k int, i int, s double"), "c", "k", "i", "s", "need", 60)
+    best = {}
+    for r in got.collect():
+        best.setdefault(r.c, {})[r.i] = r.s
+    for c, need in {(c, n) for c, _, n in members}:
+        whole = {}
+        for k, i, s in lists:
+            if (c, k, need) in members:
+                whole[i] = max(s, whole.get(i, -1))
+        want = sorted(whole.items(), key=lambda x: (-x[1], x[0]))[:need]
+        assert sorted(best[c].items(), key=lambda x: (-x[1], x[0]))[:need] == want and all(whole[i] == s for i, s in best[c].items())
+
+
+def test_rank_within_keys(spark):
+    rows = [(k, v) for k in ("a", "b", None) for v in (3, 1, 2, 2)] + [("c", 5)]
+    got = order.rank_within(spark.createDataFrame(rows, "k string, v int"), "k", [-F.col("v")])
+    assert sorted((r.k, r["rank"], r.v) for r in got.collect() if r.k) == sorted((k, n + 1, v) for k, vs in {"a": [3, 2, 2, 1], "b": [3, 2, 2, 1], "c": [5]}.items() for n, v in enumerate(vs))
+
+
+def test_minute_quota_and_spacing_of_crowds(spark):
+    rows = [(i, i % 2, 1_700_000_000 + i * 7 % 90) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
+    want, seen = set(), Counter()
+    for i, _, s in sorted(rows, key=lambda r: (r[2], r[0])):
+        seen[s // 60] += 1
+        want |= {i} if seen[s // 60] <= 3 else set()
+    assert {r.event_id for r in quota.per_minute(df, 3).filter("granted").collect()} == want
+    want, last = set(), {}
+    for i, u, s in sorted(rows, key=lambda r: (r[2], r[0])):
+        if u not in last or s - last[u] >= 20:
+            last[u] = s
+            want.add(i)
+    assert {r.event_id for r in quota.spaced(df, "user_id", 20).filter("granted").collect()} == want

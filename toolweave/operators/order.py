@@ -34,7 +34,7 @@ def dense_index(df: DataFrame, order: list[Column | str], name: str = "position"
 
 
 def rank_within(df: DataFrame, key: str, order: list[Column | str], name: str = "rank") -> DataFrame:
-    """``df`` with each row's rank, from 1, within its ``key``; a key may hold any share of the rows.
+    """``df`` with each row's rank, from 1, within its ``key``; a key may hold any share of the rows. Rows without a key are left out.
 
     The rank is the global position by (key, order) less that of the key's first row.
     """

@@ -107,7 +107,8 @@ def _grouped_bm25(asked: DataFrame, corpus: DataFrame, group: list[str], tokens:
     terms = terms.groupBy(*group, "docid", "length", "token").agg(F.count("*").cast("double").alias("tf"))
     key = [*group, "token"]
     weights = terms.groupBy(*key).agg(F.count("*").cast("double").alias("df")).join(sizes, group).withColumn("raw", _idf(F.col("docs"), F.col("df")))
-    weights = weights.withColumn("idf", _floored(F.col("raw"), F.avg("raw").over(Window.partitionBy(*group))))
+    # a mean per group that combines before its shuffle, so that a group of any size is not gathered
+    weights = weights.join(weights.groupBy(*group).agg(F.avg("raw").alias("mean")), group).withColumn("idf", _floored(F.col("raw"), F.col("mean")))
     part = F.col("n") * F.col("idf") * _bm25_weight(F.col("tf"), F.col("length"), F.col("mean_length"))
     scored = asked.join(terms, key).join(weights.select(*key, "idf", "mean_length"), key)
     return scored.groupBy(*group, "qid", "docid").agg(F.round(F.sum(part), 2).alias("score"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from toolweave.llm import decontaminate, htmltext, langid, lattice, media, packing, repeats, secrets, simhash, toxicity
+from toolweave.llm import decontaminate, htmltext, langid, lattice, media, neardup, packing, repeats, secrets, simhash, toxicity
 
 LONG = "lorem ipsum dolor " * 4000
 ROWS = [(1, "Password: hunter2222 some words here"), (1, "Password: hunter2222 some words here"), (2, None), (3, ""), (4, LONG), (5, "x" * 50_000), (None, "no id here"), (6, " \n\t "), (7, "été 日本語 😀 ÀÉ"), (8, "tie"), (9, "tie")]
@@ -87,3 +87,46 @@ def test_stages_take_odd_rows(spark, odd, labels, bench, tmp_path, name):
         assert stage(spark, odd, str(tmp_path)).columns == odd.columns
         assert any(r["doc_id"] == 7 for r in rows)
     assert stage(spark, odd.filter("false"), str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["toxicity", "decontamination"])
+def test_stages_without_labels_or_items_keep_all(spark, odd, labels, bench, tmp_path, name):
+    labels.filter("false").write.parquet(f"{tmp_path}/labels.parquet")
+    bench.filter("false").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = dict(corpus_pipeline.STAGES)[name](spark, odd, str(tmp_path))
+    assert kept.columns == odd.columns and kept.count() == len(ROWS)
+
+
+def test_near_duplicate_rows(spark, odd):
+    """Repeated rows, equal words, texts without words and null ids: the smallest id stands for each class, once."""
+    kept = neardup.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 4), (False, 5), (False, 7), (False, 8), (True, 0)]
+    assert {r.id: r.class_id for r in neardup.near_duplicate_decisions(odd).collect()} == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5, 6: 2, 7: 7, 8: 8, 9: 8, None: None}
+
+
+def test_rows_that_repeat(spark, odd, labels, bench):
+    """What a repeated row gives where results have a row per finding."""
+    item = bench.filter("item_id = 4").first().text
+    rows = odd.select("doc_id", "text").unionAll(spark.createDataFrame([(20, item), (20, item), (21, f"so {item} so")], "doc_id long, text string"))
+    found = sorted((r.doc_id, r.item_id) for r in decontaminate.benchmark_matches(rows, bench).collect())
+    assert found == [(20, 4), (20, 4), (21, 4)]
+    long = " ".join(f"w{k}" for k in range(70))
+    same = spark.createDataFrame([(1, long), (1, long), (2, "x " + long)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in repeats.repeated_passages(same).collect())
+    assert got == [(1, 0, 70, 70, 1, 0, 2), (2, 1, 71, 70, 1, 0, 2)]
+    assert repeats.repeated_passages(same.filter("doc_id = 1")).count() == 0
+    packed = packing.pack_documents(same).collect()
+    assert len([r for r in packed if r.doc_id == 1]) == 2 and len({(r.sequence_id, r.offset) for r in packed}) == 3
+
+
+def test_ties():
+    """Equal runs score alike, equally few edits take the first occurrence."""
+    item = b"abcdefgh ijklmnop qrstuvwx yz012345 abcdefgh ijklmnop qrstuvwx yz01"
+    index = decontaminate.Index([(0, item)])
+    ((_, _, _, start, _, edits),) = index.matches([b"-- " + item + b" -- " + item])
+    assert (start, edits) == (3, 0)
+    from toolweave.llm.subword import best_run
+    import numpy as np
+
+    assert best_run(np.array([1.0, 0.0, 1.0, 0.0]), 1) == (1.0, 0)

@@ -21,6 +21,7 @@ from toolweave.llm.toxicity import score_toxicity, train_toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score per document; null and empty texts score 0, repeated rows alike, an empty table gives none; without labels of both kinds all score 0."""
     docs = documents(spark, sf_dir)
     model = train_toxicity(docs, documents(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
     out = score_toxicity(docs, model)
@@ -28,41 +29,50 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document row and benchmark item of which it holds a segment; null and empty texts hold none; no items or no documents give none."""
     return benchmark_matches(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per passage of 50 words or more that another document has too, with its first copy; null, short and empty texts and rows without an id have none."""
     return repeated_passages(documents(spark, sf_dir), length=50)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document row; null and empty texts are the end symbol alone; without training documents every count is 0; an empty table gives none."""
     out = score_documents(documents(spark, sf_dir), fold("doc_id", 7) != 2)
     return out.withColumn("held_out", fold("doc_id", 7) == 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per page row; null and empty pages have an empty text; without a page to learn from the fixed weights hold."""
     pages = documents(spark, sf_dir, "pages")
     return extract_text(pages, weights=train_weights(pages))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document row; null, empty and blank texts have fingerprint zero and link; a row without an id takes its component from the others."""
     out = simhash_components(documents(spark, sf_dir), shingle=3, budget=2)
     return out.select("doc_id", fingerprint_text("fp").alias("fingerprint"), "component_id")
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document row; null and empty texts are one frame of zero bytes; equal texts give equal values."""
     return media_digest(documents(spark, sf_dir))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per piece; null and empty texts are the end id alone; repeated rows are packed as often; an empty table gives none."""
     return pack_documents(documents(spark, sf_dir), capacity=2048)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document row; null and empty texts have no spans and the digest of the empty text; repeated rows alike."""
     return secret_digest(documents(spark, sf_dir))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document row; und with score 0 for null and for texts without a letter; equal scores go to the first language by name."""
     docs = documents(spark, sf_dir)
     model = train_language(docs, fold("doc_id", 3) != 1)
     out = identify_language(docs, model)

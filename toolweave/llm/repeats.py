@@ -195,20 +195,20 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def shared_rows(rows: DataFrame, name: str) -> DataFrame:
-    """The rows (key, id, pos) whose key occurs with another id too."""
+    """The rows (key, id, pos) whose key occurs with another id too, with the ``range`` of the order by all three that holds them."""
     rows = materialize(rows, name)
     found = rows.repartitionByRange("key", "id", "pos").sortWithinPartitions("key", "id", "pos").mapInArrow(_compare_neighbours, "key bigint, id bigint, pos int, kind int")
-    found = materialize(found, name)
+    found = materialize(found.withColumn("range", F.spark_partition_id()), name)
     cut = found.filter("kind = 2").groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
     open_ = found.filter("kind = 1").join(cut, "key", "left_semi")
-    return found.filter("kind = 0").unionAll(open_).select("key", "id", "pos")
+    return found.filter("kind = 0").unionByName(open_).select("key", "id", "pos", "range")
 
 
-SUFFIX = "key bigint, check bigint, after binary, before binary, id bigint, pos int, left int, right int"
+SUFFIX = "range int, key bigint, check bigint, after binary, before binary, id bigint, pos int, left int, right int"
 
 
 def suffix_words(docs: DataFrame, matches: DataFrame, length: int, window: int) -> DataFrame:
-    """The suffixes of ``matches`` (id, pos) with the words that their runs have around the core.
+    """The suffixes of ``matches`` (id, pos, range) with the words that their runs have around the core.
 
     ``after`` are those that follow it, ``before`` those before it, nearest
     first, each word with a blank behind it, so that the order of the bytes keeps
@@ -216,21 +216,26 @@ def suffix_words(docs: DataFrame, matches: DataFrame, length: int, window: int)
     words before it.
     """
     core = length - window + 1
-    by_doc = matches.groupBy("id").agg(F.collect_set("pos").alias("at"))
+    by_doc = matches.groupBy("id").agg(F.collect_set(F.struct("pos", "range")).alias("at"))
     names = [c.split()[0] for c in SUFFIX.split(", ")]
 
     def start():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows, keys, checks, afters, befores, places, lefts, rights = ([] for _ in range(8))
+            ranges, rows, keys, checks, afters, befores, places, lefts, rights = ([] for _ in range(9))
             lists = batch.column(2)
             for i, text in enumerate(texts_of(batch, 1)):
                 words = text.encode("utf-8", "surrogatepass").lower().split()
                 h = word_hashes(words)
                 at, low, high = anchors(h, np.array([len(h)]), length, window)
-                mine = np.isin(at, lists[i].values.to_numpy(zero_copy_only=False))
+                asked = lists[i].values
+                pos, order = np.unique(asked.field("pos").to_numpy(zero_copy_only=False), return_index=True)
+                place = np.searchsorted(pos, at)
+                mine = place < len(pos)
+                mine[mine] = pos[place[mine]] == at[mine]
                 at, low, high = at[mine], low[mine], high[mine]
                 if not len(at):
                     continue
+                ranges.append(asked.field("range").to_numpy(zero_copy_only=False)[order[place[mine]]])
                 keys.append(run_hashes(h, core)[at])
                 checks.append(run_hashes(_mixed(h ^ _CHECK), core)[at])
                 spaced = [w + b" " for w in words]
@@ -243,8 +248,8 @@ def suffix_words(docs: DataFrame, matches: DataFrame, length: int, window: int)
                 rights.append(at - high)
             if not rows:
                 return None
-            row, key, check, place, left, right = (np.concatenate(x) for x in (rows, keys, checks, places, lefts, rights))
-            columns = [pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), pa.array(afters, pa.binary()), pa.array(befores, pa.binary()), batch.column(0).take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (place, left, right))]
+            span, row, key, check, place, left, right = (np.concatenate(x) for x in (ranges, rows, keys, checks, places, lefts, rights))
+            columns = [pa.array(span.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), pa.array(afters, pa.binary()), pa.array(befores, pa.binary()), batch.column(0).take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (place, left, right))]
             return pa.RecordBatch.from_arrays(columns, names)
 
         return work
@@ -379,7 +384,7 @@ class Group:
 
 
 def _extend_groups(batches: Iterator[pa.RecordBatch], tail: int, large: int) -> Iterator[pa.RecordBatch]:
-    """RUNS of sorted suffixes. The first and the last group may go on in other tasks and count as large."""
+    """RUNS of sorted suffixes. A range's first and last group may go on in other ranges and count as large."""
     schema = pa.schema([(c.split()[0], {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in RUNS.split(", ")])
     out: list[dict] = []
 
@@ -387,12 +392,13 @@ def _extend_groups(batches: Iterator[pa.RecordBatch], tail: int, large: int) ->
         out.append({"kind": kind, **row})
 
     group: Group | None = None
+    now = None
     for batch in batches:
-        for key, check, after, before, id_, pos, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if group is None or group.key != (key, check):
+        for span, key, check, after, before, id_, pos, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group is None or now != span or group.key != (key, check):
                 if group is not None:
-                    group.settle()
-                group = Group((key, check), tail, group is None, tell)
+                    group.settle(at_end=now != span)
+                group, now = Group((key, check), tail, now != span, tell), span
             group.add(after, before, (id_, pos), left, right)
             if group.size > large:
                 group.many = True
@@ -409,7 +415,7 @@ def _extend_groups(batches: Iterator[pa.RecordBatch], tail: int, large: int) ->
 
 def shared_runs(suffixes: DataFrame, tail: int, large: int = LARGE) -> DataFrame:
     """(id, low, high, first_doc, shift, n): runs from word ``low`` to ``high`` on have their first copy ``shift`` words on in first_doc, and n copies."""
-    ranged = suffixes.repartitionByRange("key", "check", "id").sortWithinPartitions("key", "check", "after", "before", "id", "pos")
+    ranged = suffixes.repartition("range").sortWithinPartitions("range", "key", "check", "after", "before", "id", "pos")
     told = materialize(ranged.mapInArrow(lambda batches: _extend_groups(batches, tail, large), RUNS), "runs")
     runs = told.filter(F.col("kind") == RUN)
     # counts combine before the shuffle; written, so that nothing keeps Spark from splitting a hot run in the join
@@ -465,7 +471,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         raise ValueError("length must exceed window by at least three words")
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     matches = shared_rows(sparse_suffixes(slim, length, window), "suffixes")
-    runs = shared_runs(suffix_words(slim, matches.select("id", "pos"), length, window), window - 1)
+    runs = shared_runs(suffix_words(slim, matches.select("id", "pos", "range"), length, window), window - 1)
     names = ["id", "start_word", "end_word", "n_words", "first_doc", "first_word", "n_copies"]
     ordered = runs.repartition("id").sortWithinPartitions("id", "first_doc", "shift", "low")
     out = ordered.mapInArrow(lambda batches: _join_runs(batches, length, names), ", ".join(f"{c} bigint" for c in names))

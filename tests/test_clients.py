@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from toolweave.operators import requests, responses
+from toolweave.plans import commands
 from toolweave.sources import readers, workbooks
 
 
@@ -93,3 +94,14 @@ def test_lines_of_split_files(spark, tmp_path):
         by_file.setdefault(r.file[-5], []).append((r.ordinal, r.value))
     for k, got in by_file.items():
         assert sorted(got) == [*((i, f"line {i} of {k}") for i in range(4000)), (4000, ""), (4001, "  "), (4002, "last")]
+
+
+def test_examples_routes_devices_batches(spark):
+    body = requests.messages_of(F.lit(None).cast("string"), F.lit("q"), [("a?", "a!"), ("b?", "b!")])
+    assert [tuple(m) for m in spark.range(1).select(body.alias("m")).first().m] == [("user", "a?"), ("assistant", "a!"), ("user", "b?"), ("assistant", "b!"), ("user", "q")]
+    assert requests.service_for("My-Echo-7b", {"other": len, "echo": requests.echo}) is requests.echo
+    with pytest.raises(KeyError):
+        requests.service_for("x", {})
+    assert requests.most_free([3, 9, 9, 1], 3) == [1, 2, 0]
+    assert [len(b) for b in readers.batches(spark.range(7), 3)] == [3, 3, 1] and list(readers.batches(spark.range(0), 3)) == []
+    assert commands.result_path("r/", "m", "c") == "r/m/data_c_score.json"

@@ -24,11 +24,12 @@ def chat_body(model: str, messages: Column, **settings: float | int | bool) -> C
     return F.to_json(F.struct(F.lit(model).alias("model"), messages.alias("messages"), *[F.lit(v).alias(k) for k, v in settings.items()]))
 
 
-def messages_of(system: Column, user: Column) -> Column:
-    """A system message, where there is one, and the user's."""
+def messages_of(system: Column, user: Column, shots: list[tuple[str, str]] | None = None) -> Column:
+    """A system message, where there is one, the exchanges ``shots`` (user, assistant) as examples, and the user's message."""
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    both = F.array(message("system", system), message("user", F.coalesce(user, F.lit(""))))
-    return F.filter(both, lambda m: (m["role"] == "user") | (F.coalesce(m["content"], F.lit("")) != ""))
+    examples = [message(role, F.lit(text)) for shot in shots or [] for role, text in zip(("user", "assistant"), shot, strict=True)]
+    whole = F.array(message("system", system), *examples, message("user", F.coalesce(user, F.lit(""))))
+    return F.filter(whole, lambda m: (m["role"] != "system") | (F.coalesce(m["content"], F.lit("")) != ""))
 
 
 def embedding_body(model: str, text: Column) -> Column:
@@ -85,6 +86,19 @@ def call_service(requests: DataFrame, send: Send, body: str = "body", attempts:
     return requests.mapInArrow(run, schema)
 
 
+def service_for(model: str, routes: dict[str, Send]) -> Send:
+    """The service of the first route whose name occurs in the model's, in any case."""
+    for part, send in routes.items():
+        if part.lower() in model.lower():
+            return send
+    raise KeyError(f"no service for {model}")
+
+
+def most_free(free: list[float], n: int) -> list[int]:
+    """The ``n`` devices with the most free memory, the first of equals."""
+    return sorted(range(len(free)), key=lambda k: (-free[k], k))[:n]
+
+
 def rewrite_requests(queries: DataFrame, template: str, model: str, **settings: float) -> DataFrame:
     """(qid, body): requests that rewrite each query by a template with a ``{query}`` place."""
     prompt = F.replace(F.lit(template), F.lit("{query}"), F.coalesce("query", F.lit("")))

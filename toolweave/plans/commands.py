@@ -13,6 +13,11 @@ from toolweave.plans import evaluate, extend
 from toolweave.sources import readers, writers
 
 
+def result_path(base: str, model: str, category: str, suffix: str = "_score.json") -> str:
+    """Where a model's file of a category lies."""
+    return f"{base.rstrip('/')}/{model}/data_{category}{suffix}"
+
+
 def read_cases(spark: SparkSession, pattern: str) -> DataFrame:
     """(id, file, ordinal, question, functions_json, functions) of test cases; a single function counts as a list."""
     rows = readers.read_json_lines(spark, pattern, {"id": "string", "question": "json", "function": "json", "time": "string", "profile": "string"})

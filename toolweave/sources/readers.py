@@ -8,7 +8,9 @@ not lost.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROW_COLUMNS = "file string, ordinal bigint, value string"
@@ -111,3 +113,15 @@ def find_files(spark: SparkSession, folder: str, part: str) -> list[str]:
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
     names = sorted(s.getPath().getName() for s in system.listStatus(path))
     return [f"{folder.rstrip('/')}/{n}" for n in names if part in n and ("multi_turn" in part or "multi_turn" not in n)]
+
+
+def batches(rows: DataFrame, size: int) -> Iterator[list[Row]]:
+    """Rows in lists of ``size`` for a consumer outside Spark; one partition at a time is in memory."""
+    part: list[Row] = []
+    for row in rows.toLocalIterator():
+        part.append(row)
+        if len(part) == size:
+            yield part
+            part = []
+    if part:
+        yield part

@@ -9,7 +9,8 @@ not cross words, so a word's marginal is worked out once for the whole corpus.
 
 Piece probabilities: the vocabulary's own scores (ranks) give a prior that falls
 with the rank; a few expectation steps over the counted words of the training
-documents give expected uses of each piece; both are mixed. Characters that are
+documents give expected uses of each piece; both are mixed, the prior by a share
+that doesn't fall as the corpus grows. Characters that are
 no piece are spelt by the vocabulary's byte pieces, so that every text has a
 positive probability.
 
@@ -42,8 +43,8 @@ from toolweave.llm.common import materialize, texts_of
 MARK = "▁"
 #: Words sent to all tasks at most.
 FREQUENT = 1 << 17
-#: Weight of the prior, in pieces.
-PRIOR_PIECES = 20_000.0
+#: Weight of the prior: so many pieces, or this share of all uses where that is more, so that it counts in corpora of any size.
+PRIOR_PIECES, PRIOR_SHARE = 20_000.0, 0.05
 #: Words that a task counts before it hands the counts on.
 COUNTED_WORDS = 400_000
 #: Expectation steps over the word counts.
@@ -332,10 +333,11 @@ def piece_probabilities(words: DataFrame, ends: int, path: str | None = None, ro
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["piece", "uses"])
 
         found = words.select("word", "c").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
-        uses = PRIOR_PIECES * prior
+        uses = np.zeros(len(prior))
         for r in found.collect():  # one row per piece of the vocabulary at most
             uses[r["piece"]] += r["uses"]
         uses[-1] += ends
+        uses += max(PRIOR_PIECES, PRIOR_SHARE * uses.sum()) * prior
         return np.log(uses / uses.sum())
 
     for _ in range(rounds):

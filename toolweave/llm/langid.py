@@ -139,7 +139,7 @@ def train_language(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_
     fit = [(t, c) for t, c, b in zip(texts, truth, back, strict=True) if not b]
     fit += [(dealt_anew(t, i), len(names)) for i, (t, b, f) in enumerate(zip(texts, back, foreign, strict=True)) if f and not b]
     model = SubwordModel(len(names) + 1, bits=15, width=8, longest=4)
-    model.fit([split_words(t) for t, _ in fit], np.array([c for _, c in fit]), epochs=min(10, max(2, 4000 // len(sample))))
+    model.fit((split_words(t) for t, _ in fit), np.array([c for _, c in fit]), epochs=min(10, max(2, 4000 // len(sample))))
     out = LanguageModel(names, model)
     held = [t for t, b in zip(texts, back, strict=True) if b]
     out.calibrate(held + [dealt_anew(t, -1 - i) for i, t in enumerate(held)], np.append(truth[back], np.full(len(held), len(names))), precision)

@@ -13,6 +13,7 @@ label, so that a few telling words in a long text are not averaged away.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -83,16 +84,18 @@ class SubwordModel:
         self.bias = np.zeros(self.classes, np.float32)
         self.trained = np.zeros(1 << self.bits, bool)
 
-    def fit(self, texts: list[list[str]], labels: np.ndarray, epochs: int = 4, batch: int = 64) -> SubwordModel:
-        """``texts`` are lists of words; texts without words are left out. Classes count alike, whatever their sizes."""
-        labels = np.asarray(labels, np.int64)[np.array([len(t) > 0 for t in texts], bool)] if len(texts) else np.zeros(0, np.int64)
+    def fit(self, texts: Iterable[list[str]], labels: np.ndarray, epochs: int = 4, batch: int = 64) -> SubwordModel:
+        """``texts`` are lists of words, read once; texts without words are left out. Classes count alike, whatever their sizes."""
         vocabulary: dict[str, int] = {}
-        ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], np.int64) for t in texts if t]
+        ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], np.int32) for t in texts]
+        labels = np.asarray(labels, np.int64)[np.array([len(t) > 0 for t in ids], bool)] if ids else np.zeros(0, np.int64)
+        ids = [t for t in ids if len(t)]
         if not ids:
             return self
         flat, owner = gram_rows(list(vocabulary), self.shortest, self.longest, self.bits)
         order = np.argsort(owner, kind="stable")
-        flat, size = flat[order], np.bincount(owner, minlength=len(vocabulary))
+        flat, size = flat[order].astype(np.int32), np.bincount(owner, minlength=len(vocabulary))
+        del order, owner, vocabulary
         self.trained[flat] = True
         first = np.append(0, np.cumsum(size))
         rng = np.random.default_rng(self.seed)
@@ -182,7 +185,7 @@ class WordScores:
         return self.matrix[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
 
 
-def text_chunks(texts: list[str], characters: int = 2_000_000) -> list[list[str]]:
+def text_chunks(texts: list[str], characters: int = 1_000_000) -> list[list[str]]:
     """Consecutive texts in lists of about so many characters."""
     out, size = [[]], 0
     for t in texts:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toolweave.llm.common import map_batches, texts_of
+from toolweave.llm.common import give_back, map_batches, texts_of
 from toolweave.llm.subword import SubwordModel, WordScores, best_run, split_words, text_chunks
 
 #: Chosen by accuracy on a fifth of the training rows (sf0.01, sf0.1), not on the held-out fold.
@@ -83,7 +83,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
     model = SubwordModel(2, window=window)
     # few rows take more rounds, so that training has steps enough
     epochs = min(40, max(5, 20_000 // len(rows)))
-    model.fit([split_words(t) for _, t, _ in rows], np.array([y for *_, y in rows]), epochs)
+    model.fit((split_words(t) for _, t, _ in rows), np.array([y for *_, y in rows]), epochs)
+    del rows
+    give_back()
     bias = float(model.bias[1] - model.bias[0]) - math.log1p(CAUTION / found.count(1))
     return ToxicityModel(model.scorer(trained_only=True), bias, window)
 

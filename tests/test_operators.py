@@ -282,7 +282,7 @@ def test_best_of_lists_is_exact(spark):
 
 def test_rank_within_keys(spark):
     rows = [(k, v) for k in ("a", "b", None) for v in (3, 1, 2, 2)] + [("c", 5)]
-    got = order.rank_within(spark.createDataFrame(rows, "k string, v int"), "k", [-F.col("v")])
+    got = order.rank_within(spark.createDataFrame(rows, "k string, v int"), ["k"], [-F.col("v")])
     assert sorted((r.k, r["rank"], r.v) for r in got.collect() if r.k) == sorted((k, n + 1, v) for k, vs in {"a": [3, 2, 2, 1], "b": [3, 2, 2, 1], "c": [5]}.items() for n, v in enumerate(vs))
 
 

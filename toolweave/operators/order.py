@@ -33,14 +33,14 @@ def dense_index(df: DataFrame, order: list[Column | str], name: str = "position"
     return placed.select(*df.columns, (F.col("__before") + F.col("__inside")).cast("long").alias(name))
 
 
-def rank_within(df: DataFrame, key: str, order: list[Column | str], name: str = "rank") -> DataFrame:
-    """``df`` with each row's rank, from 1, within its ``key``; a key may hold any share of the rows. Rows without a key are left out.
+def rank_within(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "rank") -> DataFrame:
+    """``df`` with each row's rank, from 1, within its ``keys``, which may hold any share of the rows. Rows without a key are left out.
 
-    The rank is the global position by (key, order) less that of the key's first row.
+    The rank is the global position by (keys, order) less that of the keys' first row.
     """
-    placed = dense_index(df, [key, *order], "__position")
-    first = placed.groupBy(key).agg(F.min("__position").alias("__first"))
-    return placed.join(first, key).select(*df.columns, (F.col("__position") - F.col("__first") + 1).alias(name))
+    placed = dense_index(df, [*keys, *order], "__position")
+    first = placed.groupBy(*keys).agg(F.min("__position").alias("__first"))
+    return placed.join(first, keys).select(*df.columns, (F.col("__position") - F.col("__first") + 1).alias(name))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -199,10 +199,13 @@ def fuse_ranks(lists: list[DataFrame], corpus_size: int | Column, depth: int | N
     ``depth`` each list counts down to that rank only. No list is sorted in one
     place: positions come from ranges of all lists together.
     """
-    ranked = [top_k(h, depth).select("qid", "docid", "rank") if depth is not None else rank_within(h.select("qid", "docid", "score"), "qid", [-F.col("score"), F.col("docid")]) for h in lists]
     size = F.lit(corpus_size) if isinstance(corpus_size, int) else corpus_size
-    placed = [h.select("qid", "docid", (size - F.col("rank")).cast("long").alias("points")) for h in ranked]
-    return reduce(DataFrame.unionAll, placed).groupBy("qid", "docid").agg(F.sum("points").alias("score"))
+    whole = lambda k, h: h.select(F.lit(k).alias("list"), "qid", "docid", "score")
+    if depth is not None:
+        ranked = reduce(DataFrame.unionAll, [top_k(h, depth).select("qid", "docid", "rank") for h in lists])
+    else:
+        ranked = rank_within(reduce(DataFrame.unionAll, [whole(k, h) for k, h in enumerate(lists)]), ["list", "qid"], [-F.col("score"), F.col("docid")])
+    return ranked.groupBy("qid", "docid").agg(F.sum((size - F.col("rank")).cast("long")).alias("score"))
 
 
 def rerank(hits: DataFrame, score: Column | Callable[[DataFrame], DataFrame], depth: int = RERANK_DEPTH) -> DataFrame:

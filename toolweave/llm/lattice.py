@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toolweave.llm.common import materialize, texts_of
+from toolweave.llm.common import give_back, materialize, parts_of, texts_of
 
 MARK = "▁"
 #: Words sent to all tasks at most.
@@ -314,6 +314,9 @@ def count_words(docs: DataFrame, id_col: str, text_col: str, learn: Column) -> D
                     others.clear()
         if learnt or others:
             yield handed()
+        learnt.clear()
+        others.clear()
+        give_back()
 
     parts = docs.select(F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("train")).mapInArrow(run, "word string, c bigint, n bigint")
     return parts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
@@ -329,6 +332,8 @@ def piece_probabilities(words: DataFrame, ends: int, path: str | None = None, ro
             lattices, total = WordLattices(log_p, path), np.zeros(len(prior))
             for batch in batches:
                 lattices.expect(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64), total)
+            del lattices
+            give_back()
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["piece", "uses"])
 
@@ -361,6 +366,8 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
         for batch in batches:
             values = lattices.log_marginals(batch.column(0).to_pylist()) / LOG10
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(values)], ["word", "c", "n", "marginal"])
+        del lattices
+        give_back()
 
     words = materialize(counted.filter("word is not null").mapInArrow(marginals, "word string, c bigint, n bigint, marginal double"), "marginals")
     # the smallest power of two such that at most FREQUENT words are found more often
@@ -371,16 +378,16 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
             break
         exponent = r["e"]
     often = 2**exponent if exponent < 63 else (1 << 62)
-    known = {r["word"].encode("utf-8", "surrogatepass"): (math.log10(r["c"] + 1), r["c"] > 0, r["marginal"]) for r in words.filter(F.col("n") >= often).collect()}
+    known = {r["word"].encode("utf-8", "surrogatepass"): (math.log10(r["c"] + 1), r["marginal"]) for r in words.filter(F.col("n") >= often).collect()}
     frequent = docs.sparkSession.sparkContext.broadcast(known)
-    end = math.log10(ends + 1), ends > 0, float(log_p[-1]) / LOG10
+    end = math.log10(ends + 1), float(log_p[-1]) / LOG10
     base_total = math.log10(train_tokens + distinct + 1)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequent.value
         row = TaskContext.get().partitionId() << 40
         names = ["row", "id", "word", "times", "n_tokens", "n_known", "base", "score"]
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole)):
             ids = batch.column(0)
             out: list[list] = [[] for _ in names[2:]]
             rows: list[int] = []
@@ -391,12 +398,12 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
             get = table.get
             for i, text in enumerate(texts_of(batch, 1)):
                 words_ = text.encode("utf-8", "surrogatepass").lower().split()
-                n_known, base, score = int(end[1]), end[0], end[2]
+                n_known, base, score = int(end[0] > 0), *end
                 for word, times in Counter(words_).items():
                     if (w := get(word)) is not None:
                         base += times * w[0]
-                        score += times * w[2]
-                        if w[1]:
+                        score += times * w[1]
+                        if w[0]:  # a word that was counted
                             n_known += times
                     else:
                         rare_row.append(row)
@@ -413,9 +420,12 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
                 m = len(rare_row[k : k + 100_000])
                 none = [pa.nulls(m, t) for t in kinds[2:]]
                 yield pa.RecordBatch.from_arrays([pa.array(rare_row[k : k + m], pa.int64()), pa.nulls(m, ids.type), pa.array([w.decode("utf-8", "replace") for w in rare_word[k : k + m]], pa.string()), pa.array(rare_times[k : k + m], pa.int32()), *none], names)
+            del out, rows, of, rare_row, rare_word, rare_times
+        give_back()
 
     split = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(parts, f"row bigint, id {kind}, word string, times int, n_tokens bigint, n_known bigint, base double, score double")
     split = materialize(split, "word_parts")
+    frequent.destroy()  # written, so no task asks for it again; workers would keep it as long as they live
     rare = split.filter("word is not null").select("row", "word", "times").join(words.filter(F.col("n") < often).select("word", "c", "marginal"), "word")
     times = F.col("times")
     rare = rare.groupBy("row").agg(

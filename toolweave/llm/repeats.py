@@ -40,11 +40,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from toolweave.llm.common import map_batches, materialize, texts_of
+from toolweave.llm.common import give_back, map_batches, materialize, texts_of
 
 LENGTH = 50
 WINDOW = 20
 GRAM = 4
+#: Parts of a range of the first sort, by key: suffixes with their words take more room than their keys.
+PARTS = 16
 #: Suffixes of a group that one task compares by words.
 LARGE = 64
 CHUNK_CHARS = 2_000_000
@@ -102,14 +104,14 @@ def anchors(h: np.ndarray, end: np.ndarray, length: int, window: int) -> tuple[n
     return at[first], starts[first], starts[np.append(first[1:], len(at)) - 1] if len(at) else starts
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Word lists of consecutive texts, about CHUNK_CHARS at a time, with the first text's number."""
+def word_lists(texts: list[str], characters: int = CHUNK_CHARS) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Word lists of consecutive texts, about so many characters at a time, with the first text's number."""
     part: list[list[bytes]] = []
     size = first = 0
     for i, t in enumerate(texts):
         part.append(t.encode("utf-8", "surrogatepass").lower().split())
         size += len(t)
-        if size >= CHUNK_CHARS:
+        if size >= characters:
             yield first, part
             part, size, first = [], 0, i + 1
     if part:
@@ -123,7 +125,7 @@ def sparse_suffixes(docs: DataFrame, length: int, window: int) -> DataFrame:
     def start():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, rows, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for first, words in _chunks(texts_of(batch, 1)):
+            for first, words in word_lists(texts_of(batch, 1)):
                 n = np.array([len(w) for w in words])
                 end = np.cumsum(n)
                 h = word_hashes([x for w in words for x in w])
@@ -195,10 +197,11 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def shared_rows(rows: DataFrame, name: str) -> DataFrame:
-    """The rows (key, id, pos) whose key occurs with another id too, with the ``range`` of the order by all three that holds them."""
+    """The rows (key, id, pos) whose key occurs with another id too, with the part of the ``range`` of the order by all three that holds them."""
     rows = materialize(rows, name)
     found = rows.repartitionByRange("key", "id", "pos").sortWithinPartitions("key", "id", "pos").mapInArrow(_compare_neighbours, "key bigint, id bigint, pos int, kind int")
-    found = materialize(found.withColumn("range", F.spark_partition_id()), name)
+    part = F.spark_partition_id() * PARTS + F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")
+    found = materialize(found.withColumn("range", part), name)
     cut = found.filter("kind = 2").groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
     open_ = found.filter("kind = 1").join(cut, "key", "left_semi")
     return found.filter("kind = 0").unionByName(open_).select("key", "id", "pos", "range")
@@ -411,6 +414,9 @@ def _extend_groups(batches: Iterator[pa.RecordBatch], tail: int, large: int) ->
         group.settle(at_end=True)
     if out:
         yield pa.RecordBatch.from_pylist(out, schema)
+    out.clear()
+    del group
+    give_back()
 
 
 def shared_runs(suffixes: DataFrame, tail: int, large: int = LARGE) -> DataFrame:

@@ -197,3 +197,23 @@ def test_media_by_another_reader(n):
     (track,) = media.read_media(media.wrap_payload(payload))
     head = f"vide;raw;8x8;{count / 25:.3f}s;{count};{len(keys)};"
     assert media.track_feature(track).startswith(head)
+
+
+def test_repetitive_texts_are_matched_in_ranges(monkeypatch):
+    """Runs that item and text share need no more memory than other texts, and ranges of any size give the same."""
+    tail = decontaminate.plain("the quick brown fox jumps over the lazy dog and runs far away from it all, said the old man in the end")
+    items = [(1, b"0 " * 100 + b"0"), (2, tail), (3, b"ab" * 60 + b" " + tail[:40])]
+    index = decontaminate.Index(items)
+    texts = [b"0 " * 600 + tail, tail[:70] + b" " + b"0 " * 40 + b"1 " + b"0 " * 30, b"ab" * 50 + b"ba" * 50 + b" " + tail[:50], b"", b"0 " * 20]
+    monkeypatch.setattr(decontaminate, "HITS", 1 << 40)
+    want = sorted(index.matches(texts))
+    assert {(d, k) for d, k, *_ in want} >= {(0, 0), (0, 1), (2, 2)}
+    sizes, hits = [], decontaminate.Index.hits
+    monkeypatch.setattr(decontaminate.Index, "hits", lambda self, at, lo, n: (sizes.append(int(n.sum())), hits(self, at, lo, n))[1])
+    for most in (1, 300, 20_000):
+        monkeypatch.setattr(decontaminate, "HITS", most)
+        assert sorted(index.matches(texts)) == want
+    sizes.clear()
+    ((_, _, n, _, _, edits),) = index.matches([b"0 " * 100_000])
+    # a range and what its last bands may have beyond it; of the rest of the run nothing is looked at
+    assert n == len(range(0, 201 - 64, 16)) + 1 and edits == 0 and max(sizes) < 40_000 and sum(sizes) < 200_000

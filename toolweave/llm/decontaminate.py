@@ -10,7 +10,9 @@ are kept, and each is verified by a banded alignment.
 
 Texts are compared as lower-cased UTF-8 in which runs of ASCII white space and
 punctuation are one space; "characters" are bytes of that form. Documents are
-scanned whole, many at a time in numpy. The benchmark is read in blocks of at
+scanned whole, many at a time in numpy; shared q-grams are gone through in ranges
+of positions, and an item whose segments all occur unchanged in a document takes
+part no more, so repetitive texts need no more memory than others. The benchmark is read in blocks of at
 most ``BLOCK_BYTES`` of text (a checked size), and every block scans all
 documents, so a large benchmark takes more passes and not more memory.
 
@@ -24,7 +26,7 @@ counts; repeated rows give repeated matches; empty tables give none.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ STRIDE = 16
 EDITS = 4
 BLOCK_BYTES = 4 << 20
 CHUNK_BYTES = 4 << 20
+#: Shared q-grams that are looked at together, about.
+HITS = 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FLAT = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -57,6 +61,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return (eight[:n] * _MIX) ^ ((eight[Q - 8 : Q - 8 + n] + np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0xD6E8FEB86659FD93))
 
 
+@lru_cache(maxsize=4096)  # repetitive texts ask for the same again and again
 def banded_distance(a: bytes, b: bytes, most: int, width: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best occurrence of ``a`` in ``b`` if within ``most`` edits.
 
@@ -128,19 +133,27 @@ class Index:
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self.gram >> np.uint64(64 - self.bits)] = True
 
-    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, item, item position) of every shared q-gram."""
+    def shared(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, first, number) of every q-gram that items have too, as a range of ``place``."""
         h = gram_hashes(data)
         at = np.flatnonzero(self.seen[h >> np.uint64(64 - self.bits)])
         h = h[at]
         lo = np.searchsorted(self.gram, h, "left")
         n = np.searchsorted(self.gram, h, "right") - lo
         keep = n > 0
-        at, lo, n = at[keep], lo[keep], n[keep]
+        return at[keep], lo[keep], n[keep]
+
+    def hits(self, at: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, item, item position) of every occurrence in an item of the shared q-grams."""
         pick = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
         place = self.place[pick]
         return np.repeat(at, n), place[:, 0], place[:, 1]
 
+    def open_grams(self, lo: np.ndarray, n: np.ndarray, done: np.ndarray) -> np.ndarray:
+        """Whether a q-gram occurs in an item that isn't ``done``."""
+        left = np.append(0, np.cumsum(~done[self.place[:, 0]]))
+        return left[lo + n] > left[lo]
+
     def candidates(self, pos: np.ndarray, item: np.ndarray, j: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """(doc, segment, diagonal) rows of bands that meet the segment's bound."""
         if not len(pos):
@@ -171,6 +184,36 @@ class Index:
         good = np.flatnonzero(count >= self.need[both[start, 1]])
         return np.stack([both[start[good], 0], both[start[good], 1], both[start[good], 2] * half + half], 1)  # the band's middle diagonal
 
+    def banded(self, data: np.ndarray, starts: np.ndarray, found: dict[tuple[int, int], dict[int, tuple[int, int, int]]]) -> Iterator[list[int]]:
+        """``candidates`` of the texts that begin at ``starts``, in ranges of positions of about HITS hits.
+
+        A band belongs to the range that holds the place where its segment would
+        begin; the q-grams that it can have beyond that are read too. ``found``
+        is what the caller made of the candidates so far.
+        """
+        at, lo, n = self.shared(data)
+        half, total, a = self.most + 1, np.cumsum(n), 0
+        low, last, text, done, keep = -1 << 62, 1 << 62, -1, np.zeros(0, bool), np.zeros(0, bool)
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(total, total[a] - n[a] + HITS, "right")))
+            high = int(at[b]) if b < len(at) else last
+            end = int(np.searchsorted(at, high + self.segment + 2 * half))
+            mine = np.arange(a, end)
+            d = int(np.searchsorted(starts, at[a], "right")) - 1
+            if a and at[end - 1] < starts[d + 1]:
+                # a long range of one text: leave out the items whose segments all occur unchanged
+                whole = [k for (e, k), of in found.items() if e == d and len(of) == self.first[k + 1] - self.first[k] and not any(x[0] for x in of.values())]
+                if d != text or len(whole) > done.sum():
+                    text, done = d, np.isin(np.arange(len(self.ids)), whole)
+                    keep = self.open_grams(lo, n, done)
+                mine = mine[keep[mine]]
+            pos, item, j = self.hits(at[mine], lo[mine], n[mine])
+            doc = np.searchsorted(starts, pos, "right") - 1
+            rows = self.candidates(pos - starts[doc], item, j, doc)
+            begin = starts[rows[:, 0]] + rows[:, 2] - half + self.seg[rows[:, 1], 1]
+            yield from rows[(begin >= low) & (begin < high)].tolist()
+            a, low = b, high
+
     def matches(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(text, item, segments found, start, end, fewest edits) per text and item."""
         if self.short:
@@ -179,11 +222,11 @@ class Index:
         for first, chunk in _chunks(texts):
             data = np.frombuffer(b"\0".join(chunk) + b"\0", np.uint8)
             starts = np.append(0, np.cumsum([len(t) + 1 for t in chunk]))
-            pos, item, j = self.hits(data)
-            doc = np.searchsorted(starts, pos, "right") - 1
             found: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = {}
-            for d, s, diagonal in self.candidates(pos - starts[doc], item, j, doc).tolist():
+            for d, s, diagonal in self.banded(data, starts, found):
                 k, at, n, most = self.segments[s]
+                if s in found.get((d, k), ()) and not found[d, k][s][0]:
+                    continue  # no later occurrence has fewer edits
                 part = self.texts[k][at : at + n]
                 # diagonals of the band lie within most + 1 of its middle; the start may drift by the edits
                 left = max(0, diagonal + at - 2 * self.most - 1)

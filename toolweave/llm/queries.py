@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from toolweave.llm.common import documents, fold
 from toolweave.llm.decontaminate import benchmark_matches
 from toolweave.llm.htmltext import extract_text, train_weights
+from toolweave.llm.jaccard import jaccard_components
 from toolweave.llm.langid import identify_language, train_language
 from toolweave.llm.lattice import score_documents
 from toolweave.llm.media import media_digest
 from toolweave.llm.packing import pack_documents
+from toolweave.llm.prefixtrie import conversation_trie
+from toolweave.llm.queries_sql import JACCARD_SQL, TRIE_SQL
 from toolweave.llm.repeats import repeated_passages
 from toolweave.llm.secrets import secret_digest
 from toolweave.llm.simhash import fingerprint_text, simhash_components
@@ -79,6 +82,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", F.col("accepted"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document row; null, empty and blank texts have an empty set and link with nothing, very long texts count whole, repeated rows alike; an empty table gives none."""
+    return jaccard_components(documents(spark, sf_dir), shingle=4, percent=85)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per node; null roles and texts are empty, null turns come first, rows without a conversation id are left out; an empty table has no node."""
+    return conversation_trie(documents(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -91,8 +104,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_secret_scan": op9_secret_scan,
         "op10_language_id": op10_language_id,
+        "op11_jaccard_join": op11_jaccard_join,
+        "op12_prefix_trie": op12_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_jaccard_join": JACCARD_SQL, "op12_prefix_trie": TRIE_SQL}

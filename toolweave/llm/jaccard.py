@@ -12,9 +12,7 @@ at most tau shingles. Over more than tau blocks of groups, at least one block
 is the same in both, so every set goes out with one key per block (the block's
 shingles), for the band of sizes it is in and those its larger partners are in.
 Sets that agree on a key are in one cell, and cells are closed under it, so
-every link lies within a cell. A block without shingles says nothing; where they
-are so many that the rest doesn't prove a link, the set takes part again with
-blocks dealt anew.
+every link lies within a cell. Large cells are parted by other blocks likewise.
 
 A cell's sets are joined in chunks: each with itself, each with the first, and,
 of what is not in the cell's main component by then, each with all. Only links
@@ -54,8 +52,11 @@ LEAF = 16
 EDGES = [1]
 while EDGES[-1] < 1 << 40:
     EDGES.append(max(EDGES[-1] + 1, EDGES[-1] * 3 // 2))
-#: How often a set with many empty blocks is dealt anew.
-DEALS = 16
+#: Shingles of a block that says enough, and how often a set with few such blocks is dealt anew.
+FULL = 2
+DEALS = 8
+#: How often a cell larger than a chunk is parted by other blocks.
+PARTINGS = 3
 _SPREAD = np.uint64(0xA0761D6478BD642F)
 _MIX = np.uint64(0xE7037ED1A0B428DB)
 _HALF = np.uint64(32)
@@ -78,27 +79,39 @@ def bands(n: int, percent: int) -> range:
     return range(bisect_right(EDGES, n) - 1, bisect_right(EDGES, 100 * n // percent))
 
 
-def block_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a sorted set: two linked, different sets have one in common."""
+def block_keys(hashes: np.ndarray, percent: int, deals: int = 0) -> np.ndarray:
+    """Keys of a sorted set: two linked, different sets have one in common. ``deals`` picks other blocks altogether.
+
+    Of the blocks with ``FULL`` shingles at least the largest go out, one more
+    than shingles can differ: the set whose smallest of these is larger has an
+    equal one among them that the other gives too. A set with fewer such blocks
+    gives them all and takes part in another deal, as its partners do then.
+    """
     keys = [np.zeros(0, np.uint64)]
     for band in bands(len(hashes), percent) if len(hashes) else ():
         most = 2 * (EDGES[band + 1] - 1) * (100 - percent) // (100 + percent)
         if not most:  # sets of this size link only if they are equal
             continue
-        blocks, h = most + 1 + most // 12, hashes
-        for deal in range(DEALS):
+        blocks = most + 1 + most // 2
+        for deal in range(deals * DEALS, (deals + 1) * DEALS):
+            h = hashes
             if deal:
                 h = (hashes ^ (hashes >> np.uint64(29)) ^ np.uint64(deal)) * _SPREAD
                 h = np.sort((h ^ (h >> _HALF)) * _MIX)
             at = ((h >> _HALF) * np.uint64(blocks)) >> _HALF
             first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            name = np.uint64((band * DEALS + deal) << 40) + at[first]
-            keys.append(_mixed(np.add.reduceat(_mixed(h), first) ^ _mixed(name)))
-            if len(first) > most:
+            size = np.diff(np.append(first, len(h)))
+            name = np.uint64((band << 16 | deal) << 40) + at[first]
+            found = _mixed(np.add.reduceat(_mixed(h), first) ^ _mixed(name))
+            full = np.flatnonzero(size >= FULL)
+            if len(full) > most:
+                order = np.lexsort((found[full], size[full]))
+                keys.append(found[full[order[len(full) - most - 1 :]]])
                 break
+            keys.append(found[full])
         else:
             empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), at[first], assume_unique=True)
-            keys.append(_mixed(_mixed(np.uint64((band * DEALS + DEALS - 1) << 40) + empty)))
+            keys += [found, _mixed(_mixed(np.uint64((band << 16 | deal) << 40) + empty))]
     return np.concatenate(keys)
 
 
@@ -156,18 +169,43 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def cells(prints: DataFrame) -> DataFrame:
-    """(node, cell) of the sets that share keys with others; ``prints`` has a unique ``row``.
+def cells(keyed: DataFrame) -> DataFrame:
+    """(row, cell) of the rows that share a key of ``keyed`` (key, row) with others.
 
     Keys are dealt by range together with their rows, so that a frequent one is
     parted; its parts meet by the first rows that they have seen.
     """
-    keyed = prints.select(F.explode("keys").alias("key"), "row")
     found = materialize(keyed.repartitionByRange("key", "row").sortWithinPartitions("key", "row").mapInArrow(_chained, "key bigint, a bigint, b bigint"), "chained")
     marks = found.filter("b is null").select("key", F.col("a").alias("b"))
     heads = marks.groupBy("key").agg(F.min("b").alias("a"))
     links = found.filter("b is not null").select("a", "b").unionAll(marks.join(heads, "key").filter("a <> b").select("a", "b"))
-    return connected_components(links.distinct())
+    return connected_components(links.distinct()).select(F.col("node").alias("row"), F.col("root").alias("cell"))
+
+
+def parted(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``members`` (row, cell, n) in smaller cells: those of more than a chunk by keys of other blocks, as long as that parts them."""
+    before = None
+    for deals in range(1, PARTINGS + 1):
+        large = members.groupBy("cell").count().filter(F.col("count") > CHUNK)
+        size = large.agg(F.sum("count")).first()[0]
+        if not size or before and size > 0.9 * before:
+            break
+        before = size
+
+        def start(deals: int = deals):
+            def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+                keys = [block_keys(np.frombuffer(s, "<u8"), percent, deals).view(np.int64) for s in batch.column(2).to_pylist()]
+                ends = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
+                return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], ["row", "cell", "keys"])
+
+            return work
+
+        rows = members.join(large.select("cell"), "cell").join(sets, "row").select("row", "cell", "shingles")
+        keyed = map_batches(rows, start, "row bigint, cell bigint, keys array<bigint>").select(F.explode("keys").alias("key"), "row", "cell").select(F.xxhash64("cell", "key").alias("key"), "row")
+        parts = cells(keyed).withColumnRenamed("cell", "part")
+        kept = members.join(large.select("cell"), "cell", "left_anti")
+        members = materialize(kept.unionByName(members.join(large.select("cell"), "cell").join(parts, "row").select("row", F.col("part").alias("cell"), "n")), "members")
+    return members
 
 
 class CountTree:
@@ -252,12 +290,12 @@ def linked(sets: list[np.ndarray], parts: list[int], known: list, percent: int)
 
 
 def _join_tasks(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of rows (task, part, node, known, shingles) sorted by task: links (a, b)."""
+    """Of rows (task, part, row, known, shingles) sorted by task: links (a, b)."""
 
     def work(rows: list[tuple]) -> pa.RecordBatch:
-        task, part, node, known, sets = zip(*rows, strict=True)
+        task, part, name, known, sets = zip(*rows, strict=True)
         pairs = linked([np.frombuffer(s, "<u8") for s in sets], list(part), list(known), percent)
-        return pa.RecordBatch.from_arrays([pa.array([node[p[k]] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([name[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -277,10 +315,10 @@ def _join_tasks(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def _links(tasks: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """Links found by ``tasks`` (task, part, node, known)."""
-    rows = tasks.join(sets, "node").select("task", "part", "node", "known", "shingles")
+    """Links found by ``tasks`` (task, part, row, known)."""
+    rows = tasks.join(sets, "row").select("task", "part", "row", "known", "shingles")
     rows = rows.repartition("task").sortWithinPartitions("task")
-    return materialize(rows.mapInArrow(_join_tasks(percent), "a binary, b binary"), name)
+    return materialize(rows.mapInArrow(_join_tasks(percent), "a bigint, b bigint"), name)
 
 
 def _placed(members: DataFrame, order: list[str]) -> DataFrame:
@@ -291,31 +329,31 @@ def _placed(members: DataFrame, order: list[str]) -> DataFrame:
 
 
 def similar_sets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect all linked sets of ``members`` (node, cell, n); ``sets`` has their (node, shingles)."""
-    placed = materialize(_placed(members, ["n", "node"]), "chunks")
+    """Links (a, b) that connect all linked sets of ``members`` (row, cell, n); ``sets`` has their (row, shingles)."""
+    placed = materialize(_placed(members, ["n", "row"]), "chunks")
     task = lambda *cols: F.concat_ws(":", *cols)
-    own = placed.select(task("cell", "chunk").alias("task"), F.lit(0).alias("part"), "node", F.base64("node").alias("known"))
+    own = placed.select(task("cell", "chunk").alias("task"), F.lit(0).alias("part"), "row", F.col("row").alias("known"))
     links = _links(own, sets, percent, "links")
     several = placed.groupBy("cell").agg(F.max("chunk").alias("last")).filter("last > 0")
     if several.isEmpty():
         return links
 
     def known(rows: DataFrame) -> DataFrame:
-        roots = connected_components(links)
-        return materialize(rows.join(roots, "node", "left").withColumn("known", F.base64(F.coalesce("root", "node"))).drop("root"), "known")
+        roots = connected_components(links).withColumnRenamed("node", "row")
+        return materialize(rows.join(roots, "row", "left").withColumn("known", F.coalesce("root", "row")).drop("root"), "known")
 
     # each chunk with the first
     large = known(placed.join(several, "cell"))
-    heads = large.filter("chunk = 0").withColumn("with", F.explode(F.sequence(F.lit(1), "last"))).select(task("cell", "with").alias("task"), F.lit(0).alias("part"), "node", "known")
-    rest = large.filter("chunk > 0").select(task("cell", "chunk").alias("task"), F.lit(1).alias("part"), "node", "known")
+    heads = large.filter("chunk = 0").withColumn("with", F.explode(F.sequence(F.lit(1), "last"))).select(task("cell", "with").alias("task"), F.lit(0).alias("part"), "row", "known")
+    rest = large.filter("chunk > 0").select(task("cell", "chunk").alias("task"), F.lit(1).alias("part"), "row", "known")
     links = links.unionAll(_links(heads.unionAll(rest), sets, percent, "links"))
     # what is not in the main component, in chunks of its own, with each chunk whose sizes can match
     large = known(large.drop("known"))
     main = large.groupBy("cell", "known").count().groupBy("cell").agg(F.max_by("known", F.struct("count", "known")).alias("main"))
-    odd = materialize(_placed(large.join(main, "cell").filter("known <> main").select("node", "cell", "n", "known"), ["n", "node"]), "odd")
+    odd = materialize(_placed(large.join(main, "cell").filter("known <> main").select("row", "cell", "n", "known"), ["n", "row"]), "odd")
     spans = lambda rows, name: rows.groupBy("cell", F.col("chunk").alias(name)).agg(F.min("n").alias(f"{name}_low"), F.max("n").alias(f"{name}_high"))
     pairs = spans(odd, "x").join(spans(large, "y"), "cell").filter(f"100 * x_high >= {percent} * y_low and 100 * y_high >= {percent} * x_low").select("cell", "x", "y")
-    side = lambda rows, name, part: rows.withColumnRenamed("chunk", name).join(pairs, ["cell", name]).select(task("cell", "x", "y").alias("task"), F.lit(part).alias("part"), "node", "known")
+    side = lambda rows, name, part: rows.withColumnRenamed("chunk", name).join(pairs, ["cell", name]).select(task("cell", "x", "y").alias("task"), F.lit(part).alias("part"), "row", "known")
     return links.unionAll(_links(side(odd, "x", 0).unionAll(side(large, "y", 1)), sets, percent, "links"))
 
 
@@ -323,29 +361,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id_col, n_shingles, component_id) per row of ``docs``."""
     prints = materialize(set_prints(docs, id_col, text_col, shingle, percent).withColumn("row", F.monotonically_increasing_id()), "prints")
     small = prints.drop("keys")
-    celled = cells(prints).withColumnRenamed("node", "row").withColumnRenamed("root", "cell")
+    celled = cells(prints.select(F.explode("keys").alias("key"), "row"))
     # equal sets of several tasks are one member; one of their rows stands for its text
-    members = materialize(small.join(celled, "row").groupBy("node").agg(F.min("cell").alias("cell"), F.any_value("n").alias("n"), F.min(F.struct("id", "row_key")).alias("at")), "members")
+    members = materialize(small.join(celled, "row").groupBy("node").agg(F.min_by(F.struct("row", "cell", "n", "id", "row_key"), "row").alias("at")).select("node", "at.*"), "members")
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), row_key(text_col).alias("row_key"), F.col(text_col).alias("text"))
-    wanted = members.select("node", "cell", F.col("at.id").alias("wanted_id"), F.col("at.row_key").alias("wanted_key"))
-    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("row_key") == F.col("wanted_key"))).select("node", "text")
+    wanted = members.select("row", F.col("id").alias("wanted_id"), F.col("row_key").alias("wanted_key"))
+    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("row_key") == F.col("wanted_key"))).select("row", "text")
 
     def start():
-        seen: set[bytes] = set()
+        seen: set[int] = set()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            new = [k for k, node in enumerate(batch.column(0).to_pylist()) if not (node in seen or seen.add(node))]
+            new = [k for k, row in enumerate(batch.column(0).to_pylist()) if not (row in seen or seen.add(row))]
             batch = batch.take(pa.array(new, pa.int64()))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(texts_of(batch, 1), shingle)], pa.binary())], ["node", "shingles"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(texts_of(batch, 1), shingle)], pa.binary())], ["row", "shingles"])
 
         return work
 
-    sets = materialize(map_batches(texts, start, "node binary, shingles binary").dropDuplicates(["node"]), "sets")
-    roots = connected_components(similar_sets(members.select("node", "cell", "n"), sets, percent))
-    nodes = small.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
-    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sets = materialize(map_batches(texts, start, "row bigint, shingles binary").dropDuplicates(["row"]), "sets")
+    links = similar_sets(parted(members.select("row", "cell", "n"), sets, percent), sets, percent)
+    roots = connected_components(links).withColumnRenamed("node", "row").join(members.select("row", "node"), "row").drop("row")
+    nodes = small.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("row").alias("row"))
+    # a set without links is its own root, under a number that no root has
+    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", -1 - F.col("row")))
     least = placed.groupBy("root").agg(F.min("least").alias("component"))
     placed = materialize(placed.join(least, "root").select("node", "component"), "components")
-    out = small.join(placed, "node", "left").select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
-    return out
+    return small.join(placed, "node", "left").select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))

@@ -63,9 +63,9 @@ def copies(seed, sizes, crowd):
 ODD = [(None, "no id but six words here"), (5, None), (6, ""), (7, " \n\t"), (8, "a b"), (9, "A B"), (10, "a b"), (3, "no id but six words here"), (3, "no id but six words here"), (11, "ÀÉ été 日本語 😀 x"), (12, "x" * 200_000), (13, "lorem ipsum dolor " * 30_000)]
 
 
-@pytest.mark.parametrize("chunk", [512, 5])
+@pytest.mark.parametrize("chunk", [1 << 20, 1500])
 def test_components_equal_all_pairs(spark, monkeypatch, chunk):
-    """Chunks of five make cells of several chunks, and members outside the main component."""
+    """Chunks of about six sets make cells of several chunks, and members outside the main component."""
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
     rows = copies(3, [5, 8, 14, 14, 17, 25, 25, 60, 60, 150, 400], [2, 6, 30]) + ODD
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)

@@ -39,13 +39,14 @@ from pyspark.sql import functions as F
 from toolweave.llm.common import give_back, map_batches, materialize, texts_of
 from toolweave.llm.components import connected_components
 from toolweave.llm.neardup import row_key
+from toolweave.llm.prefixtrie import running
 from toolweave.llm.repeats import run_hashes, word_hashes, word_lists
-from toolweave.operators.order import dense_index
 
 SHINGLE = 4
 PERCENT = 85
-#: Sets of a cell that meet in one task.
-CHUNK = 512
+#: A chunk holds sets of a cell with about so many shingles in all, each counted as LEAST of them at least.
+CHUNK = 1 << 20
+LEAST = 256
 #: Points of a leaf.
 LEAF = 16
 #: Bands of sizes grow by a half.
@@ -182,12 +183,17 @@ def cells(keyed: DataFrame) -> DataFrame:
     return connected_components(links.distinct()).select(F.col("node").alias("row"), F.col("root").alias("cell"))
 
 
+def large_cells(members: DataFrame) -> DataFrame:
+    """(cell, size) of the cells that are more than a chunk."""
+    return members.groupBy("cell").agg(F.sum(F.greatest("n", F.lit(LEAST))).alias("size")).filter(F.col("size") > CHUNK)
+
+
 def parted(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``members`` (row, cell, n) in smaller cells: those of more than a chunk by keys of other blocks, as long as that parts them."""
+    """``members`` (row, cell, n) of large cells, in smaller cells: by keys of other blocks, as long as that parts them."""
     before = None
     for deals in range(1, PARTINGS + 1):
-        large = members.groupBy("cell").count().filter(F.col("count") > CHUNK)
-        size = large.agg(F.sum("count")).first()[0]
+        large = large_cells(members)
+        size = large.agg(F.sum("size")).first()[0]
         if not size or before and size > 0.9 * before:
             break
         before = size
@@ -293,7 +299,8 @@ def _join_tasks(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """Of rows (task, part, row, known, shingles) sorted by task: links (a, b)."""
 
     def work(rows: list[tuple]) -> pa.RecordBatch:
-        task, part, name, known, sets = zip(*rows, strict=True)
+        # a text that repeats may have been hashed by several tasks
+        task, part, name, known, sets = zip(*{row[1:3]: row for row in rows}.values(), strict=True)
         pairs = linked([np.frombuffer(s, "<u8") for s in sets], list(part), list(known), percent)
         return pa.RecordBatch.from_arrays([pa.array([name[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -321,36 +328,44 @@ def _links(tasks: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFr
     return materialize(rows.mapInArrow(_join_tasks(percent), "a bigint, b bigint"), name)
 
 
-def _placed(members: DataFrame, order: list[str]) -> DataFrame:
-    """``members`` with their chunk within their cell, in the order of ``order``."""
-    at = materialize(dense_index(members, ["cell", *order], "at"), "places")
-    first = at.groupBy("cell").agg(F.min("at").alias("first"))
-    return at.join(first, "cell").withColumn("chunk", F.floor((F.col("at") - F.col("first")) / CHUNK)).drop("at", "first")
+def _placed(members: DataFrame) -> DataFrame:
+    """``members`` with their chunk within their cell, in the order of their sizes."""
+    rows = members.withColumn("weight", F.greatest("n", F.lit(LEAST)))
+    at = running(rows, ["cell", "n", "row"], {"before": "weight"}, members.columns, "places")
+    first = at.groupBy("cell").agg(F.min("before").alias("first"))
+    return at.join(first, "cell").withColumn("chunk", F.floor((F.col("before") - F.col("first")) / CHUNK)).drop("before", "first")
 
 
 def similar_sets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect all linked sets of ``members`` (row, cell, n); ``sets`` has their (row, shingles)."""
-    placed = materialize(_placed(members, ["n", "row"]), "chunks")
     task = lambda *cols: F.concat_ws(":", *cols)
-    own = placed.select(task("cell", "chunk").alias("task"), F.lit(0).alias("part"), "row", F.col("row").alias("known"))
-    links = _links(own, sets, percent, "links")
+    own = lambda rows: rows.select(task("cell", "chunk").alias("task"), F.lit(0).alias("part"), "row", F.col("row").alias("known"))
+    large = materialize(members.join(large_cells(members).select("cell"), "cell"), "large")
+    links = _links(own(members.join(large.select("row"), "row", "left_anti").withColumn("chunk", F.lit(0))), sets, percent, "links")
+    if large.isEmpty():
+        return links
+    sets = materialize(sets.join(large.select("row"), "row", "left_semi"), "sets")
+    placed = materialize(_placed(parted(large, sets, percent)), "chunks")
+    inside = _links(own(placed), sets, percent, "links")
+    links = links.unionAll(inside)
     several = placed.groupBy("cell").agg(F.max("chunk").alias("last")).filter("last > 0")
     if several.isEmpty():
         return links
 
     def known(rows: DataFrame) -> DataFrame:
-        roots = connected_components(links).withColumnRenamed("node", "row")
+        roots = connected_components(inside).withColumnRenamed("node", "row")
         return materialize(rows.join(roots, "row", "left").withColumn("known", F.coalesce("root", "row")).drop("root"), "known")
 
     # each chunk with the first
     large = known(placed.join(several, "cell"))
     heads = large.filter("chunk = 0").withColumn("with", F.explode(F.sequence(F.lit(1), "last"))).select(task("cell", "with").alias("task"), F.lit(0).alias("part"), "row", "known")
     rest = large.filter("chunk > 0").select(task("cell", "chunk").alias("task"), F.lit(1).alias("part"), "row", "known")
-    links = links.unionAll(_links(heads.unionAll(rest), sets, percent, "links"))
+    first = _links(heads.unionAll(rest), sets, percent, "links")
+    inside, links = inside.unionAll(first), links.unionAll(first)
     # what is not in the main component, in chunks of its own, with each chunk whose sizes can match
     large = known(large.drop("known"))
     main = large.groupBy("cell", "known").count().groupBy("cell").agg(F.max_by("known", F.struct("count", "known")).alias("main"))
-    odd = materialize(_placed(large.join(main, "cell").filter("known <> main").select("row", "cell", "n", "known"), ["n", "row"]), "odd")
+    odd = materialize(_placed(large.join(main, "cell").filter("known <> main").select("row", "cell", "n", "known")), "odd")
     spans = lambda rows, name: rows.groupBy("cell", F.col("chunk").alias(name)).agg(F.min("n").alias(f"{name}_low"), F.max("n").alias(f"{name}_high"))
     pairs = spans(odd, "x").join(spans(large, "y"), "cell").filter(f"100 * x_high >= {percent} * y_low and 100 * y_high >= {percent} * x_low").select("cell", "x", "y")
     side = lambda rows, name, part: rows.withColumnRenamed("chunk", name).join(pairs, ["cell", name]).select(task("cell", "x", "y").alias("task"), F.lit(part).alias("part"), "row", "known")
@@ -367,7 +382,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), row_key(text_col).alias("row_key"), F.col(text_col).alias("text"))
     wanted = members.select("row", F.col("id").alias("wanted_id"), F.col("row_key").alias("wanted_key"))
-    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("row_key") == F.col("wanted_key"))).select("row", "text")
+    # dealt anew at any size: whether the other side could be sent to all executors depends on the input
+    texts = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("row_key") == F.col("wanted_key"))).select("row", "text")
 
     def start():
         seen: set[int] = set()
@@ -379,8 +395,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         return work
 
-    sets = materialize(map_batches(texts, start, "row bigint, shingles binary").dropDuplicates(["row"]), "sets")
-    links = similar_sets(parted(members.select("row", "cell", "n"), sets, percent), sets, percent)
+    sets = materialize(map_batches(texts, start, "row bigint, shingles binary"), "sets")
+    links = similar_sets(members.select("row", "cell", "n"), sets, percent)
     roots = connected_components(links).withColumnRenamed("node", "row").join(members.select("row", "node"), "row").drop("row")
     nodes = small.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("row").alias("row"))
     # a set without links is its own root, under a number that no root has

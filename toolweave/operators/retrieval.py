@@ -63,15 +63,15 @@ def token_counts(corpus: DataFrame, tokens: Column) -> tuple[DataFrame, float, f
     return counts.filter("token is not null").select("token", F.col("df").cast("double").alias("df")), float(n), length / n if n else 0.0
 
 
-def _bm25_weight(tf: Column, length: Column, mean_length: Column) -> Column:
+def bm25_weight(tf: Column, length: Column, mean_length: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
 
 
-def _idf(docs: Column, df: Column) -> Column:
+def idf_of(docs: Column, df: Column) -> Column:
     return F.log(docs - df + 0.5) - F.log(df + 0.5)
 
 
-def _floored(raw: Column, mean: Column) -> Column:
+def floored(raw: Column, mean: Column) -> Column:
     """Negative idf becomes a share of the mean idf."""
     return F.when(raw < 0, EPSILON * mean).otherwise(raw)
 
@@ -88,14 +88,14 @@ def bm25(queries: DataFrame, corpus: DataFrame, group: list[str] | None = None,
     if group:
         return _grouped_bm25(asked, corpus, group, tokens)
     counts, docs, mean_length = token_counts(corpus, tokens)
-    weights = counts.select("token", _idf(F.lit(docs), F.col("df")).alias("raw"))
+    weights = counts.select("token", idf_of(F.lit(docs), F.col("df")).alias("raw"))
     mean = weights.agg(F.avg("raw")).first()[0] or 0.0
-    weights = weights.select("token", _floored(F.col("raw"), F.lit(mean)).alias("idf"))
+    weights = weights.select("token", floored(F.col("raw"), F.lit(mean)).alias("idf"))
     wanted = small(asked.join(weights, "token"))
     terms = corpus.select("docid", tokens.alias("t")).select("docid", F.size("t").cast("double").alias("length"), F.explode("t").alias("token"))
     # one row per document, query and term; equal rows combine before the shuffle
     found = terms.join(wanted, "token").groupBy("docid", "qid", "token").agg(F.count("*").cast("double").alias("tf"), F.first("length").alias("length"), F.first("n").alias("n"), F.first("idf").alias("idf"))
-    part = F.col("n") * F.col("idf") * _bm25_weight(F.col("tf"), F.col("length"), F.lit(mean_length))
+    part = F.col("n") * F.col("idf") * bm25_weight(F.col("tf"), F.col("length"), F.lit(mean_length))
     return found.groupBy("qid", "docid").agg(F.round(F.sum(part), 2).alias("score"))
 
 
@@ -106,10 +106,10 @@ def _grouped_bm25(asked: DataFrame, corpus: DataFrame, group: list[str], tokens:
     terms = split.select(*group, "docid", F.size("t").cast("double").alias("length"), F.explode("t").alias("token"))
     terms = terms.groupBy(*group, "docid", "length", "token").agg(F.count("*").cast("double").alias("tf"))
     key = [*group, "token"]
-    weights = terms.groupBy(*key).agg(F.count("*").cast("double").alias("df")).join(sizes, group).withColumn("raw", _idf(F.col("docs"), F.col("df")))
+    weights = terms.groupBy(*key).agg(F.count("*").cast("double").alias("df")).join(sizes, group).withColumn("raw", idf_of(F.col("docs"), F.col("df")))
     # a mean per group that combines before its shuffle, so that a group of any size is not gathered
-    weights = weights.join(weights.groupBy(*group).agg(F.avg("raw").alias("mean")), group).withColumn("idf", _floored(F.col("raw"), F.col("mean")))
-    part = F.col("n") * F.col("idf") * _bm25_weight(F.col("tf"), F.col("length"), F.col("mean_length"))
+    weights = weights.join(weights.groupBy(*group).agg(F.avg("raw").alias("mean")), group).withColumn("idf", floored(F.col("raw"), F.col("mean")))
+    part = F.col("n") * F.col("idf") * bm25_weight(F.col("tf"), F.col("length"), F.col("mean_length"))
     scored = asked.join(terms, key).join(weights.select(*key, "idf", "mean_length"), key)
     return scored.groupBy(*group, "qid", "docid").agg(F.round(F.sum(part), 2).alias("score"))
 

@@ -72,6 +72,7 @@ def oracle_sql() -> dict[str, str]:
     std_text = STD.format("text")
     return {
         "bm25_topk": f"WITH {SEARCH}{BM25} {_top('b_hits', 50)}",
+        "index_topk": f"WITH {SEARCH}{BM25} {_top('b_hits', 50)}",
         "tfidf_topk": f"WITH {SEARCH}{TFIDF} {_top('t_hits', 50)}",
         "hybrid_fusion": f"""WITH {SEARCH}{BM25}, {TFIDF},
 p AS (SELECT qid, docid, (SELECT count(*) FROM c) - row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS points FROM b_hits

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from toolweave.functions.calls import parse_calls
 from toolweave.functions.text import argument_difference, python_literals
-from toolweave.operators import catalog, grouping, responses, retrieval
+from toolweave.operators import catalog, grouping, maxsim, responses, retrieval
 from toolweave.operators.order import top_k
 from toolweave.operators.prompts import without_thoughts
+from toolweave.sources.shared import scratch
 
 # Sizes of the extension step.
 TOP_K, CANDIDATES, TARGETS = 50, 60, [10, 20, 30, 40, 50]
@@ -38,7 +39,7 @@ def build_qrels(answers: DataFrame, corpus: DataFrame, exact: bool = False, all_
 def retrieve(kind: str, queries: DataFrame, corpus: DataFrame, k: int = TOP_K) -> DataFrame:
     """Ranked hits by one of the retrievers over (qid, text, embedding) and (docid, text, embedding).
 
-    ``colbert`` also takes ``vectors`` on both sides and ranks the dense hits by late interaction.
+    ``colbert`` takes (qid, vectors) and (docid, vectors) and ranks the whole corpus by late interaction.
     """
     lexical = {"bm25": retrieval.bm25, "TF-IDF": retrieval.tf_idf}
     if kind in lexical:
@@ -51,9 +52,8 @@ def retrieve(kind: str, queries: DataFrame, corpus: DataFrame, k: int = TOP_K) -
     if kind == "reranker":
         return retrieval.rerank(retrieval.dense_top_k(queries, corpus, k), -F.col("distance"))
     if kind == "colbert":
-        hits = retrieval.dense_top_k(queries, corpus, k).select(F.col("qid").alias("list"), "docid")
-        asked = queries.select(F.col("qid").alias("list"), "qid", "vectors")
-        return top_k(retrieval.late_interaction(asked, hits.join(corpus.select("docid", "vectors"), "docid"), "list"), k)
+        kept = maxsim.build(corpus.select("docid", "vectors"), scratch(corpus.sparkSession, "maxsim"))
+        return maxsim.search(kept, queries.select("qid", "vectors"), k, others_only=True)
     raise ValueError(f"no such retriever: {kind}")
 
 

@@ -246,11 +246,11 @@ def key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense hits ranked by the best products of parts of the vectors."""
+    """The whole corpus ranked by the best products of parts of the vectors."""
     part = F.array(*[F.slice("embedding", 1 + 16 * k, 16) for k in range(4)])
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("docid"), "embedding", part.cast("array<array<double>>").alias("vectors"))
     asked = vectors.filter("docid % 20 = 0").withColumnRenamed("docid", "qid")
-    return extend.retrieve("colbert", asked, vectors, 20).select("qid", "docid", "score", "rank")
+    return extend.retrieve("colbert", asked, vectors, 50).select("qid", "docid", "score", "rank")
 
 
 def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:

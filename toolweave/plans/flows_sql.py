@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from toolweave.plans.oracle import DENSE, SEARCH, BM25, TAXONOMY_VALUES, oracle_sql as bound_sql
+from toolweave.plans.oracle import SEARCH, BM25, TAXONOMY_VALUES, oracle_sql as bound_sql
 
 CLEAN = "replace(replace(replace({0}, '=true', '=True'), '=false', '=False'), 'null', 'None')"
 EVERY = """['special_incomplete', 'special_error_param', 'special_irrelevant', 'normal_single_turn_single_function', 'normal_single_turn_parallel_function',
@@ -84,11 +84,11 @@ k AS (SELECT t.*, CASE WHEN value > 200 THEN 'so finish conversation now' ELSE p
 SELECT user_id AS "case", arg_max(recipient, step) AS actor, count(*) AS steps, coalesce(string_agg(message, '|' ORDER BY step) FILTER (recipient = 'execution'), '') AS milestones FROM k GROUP BY 1""",
         "final_states": """SELECT user_id AS "case", event_type AS class, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 0 END AS n, CASE WHEN event_type IN ('click', 'view') THEN arg_max(props, (ts, event_id)) END AS props FROM events GROUP BY 1, 2""",
         "key_counts": """SELECT user_id, func, count(*) AS n FROM (SELECT user_id, event_type AS func FROM events UNION ALL SELECT user_id, (['click', 'error', 'purchase', 'signup', 'view'])[(event_id % 5 + 1)::INT] FROM events) GROUP BY 1, 2""",
-        "late_interaction": f"""WITH {DENSE}, h AS (SELECT qid, docid FROM dt WHERE rank <= 20),
-v AS (SELECT h.qid, h.docid, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM h JOIN embeddings a ON a.vec_id = qid JOIN embeddings b ON b.vec_id = docid),
+        "late_interaction": """WITH v AS (SELECT q.vec_id AS qid, e.vec_id AS docid, q.embedding::DOUBLE[] AS a, e.embedding::DOUBLE[] AS b FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id),
 p AS (SELECT qid, docid, i, max(list_dot_product(a[1 + 16 * i : 16 + 16 * i], b[1 + 16 * j : 16 + 16 * j])) AS best FROM v, range(4) t(i), range(4) u(j) GROUP BY 1, 2, 3),
-s AS (SELECT qid, docid, round(sum(best), 6) AS score FROM p GROUP BY 1, 2)
-SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid)::INT AS rank FROM s""",
+s AS (SELECT qid, docid, round(sum(best), 6) AS score FROM p GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid)::INT AS rank FROM s)
+SELECT * FROM r WHERE rank <= 50""",
         "embedding_cache": """WITH t AS (SELECT DISTINCT text FROM conversations), c AS (SELECT DISTINCT text FROM conversations WHERE turn = 0)
 SELECT md5(t.text) AS text_md5, CASE WHEN c.text IS NOT NULL OR length(t.text) % 5 <> 0 THEN length(t.text)::DOUBLE ELSE 0e0 END AS first, CASE WHEN c.text IS NULL AND length(t.text) % 5 <> 0 THEN 1e0 ELSE 0e0 END AS second FROM t LEFT JOIN c ON c.text = t.text""",
         "extend_cases": """WITH f AS (SELECT l_orderkey AS qid, l_partkey AS item, min(l_linenumber) AS at_line FROM lineitem GROUP BY 1, 2),

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from toolweave.sources.splits import cut_records, json_pieces, quoted_pieces
+
 ROW_COLUMNS = "file string, ordinal bigint, value string"
 
 
@@ -64,23 +66,37 @@ def read_existing_json_lines(spark: SparkSession, paths: list[str], fields: dict
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a file that is one JSON array, with their ordinal in it."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return files.select("file", F.posexplode(F.from_json("value", f"array<struct<{schema}>>")).alias("ordinal", "row")).select("file", F.col("ordinal").cast("long").alias("ordinal"), "row.*")
+    """Rows of files that are one JSON array each, with their ordinal in it; a file of one line is read by many tasks.
+
+    An element that is no object is a row of nulls; a file that is one object is one row.
+    """
+    rows = cut_records(json_pieces(spark, path), ",", arrays=True)
+    text = F.when(F.col("record") == 0, F.regexp_replace("value", r"^[\s\x{FEFF}]*\[", "")).otherwise(F.col("value"))
+    rows = rows.withColumn("value", text).withColumn("value", F.when(F.col("last"), F.regexp_replace("value", r"\]\s*$", "")).otherwise(F.col("value")))
+    rows = rows.filter(~((F.col("record") == 0) & F.col("last") & (F.trim("value") == "")))
+    return rows.select("file", F.col("record").alias("ordinal"), F.from_json("value", f"struct<{schema}>").alias("row")).select("file", "ordinal", "row.*")
+
+
+def _quoted_rows(spark: SparkSession, path: str, schema: str, header: bool) -> DataFrame:
+    """(file, record, columns of ``schema``) of tab-separated files with quoting, line feeds in fields included, read in splits."""
+    rows = cut_records(quoted_pieces(spark, path), "\n", arrays=False).withColumn("value", F.regexp_replace("value", r"\r$", ""))
+    rows = rows.filter((F.col("value") != "") & (F.col("record") > 0 if header else F.lit(True)))
+    return rows.select("file", "record", F.from_csv("value", schema, {"sep": "\t", "quote": '"', "escape": '"'}).alias("row")).select("file", "record", "row.*")
 
 
 def read_corpus(spark: SparkSession, path: str, last_wins: bool = False) -> DataFrame:
     """(docid, document_content) from a tab-separated table with header and quoting."""
-    rows = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True, schema="docid int, document_content string")
+    rows = _quoted_rows(spark, path, "docid int, document_content string", header=True)
     if not last_wins:
-        return rows
-    at = F.monotonically_increasing_id()  # only compared within this one reading of the file
-    return rows.withColumn("at", at).groupBy("docid").agg(F.max_by("document_content", "at").alias("document_content"))
+        return rows.select("docid", "document_content")
+    return rows.groupBy("docid").agg(F.max_by("document_content", F.struct("file", "record")).alias("document_content"))
 
 
 def read_queries(spark: SparkSession, path: str, quoted: bool = True) -> DataFrame:
     """(qid, query) from a tab-separated table without header; ``quoted`` reads what the writer quotes."""
-    return spark.read.csv(path, sep="\t", quote='"' if quoted else "", escape='"', multiLine=quoted, schema="qid int, query string")
+    if quoted:
+        return _quoted_rows(spark, path, "qid int, query string", header=False).select("qid", "query")
+    return spark.read.csv(path, sep="\t", quote="", escape='"', schema="qid int, query string")
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from toolweave.functions import calls, text
 from toolweave.functions.checker import check_calls
 from toolweave.operators import catalog as cat
-from toolweave.operators import metrics, prompts, requests, responses, retrieval, traces, training
+from toolweave.operators import containment, metrics, prompts, requests, responses, retrieval, traces, training
 from toolweave.operators.order import dense_index, seeded_shuffle, top_k
 from toolweave.plans import commands, evaluate, extend
 from toolweave.plans.queries import EVENT_TYPES, _call_text, _search_tables, _whole, ndcg_cosine, table
@@ -69,6 +70,23 @@ def json_array_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_json_array(spark, f"{path}/part-*", "n_nationkey int, n_name string").select("ordinal", "n_nationkey", "n_name")
 
 
+def json_array_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as files that are a JSON array each, over many lines, with commas, quotes and brackets in texts; read in splits."""
+    row = F.struct("event_id", F.concat(F.col("event_type"), F.lit(' ["'), F.col("user_id"), F.lit('", {\\]')).alias("label"), "value", "props")
+    lines = table(spark, sf_dir, "events").select(F.to_json(row).alias("value"))
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([(before if k == 0 else ",") + v for k, v in enumerate(values)], pa.string())], ["value"])
+            before = "," if values else before
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], ["value"])
+
+    lines.mapInArrow(bracketed, "value string").write.text(path := scratch(spark, "arrays"))
+    return readers.read_json_array(spark, f"{path}/part-*", "event_id long, label string, value double, props string").select("event_id", "label", "value", "props")
+
+
 def directory_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as queries in a folder per region and parity."""
     root = scratch(spark, "subsets")
@@ -86,7 +104,7 @@ def score_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark, "scores")
     rows = table(spark, sf_dir, "events").withColumn("valid", F.col("value") > 50)
     for model in range(2):
-        for category in EVENT_TYPES[:3]:
+        for category in EVENT_TYPES:
             one = rows.filter((F.col("user_id") % 2 == model) & (F.col("event_type") == category))
             summary = one.agg(F.round(F.avg(F.col("valid").cast("int")), 5).alias("accuracy"), F.count("*").alias("total_count")).select(F.lit(0).alias("at"), F.to_json(F.struct("accuracy", "total_count")).alias("value"))
             failed = one.filter("not valid").select(F.lit(1).alias("at"), F.to_json(F.struct("event_id", "value")).alias("value"))
@@ -292,6 +310,13 @@ def function_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", prompts.find_description(functions, key)["body"].alias("found"), joined(F.transform(kept, lambda f: f["body"])).alias("kept"))
 
 
+def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the benchmark as a catalogue: the first one, by item, that each document contains, and how many it contains."""
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\p{L}]{6,}"), F.lit(0))
+    names = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("docid"), F.explode(words).alias("name"))
+    return containment.first_contained(table(spark, sf_dir, "documents"), names, "doc_id")
+
+
 def sft_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions listed behind a marker in a system text: one row each, with those that valid calls name."""
     listed = F.concat(F.lit('[{"name": "'), "event_type", F.lit('", "description": "d"}, {"name": "other", "description": "'), "event_id", F.lit('"}]'))
@@ -446,7 +471,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         jsonl_round_trip, jsonl_tolerant, tsv_round_trip, json_array_scan, directory_subsets, score_files, leaderboard, workbook_round_trip, category_append,
         retrieval_lists, mean_ndcg, result_stream, prepare_flow, evaluate_flow, case_table, agent_scores, agent_traces, final_states, key_counts, late_interaction,
-        embedding_cache, extend_cases, function_lookup, sft_explode, pretty_answers, shuffled, text_clean, parse_lenient, decode_kinds, check_shapes, sft_split,
+        embedding_cache, extend_cases, function_lookup, containment_join, json_array_parts, sft_explode, pretty_answers, shuffled, text_clean, parse_lenient, decode_kinds, check_shapes, sft_split,
         check_tries, chat_texts, chat_requests,
     ]
     return {f.__name__: f for f in named}

@@ -50,7 +50,11 @@ UNION ALL SELECT 'queries', item_id, md5(coalesce(text, '')) FROM benchmark UNIO
         "json_array_scan": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ordinal, n_nationkey, n_name FROM nation",
         "directory_subsets": "SELECT 'r' || n_regionkey || '/p' || c_custkey % 2 AS subset, c_custkey::INT AS qid, c_name AS query FROM customer JOIN nation ON c_nationkey = n_nationkey",
         "score_files": """SELECT 'm' || user_id % 2 AS model, event_type AS category, round(avg((value > 50)::INT::DOUBLE), 5) AS accuracy, count(*) AS total_count
-FROM events WHERE event_type IN ('click', 'error', 'purchase') GROUP BY 1, 2""",
+FROM events GROUP BY 1, 2""",
+        "json_array_parts": """SELECT event_id, event_type || ' ["' || user_id || '", {\\]' AS label, value, props FROM events""",
+        "containment_join": """WITH w AS (SELECT name, min(item_id) AS docid FROM (SELECT item_id, unnest(regexp_extract_all(text, '[\\p{L}]{6,}')) AS name FROM benchmark) GROUP BY 1),
+f AS (SELECT doc_id, min((docid, name)) AS first, count(*) AS n FROM documents JOIN w ON contains(text, name) GROUP BY 1)
+SELECT d.doc_id, first[1] AS docid, first[2] AS name, coalesce(n, 0) AS n FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id""",
         "leaderboard": f"""WITH tax AS (SELECT * FROM {TAXONOMY_VALUES} t(g, category)), {CATEGORY_SCORES}, m AS (SELECT model, {GROUP_MEANS} FROM cs GROUP BY 1),
 s AS (SELECT *, special_mean * 0.2676::DOUBLE + normal_mean * 0.578::DOUBLE + agent_mean * 0.1545::DOUBLE AS total FROM m)
 SELECT model, model = 'm2' AS is_closed, format('{{:.2f}}%', total * 100) AS summary_pct, round(special_mean, 4) AS special_mean, round(normal_mean, 4) AS normal_mean, round(agent_mean, 4) AS agent_mean,

@@ -18,7 +18,8 @@ documents, so a large benchmark takes more passes and not more memory.
 
 Defined cases: null or empty texts on either side match nothing; an item
 shorter than a segment is one segment of its own length, with edits in
-proportion; one shorter than ``q`` has no q-gram and matches the documents that
+proportion, and where those may leave no q-gram of its own untouched, it is
+looked up by shorter ones; one shorter than ``q`` has no q-gram and matches the documents that
 equal it in the compared form; of occurrences with equally few edits the first
 counts; repeated rows give repeated matches; empty tables give none.
 """
@@ -52,13 +53,17 @@ def plain(text: str) -> bytes:
     return b" ".join(text.encode("utf-8", "surrogatepass").translate(_FLAT).split())
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the Q bytes from each position on (the last Q - 1 have none)."""
-    n = len(data) - Q + 1
+def gram_hashes(data: np.ndarray, q: int = Q) -> np.ndarray:
+    """A hash of the q bytes from each position on (the last q - 1 have none)."""
+    n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    if q < 8:
+        padded = np.append(data, np.zeros(8, np.uint8))
+        few = np.ndarray((n,), "<u8", padded, 0, (1,)) & np.uint64((1 << (8 * q)) - 1)
+        return (few ^ (few >> np.uint64(29))) * _MIX
     eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
-    return (eight[:n] * _MIX) ^ ((eight[Q - 8 : Q - 8 + n] + np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0xD6E8FEB86659FD93))
+    return (eight[:n] * _MIX) ^ ((eight[q - 8 : q - 8 + n] + np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0xD6E8FEB86659FD93))
 
 
 @lru_cache(maxsize=4096)  # repetitive texts ask for the same again and again
@@ -95,7 +100,8 @@ def banded_distance(a: bytes, b: bytes, most: int, width: int) -> tuple[int, int
 class Index:
     """Q-grams of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, bytes]], segment: int = SEGMENT, stride: int = STRIDE, edits: int = EDITS):
+    def __init__(self, items: list[tuple[int, bytes]], segment: int = SEGMENT, stride: int = STRIDE, edits: int = EDITS, q: int = Q):
+        self.q = q
         self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
         self.segments: list[tuple[int, int, int, int]] = []  # item, start, length, edits
         at: list[np.ndarray] = []
@@ -104,19 +110,25 @@ class Index:
         self.most, self.segment, self.stride = edits, segment, stride
         #: items without a q-gram, by their text
         self.short: dict[bytes, list[int]] = {}
+        #: items so short for their edits that they may share no q-gram with a match, by what q serves them
+        weak: dict[int, list[int]] = {}
         for k, text in enumerate(self.texts):
             n = len(text)
             first.append(len(self.segments))
-            if n < Q:
+            if n < q:
                 if n:
                     self.short.setdefault(text, []).append(k)
                 continue
             if n <= segment:
-                self.segments.append((k, 0, n, edits * n // segment))
+                allowed = edits * n // segment
+                if n - q + 1 - q * allowed < 1 and (fits := (n - allowed) // (allowed + 1)) < q:
+                    weak.setdefault(max(1, fits), []).append(k)
+                    continue
+                self.segments.append((k, 0, n, allowed))
             else:
                 starts = sorted({*range(0, n - segment, stride), n - segment})
                 self.segments += [(k, s, segment, edits) for s in starts]
-            h = gram_hashes(np.frombuffer(text, np.uint8))
+            h = gram_hashes(np.frombuffer(text, np.uint8), q)
             grams.append(h)
             at.append(np.stack([np.full(len(h), k), np.arange(len(h))], 1))
         first.append(len(self.segments))
@@ -124,7 +136,8 @@ class Index:
         seg = np.array(self.segments, np.int64).reshape(-1, 4)
         self.seg = seg
         #: hits that a segment's band must have, by the lemma; one at least
-        self.need = np.maximum(1, seg[:, 2] - Q + 1 - Q * seg[:, 3])
+        self.need = np.maximum(1, seg[:, 2] - q + 1 - q * seg[:, 3])
+        self.weak = [(ks, Index([items[k] for k in ks], segment, stride, edits, fits)) for fits, ks in sorted(weak.items())]
         h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         place = np.concatenate(at) if at else np.zeros((0, 2), np.int64)
         order = np.argsort(h, kind="stable")
@@ -135,7 +148,7 @@ class Index:
 
     def shared(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, first, number) of every q-gram that items have too, as a range of ``place``."""
-        h = gram_hashes(data)
+        h = gram_hashes(data, self.q)
         at = np.flatnonzero(self.seen[h >> np.uint64(64 - self.bits)])
         h = h[at]
         lo = np.searchsorted(self.gram, h, "left")
@@ -167,7 +180,7 @@ class Index:
         for back in range(-1, near + 1):
             s = guess - back
             ok = (s >= lo) & (s < hi)
-            ok[ok] &= (self.seg[s[ok], 1] <= j[ok]) & (j[ok] + Q <= self.seg[s[ok], 1] + self.seg[s[ok], 2])
+            ok[ok] &= (self.seg[s[ok], 1] <= j[ok]) & (j[ok] + self.q <= self.seg[s[ok], 1] + self.seg[s[ok], 2])
             if ok.any():
                 parts.append(np.stack([doc[ok], s[ok], pos[ok] - j[ok]], 1))
         if not parts:
@@ -219,6 +232,10 @@ class Index:
         if self.short:
             for d, t in enumerate(texts):
                 yield from ((d, k, 1, 0, len(t), 0) for k in self.short.get(t, ()))
+        for ks, index in self.weak:
+            yield from ((d, ks[k], *rest) for d, k, *rest in index.matches(texts))
+        if not len(self.gram):
+            return
         for first, chunk in _chunks(texts):
             data = np.frombuffer(b"\0".join(chunk) + b"\0", np.uint8)
             starts = np.append(0, np.cumsum([len(t) + 1 for t in chunk]))

@@ -21,7 +21,8 @@ def parser() -> argparse.ArgumentParser:
     p = step.add_parser("retrieve", help="rank the corpus for the queries and score the ranking")
     for name in ("data", "output"):
         p.add_argument(f"--{name}", required=True)
-    p.add_argument("--retriever", default="bm25", choices=["bm25", "TF-IDF"])
+    p.add_argument("--retriever", default="bm25", choices=[*commands.RETRIEVERS])
+    p.add_argument("--vectors", help="folder with the vectors of corpus and queries, for retrievers that rank by them")
     p.add_argument("--top-k", type=int, default=extend.TOP_K)
     p = step.add_parser("evaluate", help="check recorded results against golden answers")
     for name in ("model", "cases", "results", "answers", "output"):
@@ -46,7 +47,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.step == "prepare":
         commands.prepare(spark, a.cases, a.answers, a.output, a.exact, a.all_functions)
     elif a.step == "retrieve":
-        commands.retrieve(spark, a.data, a.output, a.retriever, a.top_k).show()
+        commands.retrieve(spark, a.data, a.output, a.retriever, a.top_k, a.vectors).show()
     elif a.step == "evaluate":
         commands.evaluate_model(spark, a.model, a.cases, a.results, a.answers, a.output, a.strict).show(truncate=False)
     else:

@@ -142,8 +142,8 @@ def query_blocks(queries: DataFrame, id_col: str, vector: str) -> Iterator[tuple
             yield np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
 
 
-def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """Exact cosine top-k: (qid, docid, score, distance, rank); a document is no hit of a query with its id.
+def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, vector: str = "embedding", digits: int = 6, others_only: bool = True) -> DataFrame:
+    """Exact cosine top-k: (qid, docid, score, distance, rank); with ``others_only`` a document is no hit of a query with its id.
     A zero vector has no direction: it is no hit and has none.
 
     A block of queries meets each batch of the corpus in one matrix product and
@@ -163,7 +163,7 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, vector: str = "em
                 with np.errstate(invalid="ignore", divide="ignore"):
                     score = np.round(dots / (norms[:, None] * np.sqrt((m * m).sum(1))), digits)
                 # NaN would rank above every number
-                score[np.isnan(score) | (ids[:, None] == docs)] = -np.inf
+                score[np.isnan(score) | (others_only & (ids[:, None] == docs))] = -np.inf
                 n = min(k, len(docs))
                 # the k-th best score of a query; ties with it all go on
                 least = np.partition(score, -n, axis=1)[:, -n]

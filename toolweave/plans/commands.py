@@ -53,11 +53,27 @@ def prepare(spark: SparkSession, cases: str, answers: str, output: str, exact: b
     return corpus, queries, qrels
 
 
-def retrieve(spark: SparkSession, data: str, output: str, kind: str = "bm25", k: int = extend.TOP_K) -> DataFrame:
-    """Rank the prepared corpus for the prepared queries; write the hits per query and the metrics, and return these."""
+#: Retrievers and the column that each needs beside the text.
+RETRIEVERS = {"bm25": None, "TF-IDF": None, "index": None, "dense": "embedding", "hybrid": "embedding", "reranker": "embedding", "colbert": "vectors"}
+
+
+def retrieve(spark: SparkSession, data: str, output: str, kind: str = "bm25", k: int = extend.TOP_K, vectors: str | None = None) -> DataFrame:
+    """Rank the prepared corpus for the prepared queries; write the hits per query and the metrics, and return these.
+
+    Retrievers by vectors find them in ``vectors``: Parquet tables ``corpus`` (docid)
+    and ``queries`` (qid) with ``embedding`` (array<double>), or for late interaction
+    ``vectors`` (array<array<double>>). What has none there is no hit and has none.
+    """
     corpus = readers.read_corpus(spark, f"{data}/corpus").select(F.col("docid").cast("long").alias("docid"), F.col("document_content").alias("text"))
     queries = readers.read_queries(spark, f"{data}/queries").select(F.col("qid").cast("long").alias("qid"), F.col("query").alias("text"))
-    hits = extend.retrieve(kind, queries, corpus, k)
+    if column := RETRIEVERS[kind]:
+        if not vectors:
+            raise ValueError(f"{kind} needs a folder of vectors")
+        read = lambda name, key: spark.read.parquet(f"{vectors}/{name}").select(F.col(key).cast("long").alias(key), column)
+        corpus, queries = corpus.join(read("corpus", "docid"), "docid", "left"), queries.join(read("queries", "qid"), "qid", "left")
+    hits = extend.retrieve(kind, queries, corpus, k, others_only=False)
+    if kind == "reranker":
+        hits = hits.select("qid", "docid", F.col("rerank_score").alias("score"), F.col("rerank_rank").alias("rank"))
     scores = metrics.ndcg(hits, readers.read_qrels(spark, f"{data}/qrels"), queries=queries, corpus_size=corpus.count())
     mean = metrics.mean_ndcg(scores)
     writers.write_json_lines(writers.retrieval_results(hits), f"{output}/hits")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from toolweave.functions.calls import parse_calls
 from toolweave.functions.text import argument_difference, python_literals
-from toolweave.operators import catalog, grouping, maxsim, responses, retrieval
+from toolweave.operators import catalog, grouping, index, maxsim, responses, retrieval
 from toolweave.operators.order import top_k
 from toolweave.operators.prompts import without_thoughts
 from toolweave.sources.shared import scratch
@@ -36,24 +36,28 @@ def build_qrels(answers: DataFrame, corpus: DataFrame, exact: bool = False, all_
     return catalog.qrels(found, "qid", "docid", "rel")
 
 
-def retrieve(kind: str, queries: DataFrame, corpus: DataFrame, k: int = TOP_K) -> DataFrame:
+def retrieve(kind: str, queries: DataFrame, corpus: DataFrame, k: int = TOP_K, others_only: bool = True) -> DataFrame:
     """Ranked hits by one of the retrievers over (qid, text, embedding) and (docid, text, embedding).
 
+    With ``others_only`` both sides share their ids, and none finds itself.
     ``colbert`` takes (qid, vectors) and (docid, vectors) and ranks the whole corpus by late interaction.
     """
+    dense = lambda: retrieval.dense_top_k(queries, corpus, k, others_only=others_only)
     lexical = {"bm25": retrieval.bm25, "TF-IDF": retrieval.tf_idf}
     if kind in lexical:
         return top_k(lexical[kind](queries, corpus), k)
     if kind in ("dense", "ada", "ToolRetriever"):
-        return retrieval.dense_top_k(queries, corpus, k)
+        return dense()
     if kind == "hybrid":
-        dense = retrieval.dense_top_k(queries, corpus, k)
-        return top_k(retrieval.fuse_ranks([retrieval.bm25(queries, corpus), dense], corpus.count()), k)
+        return top_k(retrieval.fuse_ranks([retrieval.bm25(queries, corpus), dense()], corpus.count()), k)
     if kind == "reranker":
-        return retrieval.rerank(retrieval.dense_top_k(queries, corpus, k), -F.col("distance"))
+        return retrieval.rerank(dense(), -F.col("distance"))
+    if kind == "index":
+        kept = index.build(corpus.select("docid", "text"), scratch(corpus.sparkSession, "index"))
+        return index.search(kept, queries.select("qid", "text"), k)
     if kind == "colbert":
         kept = maxsim.build(corpus.select("docid", "vectors"), scratch(corpus.sparkSession, "maxsim"))
-        return maxsim.search(kept, queries.select("qid", "vectors"), k, others_only=True)
+        return maxsim.search(kept, queries.select("qid", "vectors"), k, others_only)
     raise ValueError(f"no such retriever: {kind}")
 
 

@@ -82,14 +82,21 @@ def retrieve(spark: SparkSession, data: str, output: str, kind: str = "bm25", k:
 
 
 def evaluate_model(spark: SparkSession, model: str, cases: str, results: str, answers: str, output: str, strict: bool = False) -> DataFrame:
-    """Check recorded results, write ``<output>/<model>`` summary and failures, and return the summary (model, category, ...)."""
-    outputs = readers.read_json_lines(spark, results, {"id": "string", "result": "string"}).select("id", "result")
-    checked = evaluate.evaluate_calls(read_cases(spark, cases).select("id", "functions_json"), outputs, read_answers(spark, answers).select("id", "ground_truth"), model, strict)
-    multi = F.col("category").contains("multi_turn")
-    single = evaluate.single_turn_scores(checked.filter(~multi)).select("category", "accuracy", F.lit(None).cast("double").alias("process_accuracy"), "total_count")
-    sessions = evaluate.multi_turn_scores(checked.filter(multi)).select("category", "accuracy", F.col("process").alias("process_accuracy"), F.col("sessions").alias("total_count"))
-    summary = single.unionByName(sessions).select(F.lit(model).alias("model"), "*")
-    writers.write_scores(summary, evaluate.failed_rows(checked), f"{output}/{model}")
+    """Check recorded results, write ``<output>/<model>`` summary and failures, and return the summary (model, category, ...).
+
+    Special cases are checked by their phrases, agents by end states and
+    milestones, all others by their calls; multi-turn ones count by session.
+    """
+    outputs = readers.read_json_lines(spark, results, {"id": "string", "result": "json", "process": "json"}).select("id", "result", "process")
+    golden = read_answers(spark, answers).select("id", category_of("id").alias("category"), "ground_truth", "mile_stone")
+    special, agent, multi = (F.col("category").contains(c) for c in ("special", "agent", "multi_turn"))
+    called = evaluate.evaluate_calls(read_cases(spark, cases).select("id", "functions_json"), outputs.select("id", "result"), golden.filter(~special & ~agent).select("id", "ground_truth"), model, strict)
+    phrased, agents = evaluate.checked_special(golden.filter(special), outputs), evaluate.checked_agents(golden.filter(agent & ~special), outputs)
+    single = evaluate.single_turn_scores(called.filter(~multi).unionAll(phrased)).select("category", "accuracy", F.lit(None).cast("double").alias("process_accuracy"), "total_count")
+    sessions = evaluate.multi_turn_scores(called.filter(multi)).select("category", "accuracy", F.col("process").alias("process_accuracy"), F.col("sessions").alias("total_count"))
+    summary = single.unionByName(sessions).unionByName(evaluate.agent_scores(agents)).select(F.lit(model).alias("model"), "*")
+    failures = evaluate.failed_rows(called.unionAll(phrased).unionAll(agents.drop("process")))
+    writers.write_scores(summary, failures, f"{output}/{model}")
     return summary
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +100,39 @@ def agent_scores(checked: DataFrame) -> DataFrame:
     return checked.groupBy(category_of("id").alias("category")).agg(F.round(F.avg(F.col("valid").cast("int").cast("double")), 5).alias("accuracy"), F.round(F.avg("process"), 5).alias("process_accuracy"), F.count("*").alias("total_count"))
 
 
+def special_answers(golden: DataFrame) -> DataFrame:
+    """(id, kind, name, values) per function or parameter of the golden answers (id, category, ground_truth) of special cases."""
+    kind = F.when(F.col("category").contains("incomplete"), "incomplete").when(F.col("category").contains("error"), "error_param").otherwise("irrelevant")
+    named = golden.withColumn("kind", kind).filter("kind <> 'irrelevant'").select("id", "kind", F.explode(F.from_json("ground_truth", "map<string,array<string>>")).alias("name", "values"))
+    plain = golden.withColumn("kind", kind).filter("kind = 'irrelevant'").select("id", "kind", F.lit("").alias("name"), F.array().cast("array<string>").alias("values"))
+    return named.unionAll(plain)
+
+
+def checked_special(golden: DataFrame, results: DataFrame) -> DataFrame:
+    """(id, category, valid, error_type, result) of special cases; all that a golden answer names must be right."""
+    parts = evaluate_special(results.select("id", "result"), special_answers(golden)).groupBy("id").agg(F.bool_and("valid").alias("valid"), F.max("error_type").alias("error_type"))
+    return golden.select("id", "category").join(parts, "id", "left").join(results.select("id", "result"), "id", "left").select("id", "category", F.coalesce("valid", F.lit(True)).alias("valid"), "error_type", "result")
+
+
+def merged_states(states: Column) -> Column:
+    """A list of objects of classes, or one such object, as one JSON object; of a class that repeats the last counts."""
+    listed = F.when(F.ltrim(states).startswith("["), states).otherwise(F.concat(F.lit("["), states, F.lit("]")))
+    pairs = F.flatten(F.transform(F.from_json(listed, "array<map<string,string>>"), F.map_entries))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.concat(F.lit("{"), F.array_join(F.transform(last, lambda p: F.concat(F.lit('"'), p["key"], F.lit('": '), p["value"])), ", "), F.lit("}"))
+
+
+def checked_agents(golden: DataFrame, results: DataFrame) -> DataFrame:
+    """(id, category, valid, process, error_type, result) of agent cases: ``golden`` (id, category, ground_truth, mile_stone), ``results`` (id, result, process)."""
+    nested = F.from_json("mile_stone", "array<array<string>>")
+    flat = F.from_json("mile_stone", "array<string>")
+    stones = F.when(F.regexp_like("mile_stone", F.lit(r"^\s*\[\s*\[")), nested).otherwise(F.array(flat))
+    want = golden.select("id", merged_states(F.col("ground_truth")).alias("state_json"), F.coalesce(stones, F.array(F.array().cast("array<string>"))).alias("milestones"))
+    have = results.select("id", merged_states(F.col("result")).alias("state_json"), F.from_json("process", "array<string>").alias("process"))
+    error = F.when(~F.col("valid"), "wrong_end_state")
+    return golden.select("id", "category").join(evaluate_agents(have, want), "id").join(results.select("id", "result"), "id", "left").select("id", "category", "valid", "process", error.alias("error_type"), "result")
+
+
 def failed_rows(checked: DataFrame) -> DataFrame:
     return checked.filter(~F.col("valid"))
 

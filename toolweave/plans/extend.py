@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from toolweave.functions.calls import parse_calls
 from toolweave.functions.text import argument_difference, python_literals
-from toolweave.operators import catalog, grouping, index, maxsim, responses, retrieval
+from toolweave.operators import catalog, grouping, index, maxsim, ranker, responses, retrieval
 from toolweave.operators.order import top_k
 from toolweave.operators.prompts import without_thoughts
 from toolweave.sources.shared import scratch
@@ -36,9 +36,10 @@ def build_qrels(answers: DataFrame, corpus: DataFrame, exact: bool = False, all_
     return catalog.qrels(found, "qid", "docid", "rel")
 
 
-def retrieve(kind: str, queries: DataFrame, corpus: DataFrame, k: int = TOP_K, others_only: bool = True) -> DataFrame:
+def retrieve(kind: str, queries: DataFrame, corpus: DataFrame, k: int = TOP_K, others_only: bool = True, model: ranker.Ranker | None = None) -> DataFrame:
     """Ranked hits by one of the retrievers over (qid, text, embedding) and (docid, text, embedding).
 
+    ``reranker`` goes by ``model`` (``operators.ranker``), by distance where there is none.
     With ``others_only`` both sides share their ids, and none finds itself.
     ``colbert`` takes (qid, vectors) and (docid, vectors) and ranks the whole corpus by late interaction.
     """
@@ -51,7 +52,7 @@ def retrieve(kind: str, queries: DataFrame, corpus: DataFrame, k: int = TOP_K, o
     if kind == "hybrid":
         return top_k(retrieval.fuse_ranks([retrieval.bm25(queries, corpus), dense()], corpus.count()), k)
     if kind == "reranker":
-        return retrieval.rerank(dense(), -F.col("distance"))
+        return retrieval.rerank(ranker.features(dense(), corpus), model.score()) if model else retrieval.rerank(dense(), -F.col("distance"))
     if kind == "index":
         kept = index.build(corpus.select("docid", "text"), scratch(corpus.sparkSession, "index"))
         return index.search(kept, queries.select("qid", "text"), k)

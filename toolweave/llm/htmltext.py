@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
@@ -178,6 +178,8 @@ def read_blocks(page: str) -> tuple[list[Block], list[Element]]:
     at, n = 0, len(page)
     hidden_depth: list[str] = []
     hidden_places = Places()
+    inside: Counter[str] = Counter()  # block elements that were opened within the hidden ones
+    ends: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal current
@@ -192,7 +194,17 @@ def read_blocks(page: str) -> tuple[list[Block], list[Element]]:
             places.cut(tags, k)
             del open_[k:]
 
+    def unclosed(tag: str) -> bool:
+        """Whether no end tag of a hidden element follows: such an element hides nothing."""
+        if tag in RAW:
+            return False
+        if tag not in ends:
+            ends[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}(?=[\s/>])", page, re.IGNORECASE)), default=-1)
+        return ends[tag] < at
+
     def hide(tag: str) -> None:
+        if not hidden_depth:
+            inside.clear()
         hidden_places.push(tag, len(hidden_depth))
         hidden_depth.append(tag)
 
@@ -213,6 +225,12 @@ def read_blocks(page: str) -> tuple[list[Block], list[Element]]:
             continue
         tag = tag.lower()
         if m["end"]:
+            if hidden_depth and tag in BLOCKS and tag != "p" and not hidden_places.get(tag):
+                if inside[tag]:
+                    inside[tag] -= 1
+                    continue
+                if places.last({tag}) > 0:  # the end of an element around the hidden ones ends them too
+                    hidden_places.cut(hidden_depth, 0)
             if hidden_places.get(tag):
                 hidden_places.cut(hidden_depth, hidden_places[tag][0])
                 if tag == "head":
@@ -227,14 +245,16 @@ def read_blocks(page: str) -> tuple[list[Block], list[Element]]:
         if tag == "body":
             hidden_places.cut(hidden_depth, 0)
         if hidden_depth:
-            if tag in HIDDEN and tag not in VOID and not m["rest"].endswith("/"):
+            if tag in BLOCKS and tag not in VOID:
+                inside[tag] += 1
+            if tag in HIDDEN and tag not in VOID and not m["rest"].endswith("/") and not unclosed(tag):
                 hide(tag)
                 if tag in RAW:
                     end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])|\Z", re.IGNORECASE).search(page, at)
                     at = end.start()
             continue
         if tag in HIDDEN:
-            if m["rest"].endswith("/") and tag not in RAW:
+            if m["rest"].endswith("/") and tag not in RAW or unclosed(tag):
                 continue
             hide(tag)
             if tag in RAW:

@@ -126,10 +126,12 @@ def _names(rest: str) -> set[str]:
 def _own_odds(tag: str, rest: str) -> tuple[float, float]:
     """(odds, odds by words that name boilerplate) of an element without those around it."""
     odds, bad = ELEMENT.get(tag, 0.0), 0.0
+    if tag == "form":  # server-rendered pages are one form: one that holds most of the text is only around it
+        odds, bad = 0.0, odds
     if rest and "=" in rest:
         words = _names(rest)
         if tag not in ("body", "html"):
-            bad = min((BAD_WORDS[w] for w in words if w in BAD_WORDS), default=0.0)
+            bad = min((BAD_WORDS[w] for w in words if w in BAD_WORDS), default=bad)
         if not words.isdisjoint(GOOD_WORDS) and words.isdisjoint(BAD_WORDS):
             odds += 1.5
         if tag in WRAPPERS:

@@ -22,13 +22,15 @@ of 64 rows and one expected count per piece of the vocabulary.
 
 Defined cases: null text counts as empty: the end symbol alone; with no training
 documents every count is 0 and the prior alone scores; repeated rows are scored
-each; words of any length are scored whole.
+each; words of any length are scored whole, in memory that doesn't grow with them
+beyond the text itself (training keeps eight bytes a character).
 """
 
 from __future__ import annotations
 
 import functools
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -96,53 +98,49 @@ class Lattice:
             self.loose[char] = numbers, sum(self.log_p[n] for n in numbers)
         return self.loose[char]
 
-    def edges(self, word: str) -> list[list[tuple[int, tuple[int, ...] | int, float]]]:
-        """Per end position of the marked word: (start, piece or byte pieces, log probability)."""
-        text, get = MARK + word, self.edge.get
-        n = len(text)
-        into: list[list] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            one = False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if (e := get(text[i:j])) is not None:
-                    into[j].append((i, *e))
-                    one = one or j == i + 1
-            if not one:
-                into[i + 1].append((i, *self.spell(text[i])))
-        return into
-
-    def forward(self, into: list[list]) -> list[float]:
-        """Log marginal of each prefix."""
-        exp, log = math.exp, math.log
-        alpha = [0.0]
-        for edges in into[1:]:
-            if len(edges) == 1:
-                i, _, w = edges[0]
-                alpha.append(alpha[i] + w)
+    def into(self, text: str, j: int) -> list[tuple[int, tuple[int, ...] | int, float]]:
+        """The edges that end at position ``j`` of a marked word: (start, piece or byte pieces, log probability)."""
+        get = self.edge.get
+        found = [(i, *e) for i in range(max(0, j - self.longest), j) if (e := get(text[i:j])) is not None]
+        if text[j - 1] not in self.edge:
+            found.append((j - 1, *self.spell(text[j - 1])))
+        return found
+
+    def forward(self, text: str) -> Iterator[float]:
+        """Log marginals of the marked word's prefixes, shortest first; no more of them are kept than a piece is long."""
+        exp, log, wide = math.exp, math.log, self.longest + 1
+        last = [0.0] * wide
+        yield 0.0
+        for j in range(1, len(text) + 1):
+            terms = [last[i % wide] + w for i, _, w in self.into(text, j)]
+            if len(terms) == 1:
+                value = terms[0]
             else:
-                terms = [alpha[i] + w for i, _, w in edges]
                 top = max(terms)
-                alpha.append(top + log(sum([exp(t - top) for t in terms])))
-        return alpha
+                value = top + log(sum([exp(t - top) for t in terms]))
+            last[j % wide] = value
+            yield value
 
     def log_marginal(self, word: str) -> float:
-        return self.forward(self.edges(word))[-1]
+        value = 0.0
+        for value in self.forward(MARK + word):  # noqa: B007
+            pass
+        return value
 
     def expect(self, word: str, times: float, total: list[float]) -> None:
-        """Add the expected uses of each piece in ``times`` occurrences of the word."""
-        into = self.edges(word)
-        alpha = self.forward(into)
-        n, exp = len(into), math.exp
-        beta = [0.0] * n  # weight of the paths through a position, relative to all
-        beta[-1] = times
-        for j in range(n - 1, 0, -1):
-            b = beta[j]
+        """Add the expected uses of each piece in ``times`` occurrences of the word; eight bytes a character are kept."""
+        text, exp, wide = MARK + word, math.exp, self.longest + 1
+        alpha = array("d", self.forward(text))
+        beta = [0.0] * wide  # weight of the paths through a position, relative to all, for the positions that are still open
+        beta[len(text) % wide] = times
+        for j in range(len(text), 0, -1):
+            b, beta[j % wide] = beta[j % wide], 0.0
             if b <= 0.0:
                 continue
             aj = alpha[j]
-            for i, piece, w in into[j]:
+            for i, piece, w in self.into(text, j):
                 use = b * exp(alpha[i] + w - aj)
-                beta[i] += use
+                beta[i % wide] += use
                 if piece.__class__ is int:
                     total[piece] += use
                 else:

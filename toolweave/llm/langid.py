@@ -1,10 +1,9 @@
 """Language identification: averaged hashed subword embeddings, linear softmax.
 
 Trained by stochastic gradient descent in numpy on a bounded sample of labelled
-documents, drawn by a hash of the id: of every language ``per_language`` rows,
-fewer where there are more than SAMPLE / ``per_language`` languages, of texts up
-to ``max_chars``; a language that has only longer texts is learned from their
-first ``max_chars`` characters from a letter on. Beside the languages the softmax
+documents, drawn by a hash of the id: of every language about ``per_language``
+rows, fewer where there are more than SAMPLE / ``per_language`` languages, whose
+texts are read whole whatever their length. Beside the languages the softmax
 has a class for texts of no known language, learned from the sample's own texts
 with their letters dealt anew. The number of epochs falls with the sample's size.
 
@@ -36,7 +35,6 @@ from toolweave.llm.subword import SubwordModel, split_words, text_chunks
 PER_LANGUAGE = 600
 #: Training rows of all languages together, at least one of each.
 SAMPLE = 120_000
-MAX_CHARS = 6000
 UNKNOWN = "und"
 
 
@@ -108,19 +106,16 @@ class LanguageModel:
         self.reject_below = float(p.max(1)[order][good[-1]]) if len(good) else 1.0
 
 
-def train_language(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS, precision: float = 0.99) -> LanguageModel:
+def train_language(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, precision: float = 0.99) -> LanguageModel:
     """Train on rows with a language for which ``learn`` holds."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & learn)
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    short = F.length("text") <= max_chars
-    counts = {r["lang"]: (r["short"] or r["n"], not r["short"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(short).alias("short")).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return LanguageModel([], None)
     each = max(1, min(per_language, SAMPLE // len(counts)))
-    shares = rows.sparkSession.createDataFrame([(lang, int(min(1.0, each / n) * (1 << 20)) + 1, long) for lang, (n, long) in counts.items()], "lang string, share long, long boolean")
-    drawn = rows.join(F.broadcast(shares), "lang").filter((short | F.col("long")) & (F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) < F.col("share")))
-    window = F.substring(F.regexp_replace("text", r"\A\P{L}+", ""), 1, max_chars)
-    drawn = drawn.withColumn("text", F.when(short, F.col("text")).otherwise(window))
+    shares = rows.sparkSession.createDataFrame([(lang, int(min(1.0, each / n) * (1 << 20)) + 1) for lang, n in counts.items()], "lang string, share long")
+    drawn = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) < F.col("share"))
     drawn = drawn.groupBy("id").agg(F.min(F.struct("text", "lang")).alias("r"))  # one row of an id that repeats
     sample = sorted((r["id"] is None, r["id"] or 0, r["r"]["text"], r["r"]["lang"]) for r in drawn.collect())
     sample = [r for r in sample if has_letter(r[2])]

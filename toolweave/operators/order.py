@@ -33,6 +33,20 @@ def dense_index(df: DataFrame, order: list[Column | str], name: str = "position"
     return placed.select(*df.columns, (F.col("__before") + F.col("__inside")).cast("long").alias(name))
 
 
+def count_before(df: DataFrame, order: list[str], of: Column, name: str) -> DataFrame:
+    """``df`` with, in ``name``, the number of rows before each in the global order for which ``of`` holds.
+
+    As in ``dense_index`` rows are dealt by range and one number per range reaches the driver.
+    """
+    ranged = materialize(df.withColumn("__of", of.cast("int")).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = {r["__range"]: r["n"] for r in ranged.groupBy("__range").agg(F.sum("__of").alias("n")).collect()}
+    before = list(zip(sorted(sizes), accumulate([0, *[sizes[k] for k in sorted(sizes)]]), strict=False))
+    offsets = df.sparkSession.createDataFrame(before, "__range int, __before long")
+    earlier = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("__inside", F.coalesce(F.sum("__of").over(earlier), F.lit(0))).join(F.broadcast(offsets), "__range")
+    return placed.select(*df.columns, (F.col("__before") + F.col("__inside")).cast("long").alias(name))
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "rank") -> DataFrame:
     """``df`` with each row's rank, from 1, within its ``keys``, which may hold any share of the rows. Rows without a key are left out.
 

@@ -7,12 +7,15 @@ it raises counts as a failed attempt. Nothing here knows an address or a key.
 from __future__ import annotations
 
 import json
+import math
+import threading
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,28 +65,58 @@ def with_retries(send: Send, attempts: int, delay: float) -> Callable[[str | Non
     return once
 
 
-def call_service(requests: DataFrame, send: Send, body: str = "body", attempts: int = 5, delay: float = 3.0, threads: int = 8, per_minute: int | None = None) -> DataFrame:
+class Slots:
+    """Start times that the tasks of a call share without talking: slots of the wall clock, dealt out in turn.
+
+    Slot ``s`` begins ``s`` gaps after the epoch and belongs to the task numbered
+    ``s`` modulo ``tasks``, which uses it once at most. However the tasks are
+    scheduled, no more calls start in a minute than it has slots.
+    """
+
+    def __init__(self, task: int, tasks: int, per_minute: float):
+        self.task, self.tasks, self.gap, self.last, self.lock = task, tasks, 60.0 / per_minute, -1, threading.Lock()
+
+    def following(self, now: float) -> int:
+        """The task's first slot that begins at ``now`` or later and is not used."""
+        least = max(math.ceil(now / self.gap), self.last + 1)
+        return least + (self.task - least) % self.tasks
+
+    def wait(self) -> None:
+        with self.lock:
+            self.last = self.following(time.time())
+            until = self.last * self.gap
+        while (left := until - time.time()) > 0:
+            time.sleep(left)
+
+
+def call_service(requests: DataFrame, send: Send, body: str = "body", attempts: int = 5, delay: float = 3.0, threads: int = 8, per_minute: float | None = None) -> DataFrame:
     """``requests`` with ``response``: each batch's bodies go out side by side, order is kept.
 
-    ``per_minute`` is the share of one task: its calls then start no closer than
-    that allows. A task that is tried again sends its bodies again.
+    ``per_minute`` is a quota of the whole call, repeated attempts included: the
+    rows are dealt over as many tasks as there are cores (and lose their order),
+    and each attempt waits for one of its task's ``Slots``. The machines' clocks
+    must agree; a task that is tried again sends its bodies again, in later slots.
     """
     names, at = requests.columns, requests.columns.index(body)
     schema = requests.withColumn("response", F.lit(None).cast("string")).schema
+    tasks = requests.sparkSession.sparkContext.defaultParallelism if per_minute else 1
+    rows = requests.repartition(tasks) if per_minute else requests
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, gap, last = with_retries(send, attempts, delay), 60.0 / per_minute if per_minute else 0.0, 0.0
+        slots = Slots(TaskContext.get().partitionId(), tasks, per_minute) if per_minute else None
+
+        def in_time(text: str) -> str:
+            if slots:
+                slots.wait()
+            return send(text)
+
+        once = with_retries(in_time, attempts, delay)
         with ThreadPoolExecutor(threads) as pool:
             for batch in batches:
-                waiting = []
-                for text in batch.column(at).to_pylist():
-                    if gap and (wait := last + gap - time.monotonic()) > 0:
-                        time.sleep(wait)
-                    last = time.monotonic()
-                    waiting.append(pool.submit(once, text))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([w.result() for w in waiting], pa.string())], [*names, "response"])
-
-    return requests.mapInArrow(run, schema)
+                answers = list(pool.map(once, batch.column(at).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string())], [*names, "response"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def service_for(model: str, routes: dict[str, Send]) -> Send:

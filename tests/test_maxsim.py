@@ -66,3 +66,15 @@ def test_odd_rows(spark, tmp_path):
     assert maxsim.search(kept, queries.filter("qid > 7"), 3).count() == 0
     empty = maxsim.build(corpus.filter("false"), f"{tmp_path}/index")
     assert maxsim.search(empty, queries, 3).count() == 0
+
+
+def test_the_first_look_hands_on_k_documents_a_query_and_task(spark, tmp_path, monkeypatch):
+    """Before, each product handed on k documents, and the driver held a number per query vector and entry of a list."""
+    monkeypatch.setattr(maxsim, "PRODUCTS", 50)
+    docs = clustered(3, 300, 4)
+    kept = maxsim.build(spark.createDataFrame(docs, f"docid long, {KIND}"), f"{tmp_path}/index", 6)
+    q = next(maxsim.blocks_of(spark.createDataFrame(docs[::60], f"qid long, {KIND}")))
+    codes = kept.table("codes").repartition(2)
+    looked = maxsim._scan(codes, q, kept.centroids(), None, 3, False).groupBy("qid").count().collect()
+    assert len(looked) == 5 and max(r["count"] for r in looked) <= 3 * 2
+    assert not hasattr(maxsim, "list_bounds")

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toolweave.operators.order import top_k
-from toolweave.operators.retrieval import BLOCK_NUMBERS, late_interaction
+from toolweave.operators.order import spread, top_k
+from toolweave.operators.retrieval import BLOCK_NUMBERS, Best, late_interaction
 from toolweave.sources.shared import materialize
 
 #: Numbers of the sample that centroids are fitted on, centroids at most, rounds of fitting.
@@ -41,7 +41,7 @@ SAMPLE_NUMBERS, CENTROIDS, ROUNDS = 1 << 22, 1024, 8
 #: Lists per query that are read for its threshold.
 FIRST_LISTS = 4
 #: Products that a task works on at once.
-PRODUCTS = 1 << 22
+PRODUCTS = 1 << 21
 #: Scores are rounded to six digits.
 SLACK = 2e-6
 CODES = "docid bigint, list int, centroid array<int>, radius array<double>, scale array<double>, error array<double>, codes binary"
@@ -103,7 +103,8 @@ def build(corpus: DataFrame, path: str, centroids: int | None = None) -> Index:
     rows = max(1, SAMPLE_NUMBERS // max(1, width or 1))
     share = min(1.0, rows / max(1, tokens))
     drawn = docs.filter(F.pmod(F.xxhash64("docid"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(F.explode("vectors").alias("v")).limit(rows)
-    sample = np.array([r["v"] for r in drawn.collect()], np.float64).reshape(-1, width or 1)
+    drawn = drawn.toArrow().column("v").combine_chunks()
+    sample = drawn.flatten().to_numpy(zero_copy_only=False).reshape(-1, width or 1)
     middle = fitted(sample, centroids or min(CENTROIDS, max(1, int(2 * tokens**0.5))))
     spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(middle)], "centroid int, vector array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
 
@@ -156,20 +157,43 @@ def blocks_of(queries: DataFrame) -> Iterator[Queries]:
             yield Queries(rows)
 
 
-def list_bounds(q: Queries, bounds: list, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lists, bound per query and list)."""
-    order = sorted(bounds, key=lambda r: r["list"])
-    of = np.array([r["list"] for r in order])
-    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-    products = q.matrix @ centroids.T
-    best = np.maximum.reduceat(products[:, [r["centroid"] for r in order]] + q.norms[:, None] * np.array([r["radius"] for r in order]), first, axis=1)
-    return of[first], q.sums(best)
+def _list_bounds(bounds: DataFrame, q: Queries, centroids: np.ndarray, least: np.ndarray | None, first_lists: int) -> DataFrame:
+    """(qid, list, score): each task's lists with the best bounds for each query, or (with ``least``) one row for each list whose bound reaches it for some query.
+
+    A list has as many entries as there are centroids at most; a task meets the queries in steps of about PRODUCTS numbers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(q.ids), first_lists)
+        per = max(1, PRODUCTS // max(1, len(centroids) * int(np.diff(q.start).max(initial=1))))
+        for batch in batches:
+            lists = batch.column(0).to_numpy()
+            start = np.append(0, np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False)))
+            of, radius = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            reached = np.zeros(len(lists), bool)
+            for at in range(0, len(q.ids) if len(lists) else 0, per):
+                rows = q.start[at : at + per + 1]
+                products, norms = q.matrix[rows[0] : rows[-1]] @ centroids.T, q.norms[rows[0] : rows[-1], None]
+                most = np.stack([(products[:, of[x:y]] + norms * radius[x:y]).max(1) for x, y in zip(start[:-1], start[1:], strict=True)], axis=1)
+                bound = np.add.reduceat(most, rows[:-1] - rows[0], axis=0)
+                if least is not None:
+                    reached |= (bound >= least[at : at + per, None]).any(0)
+                else:
+                    i, j = np.nonzero(bound >= best.least[at : at + per, None])
+                    best.add(i + at, lists[j], bound[i, j])
+            if reached.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(reached.sum(), -1)), pa.array(lists[reached], pa.int32()), pa.array(np.zeros(reached.sum()))], ["qid", "list", "score"])
+        if found := best.result():
+            yield pa.RecordBatch.from_arrays([pa.array(q.ids[found[0]]), pa.array(found[1], pa.int32()), pa.array(found[2])], ["qid", "list", "score"])
+
+    return bounds.select("list", "centroid", "radius").mapInArrow(run, "qid bigint, list int, score double")
 
 
 def _scan(codes: DataFrame, q: Queries, centroids: np.ndarray, least: np.ndarray | None, k: int, others_only: bool) -> DataFrame:
-    """(qid, docid, list): of each batch the k documents that look best, or all whose bound reaches ``least``."""
+    """(qid, docid, list, score): of each task the k documents that look best, or all whose bound reaches ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, place = Best(len(q.ids), k), ["qid", "docid", "list", "score"]
         for batch in batches:
             sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False) if batch.num_rows else np.zeros(0, np.int64)
             per = max(1, PRODUCTS // max(1, len(q.matrix) * int(sizes.max(initial=1))))
@@ -186,14 +210,15 @@ def _scan(codes: DataFrame, q: Queries, centroids: np.ndarray, least: np.ndarray
                 if others_only:
                     score[q.ids[:, None] == docs] = -np.inf
                 if least is None:
-                    n = min(k, len(docs))
-                    keep = score >= np.partition(score, -n, axis=1)[:, -n][:, None]
+                    i, j = best.candidates(score)
+                    best.add(i, docs[j], score[i, j], lists[j])
                 else:
-                    keep = score >= least[:, None]
-                i, j = np.nonzero(keep & np.isfinite(score))
-                yield pa.RecordBatch.from_arrays([pa.array(q.ids[i]), pa.array(docs[j]), pa.array(lists[j], pa.int32())], ["qid", "docid", "list"])
+                    i, j = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+                    yield pa.RecordBatch.from_arrays([pa.array(q.ids[i]), pa.array(docs[j]), pa.array(lists[j], pa.int32()), pa.array(score[i, j])], place)
+        if found := best.result():
+            yield pa.RecordBatch.from_arrays([pa.array(q.ids[found[0]]), pa.array(found[1]), pa.array(found[3], pa.int32()), pa.array(found[2])], place)
 
-    return codes.select("docid", "list", "centroid", "scale", "error", "codes").mapInArrow(run, "qid bigint, docid bigint, list int")
+    return codes.select("docid", "list", "centroid", "scale", "error", "codes").mapInArrow(run, "qid bigint, docid bigint, list int, score double")
 
 
 def search(index: Index, queries: DataFrame, k: int, others_only: bool = False, first_lists: int = FIRST_LISTS) -> DataFrame:
@@ -204,26 +229,30 @@ def search(index: Index, queries: DataFrame, k: int, others_only: bool = False,
 def search_counted(index: Index, queries: DataFrame, k: int, others_only: bool = False, first_lists: int = FIRST_LISTS) -> tuple[DataFrame, DataFrame]:
     """(hits, (kind, n)): as ``search``, with the vectors there are for each block of queries ("vectors") and of how many the codes were read ("codes"), and the pairs of a query and a document there are ("pairs") and of how many the vectors were read ("scored")."""
     spark, asked = index.spark, _usable(queries, "qid")
-    bounds = index.table("bounds").collect()
     centroids, codes, vectors = index.centroids(), index.table("codes"), index.table("vectors")
-    size = {}
-    for r in bounds:
-        size[r["list"]] = size.get(r["list"], 0) + r["n"]
-    docs = vectors.count() if bounds else 0
+    # a row per list, CENTROIDS at most; their entries stay with the tasks
+    entries = F.array_sort(F.collect_list(F.struct("centroid", "radius")))
+    bounds = index.table("bounds").groupBy("list").agg(entries.alias("e"), F.sum("n").alias("n"))
+    bounds = materialize(bounds.select("list", F.col("e.centroid").alias("centroid"), F.col("e.radius").alias("radius"), "n"), "list_bounds")
+    size = {r["list"]: r["n"] for r in bounds.select("list", "n").collect()}
+    bounds = spread(bounds)
+    docs = vectors.count() if size else 0
     found, counts = [], []
 
     def scored(pairs: DataFrame, lists: list[int]) -> DataFrame:
-        pairs = pairs.distinct().join(vectors.filter(F.col("list").isin(lists)), ["list", "docid"])
+        pairs = pairs.select("qid", "docid", "list").distinct().join(vectors.filter(F.col("list").isin(lists)), ["list", "docid"])
         keyed = pairs.select("qid", "docid", "vectors", F.col("qid").alias("key"))
         return late_interaction(asked.select(F.col("qid").alias("key"), "qid", "vectors"), keyed.select("key", "docid", "vectors"), "key")
 
-    for q in blocks_of(asked) if bounds else ():
-        lists, bound = list_bounds(q, bounds, centroids)
-        first = sorted({int(x) for row in np.argsort(-bound, axis=1, kind="stable")[:, :first_lists] for x in lists[row]})
-        begun = top_k(scored(_scan(codes.filter(F.col("list").isin(first)), q, centroids, None, k, others_only), first), k)
+    for q in blocks_of(asked) if size else ():
+        first = top_k(_list_bounds(bounds, q, centroids, None, first_lists), first_lists, doc="list").select("list").distinct()
+        first = sorted(r["list"] for r in first.collect())
+        # any k documents give a threshold: those that look best
+        begun = materialize(top_k(_scan(codes.filter(F.col("list").isin(first)), q, centroids, None, k, others_only), k).select("qid", "docid", "list"), "begun")
+        begun = scored(begun, first)
         best = {r["qid"]: r["least"] for r in begun.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k).collect()}
         least = np.array([best.get(i, -np.inf) - SLACK for i in q.ids.tolist()])
-        wanted = [int(x) for x in lists[(bound >= least[:, None]).any(0)]]
+        wanted = sorted(r["list"] for r in _list_bounds(bounds, q, centroids, least, first_lists).select("list").distinct().collect())
         pairs = materialize(_scan(codes.filter(F.col("list").isin(wanted)), q, centroids, least, k, others_only), "pairs")
         found.append(top_k(scored(pairs, wanted), k).select("qid", "docid", "score", "rank"))
         counts.append((sum(size.values()), sum(size[x] for x in {*first, *wanted}), len(q.ids) * docs, pairs.count()))

@@ -18,7 +18,10 @@ are one class of near-duplicates.
 A key that more than GROUP texts have is a passage's, or that of a crowd of near
 copies. All its texts are candidates for links with HEADS of them, chosen by
 hashes, and with those that agree with them on two classes, or four, eight, all
-SLOTS of them. Equal word sequences are one text from the start.
+SLOTS of them. What these links leave apart is compared whole: every two texts of
+the crowd that are not of one class yet meet in some block of about GROUP texts
+(``crowd_blocks``), so no pair that shares a key goes unseen. Equal word
+sequences are one text from the start.
 
 Defined cases: null text counts as empty; words are split at ASCII white space,
 A-Z lowered; all texts without words are equal; fewer words than a shingle make
@@ -120,10 +123,13 @@ def _keyed(nodes: DataFrame, width: int) -> DataFrame:
     return rows.select("node", "level", "slot", key.alias("key"))
 
 
-def key_groups(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((key, node) of groups of 2 to GROUP texts, candidate links (a, b) of larger ones' texts with their heads)."""
+def key_groups(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """((key, node) of groups of 2 to GROUP texts, candidate links (a, b) of larger ones' texts with their heads, (key, node) of the larger ones of single classes).
+
+    Texts that share a key of several classes share those of the single ones too.
+    """
     heads = F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node")) for k in range(HEADS)])
-    groups, stars, open_, width = [], [], None, 1
+    groups, stars, open_, crowds, width = [], [], None, None, 1
     while True:
         keyed = _keyed(nodes, width)
         if open_ is not None:
@@ -134,6 +140,7 @@ def key_groups(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         if large.isEmpty():
             break
         open_ = materialize(keyed.join(large, "key").select("key", "node", "level", "slot"), "crowded")
+        crowds = open_.select("key", "node") if crowds is None else crowds
         chosen = open_.groupBy("key").agg(F.array_distinct(F.transform(heads, lambda h: h["node"])).alias("heads"))
         stars.append(open_.join(chosen, "key").select("node", F.explode("heads").alias("head")).filter("node <> head"))
         open_ = open_.drop("key")
@@ -146,7 +153,27 @@ def key_groups(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = groups[0]
     for g in groups[1:]:
         out = out.unionAll(g)
-    return out, ends.distinct()
+    return out, ends.distinct(), crowds
+
+
+def crowd_blocks(crowds: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node): blocks of about GROUP texts in which every two texts of a crowd meet that ``roots`` (node, root) leave apart.
+
+    Of two such texts one at least is outside the crowd's largest class: parts of
+    those outside meet parts of the whole crowd. The blocks of a crowd grow with the
+    product of both; each is bounded, and they are dealt over all tasks.
+    """
+    placed = materialize(crowds.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "crowds")
+    shares = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sizes = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("most < n")
+    parts = lambda n: F.ceil(n / max(1, GROUP // 2)).cast("int")
+    sizes = sizes.select("key", "main", parts(F.col("n") - F.col("most")).alias("outside"), parts(F.col("n")).alias("all"))
+    rows = placed.join(sizes, "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    left = rows.filter("root <> main").select("key", "node", mine("outside").alias("i"), every("all").alias("j"))
+    right = rows.select("key", "node", every("outside").alias("i"), mine("all").alias("j"))
+    return left.unionAll(right).select(F.xxhash64("key", "i", "j").alias("key"), "node").distinct()
 
 
 def _expand(i: np.ndarray, j: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,18 +290,31 @@ def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def near_duplicate_links(prints: DataFrame, nodes: DataFrame, budget: int, similarity: float) -> DataFrame:
     """Verified links (a, b) between the distinct texts ``nodes`` that connect near-duplicates."""
-    groups, stars = key_groups(nodes)
+    groups, stars, crowds = key_groups(nodes)
     groups, stars = materialize(groups, "groups"), materialize(stars, "stars")
-    needed = groups.select("node").unionAll(stars.select(F.col("a").alias("node"))).unionAll(stars.select(F.col("b").alias("node"))).distinct()
+    needed = groups.select("node").unionAll(stars.select(F.col("a").alias("node"))).unionAll(stars.select(F.col("b").alias("node")))
+    if crowds is not None:
+        needed = needed.unionAll(crowds.select("node"))
     # equal texts combine before the shuffle
     sets = prints.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("shingles").alias("shingles"))
-    sets = materialize(sets.join(needed, "node", "left_semi"), "sets")
+    sets = materialize(sets.join(needed.distinct(), "node", "left_semi"), "sets")
     sketched = sets.select("node", "fp", (F.octet_length("shingles") / 4).cast("long").alias("size"), F.substring("shingles", 1, 4 * SKETCH).alias("sketch"))
-    rows = groups.join(sketched, "node").select("key", "node", "fp", "size", "sketch")
-    rows = rows.repartition("key").sortWithinPartitions("key")
-    links = rows.mapInArrow(lambda batches: _join_groups(batches, budget, similarity), "a binary, b binary")
-    links = materialize(links.unionAll(stars).distinct(), "candidates")
-    return verified(links, sets, similarity)
+
+    def linked(groups: DataFrame) -> DataFrame:
+        rows = groups.join(sketched, "node").select("key", "node", "fp", "size", "sketch")
+        rows = rows.repartition("key").sortWithinPartitions("key")
+        return rows.mapInArrow(lambda batches: _join_groups(batches, budget, similarity), "a binary, b binary")
+
+    links = materialize(linked(groups).unionAll(stars).distinct(), "candidates")
+    links = verified(links, sets, similarity)
+    if crowds is None:
+        return links
+    links = materialize(links, "verified")
+    roots = connected_components(links)
+    root = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    more = linked(crowd_blocks(crowds, roots)).distinct().join(root("a"), "a", "left").join(root("b"), "b", "left")
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    return links.unionAll(verified(materialize(more.filter(apart).select("a", "b"), "candidates"), sets, similarity))
 
 
 def near_duplicate_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, budget: int = BUDGET) -> DataFrame:

@@ -11,6 +11,7 @@ from toolweave.operators.leaderboard import leaderboard
 from toolweave.operators.order import dense_index
 from toolweave.plans import evaluate, extend
 from toolweave.sources import readers, writers
+from toolweave.sources.shared import materialize
 
 
 def result_path(base: str, model: str, category: str, suffix: str = "_score.json") -> str:
@@ -92,9 +93,11 @@ def evaluate_model(spark: SparkSession, model: str, cases: str, results: str, an
     special, agent, multi = (F.col("category").contains(c) for c in ("special", "agent", "multi_turn"))
     called = evaluate.evaluate_calls(read_cases(spark, cases).select("id", "functions_json"), outputs.select("id", "result"), golden.filter(~special & ~agent).select("id", "ground_truth"), model, strict)
     phrased, agents = evaluate.checked_special(golden.filter(special), outputs), evaluate.checked_agents(golden.filter(agent & ~special), outputs)
+    # every case is read and checked once; scores, failures and the summary that is returned read the verdicts
+    called, phrased, agents = (materialize(rows, "checked") for rows in (called, phrased, agents))
     single = evaluate.single_turn_scores(called.filter(~multi).unionAll(phrased)).select("category", "accuracy", F.lit(None).cast("double").alias("process_accuracy"), "total_count")
     sessions = evaluate.multi_turn_scores(called.filter(multi)).select("category", "accuracy", F.col("process").alias("process_accuracy"), F.col("sessions").alias("total_count"))
-    summary = single.unionByName(sessions).unionByName(evaluate.agent_scores(agents)).select(F.lit(model).alias("model"), "*")
+    summary = materialize(single.unionByName(sessions).unionByName(evaluate.agent_scores(agents)).select(F.lit(model).alias("model"), "*"), "summary")
     failures = evaluate.failed_rows(called.unionAll(phrased).unionAll(agents.drop("process")))
     writers.write_scores(summary, failures, f"{output}/{model}")
     return summary

@@ -63,6 +63,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def dealt(df: DataFrame, rows: int, *keys: str, each: int) -> DataFrame:
+    """``df`` of about ``rows`` rows dealt by ``keys`` into parts of about ``each``, no fewer than there are cores: what a task holds doesn't grow with the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)), *keys)
+
+
 def trailing_number(column: str, last: int = 1) -> Column:
     """The integer that the last ``last``-th part of an id (parts joined by ``_`` or ``#``) stands for."""
     return F.element_at(F.split(F.col(column), "[_#]"), -last).cast("long")

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from toolweave.functions.calls import parse_calls
 from toolweave.functions.text import argument_difference, python_literals
 from toolweave.operators import catalog, grouping, index, maxsim, ranker, responses, retrieval
-from toolweave.operators.order import top_k
+from toolweave.operators.order import dealt, top_k
 from toolweave.operators.prompts import without_thoughts
 from toolweave.sources.shared import scratch
 
 # Sizes of the extension step.
 TOP_K, CANDIDATES, TARGETS = 50, 60, [10, 20, 30, 40, 50]
+#: Cases that a task extends, about.
+CASES_A_TASK = 50_000
 
 
 def build_corpus(cases: DataFrame) -> DataFrame:
@@ -67,21 +69,24 @@ def extend_cases(cases: DataFrame, hits: DataFrame, corpus: DataFrame, verdicts:
 
     ``cases`` (qid, functions: array of (name, json)), ``hits`` (qid, docid, rank),
     ``verdicts`` (qid, candidate, verdict). The cut to ``limit`` comes after
-    missing docids are gone, as ranks of what is left.
+    missing docids are gone, as ranks of what is left. A case's hits, at most
+    ``limit``, are one list beside its functions: hits, verdicts and cases meet once, by case.
     """
-    have = cases.withColumn("names", F.transform("functions", lambda f: f["name"]))
-    found = hits.join(corpus.select("docid", "name", "document_content"), "docid").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
-    found = found.filter(F.col("rank") <= limit).select("qid", F.col("name").alias("item"), "rank", "document_content")
-    new = found.join(have.select("qid", "names"), "qid").filter(~F.array_contains("names", F.col("item"))).drop("names")
+    dealt_by_case = lambda df, size=cases.count(): dealt(df, size, "qid", each=CASES_A_TASK)
+    found = dealt_by_case(hits.join(corpus.select("docid", F.col("name").alias("item"), "document_content"), "docid")).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
+    found = found.filter(F.col("rank") <= limit).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("item").alias("name"), F.col("document_content").alias("json")))).alias("found"))
+    whole = dealt_by_case(cases).join(found, "qid", "left")
+    new = lambda f: ~F.array_contains(F.transform("functions", lambda g: g["name"]), f["name"])
+    added = F.filter(F.coalesce("found", F.array().cast(found.schema["found"].dataType)), new)
     if verdicts is not None:
-        new = grouping.drop_similar(new, verdicts.withColumnRenamed("candidate", "item"), ["qid", "item"])
-    sizes = have.select("qid", F.size("names").alias("n"))
-    filled = grouping.fill_to_targets(sizes, new.withColumn("eligible", F.lit(True)), "qid", targets or TARGETS)
-    bodies = filled.join(new.select("qid", "item", "document_content"), ["qid", "item"])
-    added = bodies.groupBy("qid", "target").agg(F.array_sort(F.collect_list(F.struct("fill_rank", F.col("item").alias("name"), F.col("document_content").alias("json")))).alias("added"))
-    whole = have.withColumn("target", F.explode(F.array(*map(F.lit, targets or TARGETS)))).join(added, ["qid", "target"], "left")
-    extra = F.transform(F.coalesce("added", F.array().cast("array<struct<fill_rank:int,name:string,json:string>>")), lambda a: F.struct(a["name"].alias("name"), a["json"].alias("json")))
-    return whole.select("qid", "target", F.concat("functions", extra).alias("functions"))
+        # as grouping.drop_similar, whose keys are here a case's list
+        bad = dealt_by_case(verdicts.filter(F.trim("verdict").isin("1", "2")).select("qid", "candidate")).groupBy("qid").agg(F.collect_set("candidate").alias("alike"))
+        whole = whole.join(bad, "qid", "left")
+        added = F.filter(added, lambda f: ~F.array_contains(F.coalesce("alike", F.array().cast("array<string>")), f["name"]))
+    added = F.transform(added, lambda f: F.struct(f["name"].alias("name"), f["json"].alias("json")))
+    filled = whole.select("qid", "functions", added.alias("added")).withColumn("target", F.explode(F.array(*map(F.lit, targets or TARGETS))))
+    room = F.greatest(F.col("target") - F.size("functions"), F.lit(0))
+    return filled.select("qid", "target", F.concat("functions", F.slice("added", F.lit(1), room)).alias("functions"))
 
 
 def divide(cases: DataFrame, k: int) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from jobs.common import log, read_config, start_log
 from toolweave.operators import index
+from toolweave.operators.retrieval import small
 from toolweave.sources.shared import drop_tables, materialize
 
 HITS = "qid bigint, docid bigint, score double, rank int, lang string"
@@ -38,13 +39,12 @@ def run(spark: SparkSession, documents: str, items: str, output: str, config: Co
     """Index, rank, write; the hits as they stand in the output."""
     config = config or Config()
     docs = spark.read.parquet(documents).filter("doc_id is not null")
-    docs = docs.groupBy(F.col("doc_id").alias("docid")).agg(F.max(F.struct("text", F.coalesce("lang", F.lit(config.no_language)).alias("lang"))).alias("d")).select("docid", "d.*")
-    docs = materialize(docs, "documents")
+    docs = materialize(once(docs.select(F.col("doc_id").alias("docid"), "text", F.coalesce("lang", F.lit(config.no_language)).alias("lang"))), "documents")
     asked = spark.read.parquet(items).filter("item_id is not null").select(F.col("item_id").alias("qid"), "text")
     log.info("read %d documents from %s, %d items from %s", docs.count(), documents, asked.count(), items)
     kept = index.build(docs.select("docid", "text"), f"{output}/index", config.lower, config.block, config.parts)
     hits, work = index.search_counted(kept, asked, config.top_k)
-    hits = hits.join(docs.select("docid", "lang"), "docid").select("qid", "docid", "score", "rank", "lang")
+    hits = small(materialize(hits, "hits")).join(docs.select("docid", "lang"), "docid").select("qid", "docid", "score", "rank", "lang")
     hits.repartition("lang", F.pmod(F.col("qid"), F.lit(8))).write.partitionBy("lang").mode("overwrite").parquet(f"{output}/hits")
     written = spark.read.schema(HITS).parquet(f"{output}/hits")
     report(written).write.mode("overwrite").parquet(f"{output}/report")
@@ -54,6 +54,13 @@ def run(spark: SparkSession, documents: str, items: str, output: str, config: Co
     return written
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """``docs`` (docid, text, lang) with one row an id, that of the greatest text; only texts of ids that repeat are shuffled."""
+    repeated = small(materialize(docs.groupBy("docid").count().filter("count > 1").select("docid"), "repeated"))
+    greatest = docs.join(repeated, "docid", "left_semi").groupBy("docid").agg(F.max(F.struct("text", "lang")).alias("d")).select("docid", "d.*")
+    return docs.join(repeated, "docid", "left_anti").unionAll(greatest)
+
+
 def report(hits: DataFrame) -> DataFrame:
     """(qid, hits, best, lang, share): an item's hits, their best score, and the language that most of them have."""
     by_lang = hits.groupBy("qid", "lang").agg(F.count("*").alias("n"), F.max("score").alias("best"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def chunk_of(rank: Column, n: Column, chunks: Column) -> Column:
@@ -50,20 +51,44 @@ def best_of_lists(members: DataFrame, lists: DataFrame, case: str, key: str, ite
     """(case, item, score): each case's ``need`` best items, at least, of the union of its ranked lists; an item counts with its best score.
 
     ``members`` (case, key, need) name each case's lists, ``lists`` (key, item,
-    score) hold them; ``need`` is at most ``most``. An item among the best of the
-    union is among the best of the list that gives its score, so lists are cut to
-    ``most``. A first look at a few entries of each list bounds the score that an
-    item must have; only entries from there on are put together.
+    score) hold them; ``need`` is at most ``most``.
+    """
+    cases = members.groupBy(case).agg(F.collect_set(key).alias("keys"), F.first(need).alias("need"))
+    cases = cases.withColumn("known", F.array().cast(T.ArrayType(lists.schema[item].dataType)))
+    return best_unknown(cases, lists.withColumn("counted", F.lit(True)), case, key, item, score, most).drop("counted")
+
+
+def best_unknown(cases: DataFrame, lists: DataFrame, case: str, key: str, item: str, score: str, most: int) -> DataFrame:
+    """(case, item, score, counted): each case's best items, by (score desc, item), of the union of its lists without those it knows, until ``need`` of them are counted.
+
+    ``cases`` (case, keys, known, need) is read several times; ``lists`` (key,
+    item, score, counted) are cut to their first ``most``, beyond which no item
+    may be asked for: an item among the best of the union is among the best of
+    the list that gives its score. A first look at a few entries of each list
+    finds an item that all wanted ones are as good as; only entries from there
+    on are put together. A case's rows meet once a step, in its own part.
     """
     place = Window.partitionBy(key).orderBy(F.desc(score), item)
     ranked = lists.withColumn("__place", F.row_number().over(place)).filter(F.col("__place") <= most)
-    looks = members.groupBy(case).agg((F.ceil(F.first(need) / F.count("*")) + 2).alias("__look"))
-    first = members.join(looks, case).join(ranked, key).filter(F.col("__place") <= F.col("__look"))
-    first = first.groupBy(case, item).agg(F.max(score).alias(score), F.first(need).alias(need))
-    by_score = Window.partitionBy(case).orderBy(F.desc(score), item)
-    bound = first.withColumn("__rank", F.row_number().over(by_score)).filter(F.col("__rank") == F.col(need)).select(case, F.col(score).alias("__bound"))
-    rest = members.join(bound, case, "left").join(ranked, key).filter((F.col("__place") <= F.col(need)) & (F.col("__bound").isNull() | (F.col(score) >= F.col("__bound"))))
-    return rest.groupBy(case, item).agg(F.max(score).alias(score))
+    tops = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__place", item, score, "counted"))).alias("__top"))
+
+    def unknown(entries: DataFrame) -> DataFrame:
+        best = entries.repartition(case).groupBy(case, item).agg(F.max(score).alias(score), F.max("counted").alias("counted"))
+        return best.join(cases.select(case, "known"), case).filter(~F.array_contains("known", F.col(item))).drop("known")
+
+    # half as many again as are needed, since lists share items and some are known or not counted
+    look = F.ceil(F.col("need") * 1.5 / F.size("keys")).cast("int")
+    first = cases.select(case, look.alias("__look"), F.explode("keys").alias(key)).join(tops, key)
+    first = unknown(first.select(case, F.inline(F.slice("__top", F.lit(1), F.col("__look")))).drop("__place"))
+    so_far = Window.partitionBy(case).orderBy(F.desc(score), item).rowsBetween(Window.unboundedPreceding, 0)
+    first = first.withColumn("__counted", F.sum(F.col("counted").cast("int")).over(so_far)).filter("counted")
+    bound = first.join(cases.select(case, "need"), case).filter(F.col("__counted") == F.col("need")).select(case, F.col(score).alias("__score"), F.col(item).alias("__item"))
+    rest = cases.select(case, "keys").join(bound, case, "left").select(case, "__score", "__item", F.explode("keys").alias(key)).join(tops, key)
+    rest = rest.select(case, "__score", "__item", F.inline("__top"))
+    # scores that are null come last
+    better = F.col("__score").isNull() & F.col(score).isNotNull() | (F.col(score) > F.col("__score"))
+    rest = rest.filter(F.col("__item").isNull() | better | F.col(score).eqNullSafe(F.col("__score")) & (F.col(item) <= F.col("__item")))
+    return unknown(rest.select(case, item, score, "counted"))
 
 
 def similarity_pairs(cases: DataFrame, candidates: str = "candidates", existing: str = "existing") -> DataFrame:

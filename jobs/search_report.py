@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from jobs.common import log, read_config, start_log
 from toolweave.operators import index
-from toolweave.operators.retrieval import small
+from toolweave.operators.retrieval import SMALL_ROWS, small
 from toolweave.sources.shared import drop_tables, materialize
 
 HITS = "qid bigint, docid bigint, score double, rank int, lang string"
@@ -39,7 +39,7 @@ def run(spark: SparkSession, documents: str, items: str, output: str, config: Co
     """Index, rank, write; the hits as they stand in the output."""
     config = config or Config()
     docs = spark.read.parquet(documents).filter("doc_id is not null")
-    docs = materialize(once(docs.select(F.col("doc_id").alias("docid"), "text", F.coalesce("lang", F.lit(config.no_language)).alias("lang"))), "documents")
+    docs = once(docs.select(F.col("doc_id").alias("docid"), "text", F.coalesce("lang", F.lit(config.no_language)).alias("lang")))
     asked = spark.read.parquet(items).filter("item_id is not null").select(F.col("item_id").alias("qid"), "text")
     log.info("read %d documents from %s, %d items from %s", docs.count(), documents, asked.count(), items)
     kept = index.build(docs.select("docid", "text"), f"{output}/index", config.lower, config.block, config.parts)
@@ -55,10 +55,15 @@ def run(spark: SparkSession, documents: str, items: str, output: str, config: Co
 
 
 def once(docs: DataFrame) -> DataFrame:
-    """``docs`` (docid, text, lang) with one row an id, that of the greatest text; only texts of ids that repeat are shuffled."""
-    repeated = small(materialize(docs.groupBy("docid").count().filter("count > 1").select("docid"), "repeated"))
+    """``docs`` (docid, text, lang) with one row an id, that of the greatest text; only texts of ids that repeat are shuffled and written.
+
+    Where these are too many to be sent to all tasks, all are written, so that they are shuffled once.
+    """
+    ids = materialize(docs.groupBy("docid").count().filter("count > 1").select("docid"), "repeated")
+    repeated = small(ids)
     greatest = docs.join(repeated, "docid", "left_semi").groupBy("docid").agg(F.max(F.struct("text", "lang")).alias("d")).select("docid", "d.*")
-    return docs.join(repeated, "docid", "left_anti").unionAll(greatest)
+    whole = docs.join(repeated, "docid", "left_anti").unionAll(materialize(greatest, "greatest"))
+    return whole if ids.count() <= SMALL_ROWS else materialize(whole, "documents")
 
 
 def report(hits: DataFrame) -> DataFrame:
